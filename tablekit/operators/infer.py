@@ -22,17 +22,17 @@ MAX_CATEGORIES = 50
 MAX_CATEGORY_SHARE = 0.1
 
 
-def _evidence(col: Column, words: Sequence[str]) -> Column:
+def _evidence(col: Column, words: Sequence[str]) -> list[Column]:
     """Counts over one text column; every rule is decided from these."""
     number = lenient_double(col, T.StringType())
-    return F.struct(
-        F.count(col).alias("filled"),
+    return [
+        F.count(col).alias("filled"), F.count_if(col.isNull()).alias("empty"),
         F.count_if(col.isNotNull() & datetime_from_text(col, serials=False).isNull()).alias("not_date"),
         F.count_if(~F.lower(col).isin(list(words))).alias("not_bool"),
         F.count_if(col.isNotNull() & ~F.coalesce(col.rlike(r"^\s*[+-]?\d+\s*$") & col.try_cast("bigint").isNotNull(),
                                                  F.lit(False))).alias("not_int"),
         F.count_if(col.isNotNull() & number.isNull()).alias("not_number"),
-        F.count_if(number % 1 != 0).alias("fractional"))
+        F.count_if(number % 1 != 0).alias("fractional")]
 
 
 def _suggest(e, distinct: int | None) -> str | None:
@@ -70,35 +70,33 @@ def _typed_class(field: T.StructField) -> str | None:
 def suggest_types(df: DataFrame, columns: Sequence[str] | None = None, wide_booleans: bool = False) -> DataFrame:
     """Suggested type per column: rows ``(column, current_type, suggestion)``.
 
-    One aggregate gathers the evidence for all text columns; distinct values are counted only for the
-    columns no earlier rule settles. What reaches the driver is one row per column.
+    The text columns become ``(column, value)`` cells and one aggregate keyed by column name gathers all evidence, so
+    the generated code stays the same size however wide the table; distinct values are counted only
+    for the columns no earlier rule settles. What reaches the driver is one row per column.
     """
     fields = [f for f in df.schema.fields if f.name != ROW_ID and (columns is None or f.name in columns)]
     words = WIDE_BOOLEAN_WORDS if wide_booleans else BOOLEAN_WORDS
     found = {f.name: _typed_class(f) for f in fields}
     text = [c for c, s in found.items() if s is None]
     typed = [c for c, s in found.items() if s is not None]
-    filled = df.agg(*[F.count(F.col(quoted(c))).alias(f"_t{i}") for i, c in enumerate(typed)],
-                    *[_evidence(F.col(quoted(c)), words).alias(f"_e{i}") for i, c in enumerate(text)]).first()
-    for i, c in enumerate(typed):
-        if not filled[f"_t{i}"]:
-            found[c] = TEXT
-    evidence = {c: filled[f"_e{i}"] for i, c in enumerate(text)}
+    if typed:
+        filled = df.agg(*[F.count(F.col(quoted(c))).alias(f"_t{i}") for i, c in enumerate(typed)]).first()
+        found.update({c: TEXT for i, c in enumerate(typed) if not filled[f"_t{i}"]})
+    evidence = {}
+    if text:
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).alias("v")) for c in text]))
+        facts = df.select(cells.alias("c")).select("c.column", "c.v").groupBy("column").agg(*_evidence(F.col("v"), words))
+        evidence = {r["column"]: r for r in facts.collect()}
     found.update({c: _suggest(e, None) for c, e in evidence.items()})
     unsettled = [c for c in text if found[c] is None]
     if unsettled:
         counts = {r["column"]: r["n_unique"] for r in distinct_count(df, unsettled).collect()}
         for c in unsettled:
-            distinct = counts[c] - (1 if _has_null(df, evidence[c], c) else 0)
-            found[c] = _suggest(evidence[c], distinct)
+            found[c] = _suggest(evidence[c], counts[c] - (evidence[c]["empty"] > 0))
     rows = [(f.name, f.dataType.simpleString(), found[f.name]) for f in fields]
     return df.sparkSession.createDataFrame(rows, "column string, current_type string, suggestion string")
 
 
-def _has_null(df: DataFrame, evidence, column: str) -> bool:
-    return bool(df.where(F.col(quoted(column)).isNull()).take(1))
-
-
 def apply_suggestions(df: DataFrame, accepted: Mapping[str, str], policy: str = "skip") -> tuple[DataFrame, DataFrame]:
     """Convert accepted suggestions where the type differs, numbers first and text last."""
     fields = {f.name: f for f in df.schema.fields}

@@ -66,22 +66,22 @@ def range_layout(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     return durable(laid.withColumn("_part", F.spark_partition_id()))
 
 
-def with_row_id(df: DataFrame, order_by: Sequence[str] | str | None = None, descending: bool = False,
+def with_row_id(df: DataFrame, order_by: Sequence[str | Column] | str | Column | None = None,
                 name: str = ROW_ID) -> DataFrame:
     """Add a 0-based consecutive row number in ``order_by`` order (scan order when omitted).
 
+    Names in ``order_by`` sort ascending with nulls first; pass Columns for other directions.
     The rows are sorted by Spark's range partitioner (a hot sort value is spread through a
     tie-break), written once to the checkpoint folder, and numbered from the partition's offset
     plus the position inside it. Offsets are one number per partition, hence the broadcast.
     """
-    if name in df.columns and name not in ([order_by] if isinstance(order_by, str) else order_by or []):
-        df = df.drop(name)
     columns = [c for c in df.columns if c != name]
     source = df
     if order_by is not None:
-        keys = [order_by] if isinstance(order_by, str) else list(order_by)
+        keys = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
         tied, tie = with_tie_break(df)
-        source = tied.orderBy(*ordering(keys, descending), *[F.col(t) for t in tie if t not in keys])
+        source = tied.orderBy(*[F.col(quoted(k)).asc_nulls_first() if isinstance(k, str) else k for k in keys],
+                              *[F.col(t) for t in tie])
     placed = durable(source.select(*[F.col(quoted(c)) for c in columns],
                                    F.monotonically_increasing_id().alias("_place")))
     part = F.shiftright("_place", _POSITION_BITS)

@@ -27,7 +27,7 @@ def rows_per_task(spark: SparkSession) -> int:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Optimizer's size estimate; no job is run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def is_small(*tables: DataFrame) -> bool:
