@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.numeric import lenient_double
-from ..plans.layout import quoted
+from ..plans.layout import quoted, sorted_by
 from ..plans.running import exact_quantiles
 from ..plans.skew import equi_join
 from .aggregate import group_summary
@@ -64,7 +64,7 @@ def points_table(df: DataFrame, x: str, y: str, color: str | None = None, size:
         cols.append(F.col("_size").alias("size"))
     cols += [display_column(F.col(quoted(c)), df.schema[c].dataType).alias(f"hover_{c}") for c in hover]
     out = src.select(*cols)
-    return out.orderBy(F.col("x").asc_nulls_first()) if sort_x else out
+    return sorted_by(out, [F.col("x").asc_nulls_first()]) if sort_x else out
 
 
 def series_table(df: DataFrame, color: str | None = None, symbol: str | None = None,

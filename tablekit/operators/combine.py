@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.numeric import INTEGRAL_TYPES
-from ..plans.layout import ROW_ID, quoted, with_row_id
+from ..plans.layout import ROW_ID, quoted, sorted_by, with_row_id
 from ..plans.skew import equi_join
 
 
@@ -153,7 +153,7 @@ def align(left: DataFrame, right: DataFrame, how: str = "full", keys: Sequence[s
     folded = [F.coalesce(F.col(quoted(k)), F.col(a)).alias(k) for k, a in zip(keys, aliases)]
     rest = [F.col(quoted(c)) for c in left.columns if c not in keys]
     out = joined.select(*folded, *rest, *[F.col(quoted(n)) for n in names.values()])
-    return out.orderBy(*[F.col(quoted(k)).asc_nulls_first() for k in keys]) if ordered else out
+    return sorted_by(out, [F.col(quoted(k)).asc_nulls_first() for k in keys]) if ordered else out
 
 
 STACKS: Mapping[str, object] = {"vertical": stack_strict, "vertical_relaxed": stack_relaxed,

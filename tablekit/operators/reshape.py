@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.numeric import NUMERIC_TYPES, lenient_double
 from ..plans.layout import ROW_ID, quoted
-from ..plans.running import exact_quantiles
+from ..plans.running import exact_quantiles, running_sum
 from .aggregate import aggregate_column, position
 from .combine import common_type
 
@@ -31,7 +31,8 @@ def pivot_table(df: DataFrame, index: Sequence[str] | str, columns: str, values:
 
     Cells are aggregated first in long form (map-side combined, exact medians split over tasks) and only
     the finished cells are spread into columns, so neither a hot index nor a hot cell lands in one
-    task. A ``list`` cell is one array by nature and must fit a Spark row.
+    task. A ``list`` cell is one array by nature and must fit a Spark row; ``list_rows`` gives the same
+    content without that limit.
     """
     index = [index] if isinstance(index, str) else list(index)
     if func not in PIVOT_FUNCTIONS:
@@ -56,6 +57,19 @@ def pivot_table(df: DataFrame, index: Sequence[str] | str, columns: str, values:
     return cells.groupBy(*[F.col(quoted(k)) for k in index]).pivot(columns, domain).agg(F.first("_cell"))
 
 
+def list_rows(df: DataFrame, index: Sequence[str] | str, columns: str, values: str,
+              order_by: str | Sequence[str] = ROW_ID) -> DataFrame:
+    """The content of ``list`` cells in long form: one row per element with its 1-based ``position``.
+
+    For cells too large for one Spark row; positions of a hot cell are counted by many tasks.
+    """
+    keys = [*([index] if isinstance(index, str) else index), columns]
+    order = [order_by] if isinstance(order_by, str) else list(order_by)
+    ones = df.select(*[F.col(quoted(c)) for c in dict.fromkeys([*keys, values, *order])], F.lit(1).alias("_one"))
+    return (running_sum(ones, keys, order, "_one", "position")
+            .select(*[F.col(quoted(k)) for k in keys], "position", F.col(quoted(values)).alias("value")))
+
+
 def melt_table(df: DataFrame, id_columns: Sequence[str] = (), value_columns: Sequence[str] | None = None,
                variable_name: str = "variable", value_name: str = "value") -> DataFrame:
     """Columns to rows (names in ``variable_name``); the row id is never melted.

@@ -4,20 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.layout import ROW_ID, quoted, with_tie_break
+from ..plans.layout import ROW_ID, quoted, sorted_by
 
 
 def sort_by(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
-    """Sort by one column; rows with equal values follow the row id where there is one.
-
-    The tie columns also let Spark's range partitioner cut through a hot value, so one value held by
-    a large share of the rows is sorted by many tasks.
-    """
-    tied, tie = with_tie_break(df)
+    """Sort by one column; rows with equal values follow the row id where there is one."""
     key = F.col(quoted(column))
-    return (tied.orderBy(key.asc_nulls_first() if ascending else key.desc_nulls_first(),
-                         *[F.col(t) for t in tie if t != column])
-            .select(*[F.col(quoted(c)) for c in df.columns]))
+    return sorted_by(df, [key.asc_nulls_first() if ascending else key.desc_nulls_first()])
 
 
 def top_k(df: DataFrame, column: str, k: int, then: str = ROW_ID) -> DataFrame:

@@ -67,13 +67,13 @@ def rank_over(df: DataFrame, keys: Sequence[str], value: str, out: str, descendi
         return df.withColumn(out, F.when(col.isNotNull(), rank))
     names = [f"_w{i}" for i in range(len(keys))]
     counted = (df.where(col.isNotNull()).groupBy(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names)],
-                                                 col.alias("_value")).agg(F.count("*").alias("_ties")))
+                                                 col.alias("_rank_value")).agg(F.count("*").alias("_ties")))
     counted = counted.withColumn("_step", F.lit(1).cast("bigint") if method == "dense" else F.col("_ties"))
-    ranked = running_sum(counted, names, ["_value"], "_step", "_upto", descending=descending)
+    ranked = running_sum(counted, names, ["_rank_value"], "_step", "_upto", descending=descending)
     rank = F.col("_upto") if method == "dense" else _shared_rank(
         F.col("_upto") - F.col("_ties") + 1, F.col("_ties"), method)
-    ranked = ranked.select(*names, "_value", rank.alias(out))
-    return equi_join(df, ranked, [*keys, value], [*names, "_value"], "left", null_safe=True).drop(*names, "_value")
+    ranked = ranked.select(*names, "_rank_value", rank.alias(out))
+    return equi_join(df, ranked, [*keys, value], [*names, "_rank_value"], "left", null_safe=True).drop(*names, "_rank_value")
 
 
 def _shared_rank(lowest: Column, ties: Column, method: str) -> Column:

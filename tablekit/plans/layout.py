@@ -56,6 +56,12 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def sorted_by(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Global sort whose range partitions can cut through a hot value, rows with equal keys by row id if any."""
+    tied, tie = with_tie_break(df)
+    return tied.orderBy(*order, *[F.col(t) for t in tie]).select(*[F.col(quoted(c)) for c in df.columns])
+
+
 def range_layout(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Range-partition by ``keys`` then ``order`` and fix the layout; ``_part`` is the partition number.
 

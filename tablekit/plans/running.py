@@ -72,22 +72,22 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Mapp
     parts = (_part_totals(laid, keys, F.col("_n")).fillna(0, ["_before"])
              .withColumn("_total", F.sum("_sum").over(every)))
     wanted = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("name"), (F.lit(float(q)) * (F.col("_total") - 1)).alias("at"))
+        F.struct(F.lit(n).alias("point"), (F.lit(float(q)) * (F.col("_total") - 1)).alias("at"))
         for n, q in points.items()]))
     ranks = parts.withColumn("_w", wanted).select(
-        *keys, "_part", "_before", F.col("_w.name").alias("_name"), F.col("_w.at").alias("_at"), "_sum",
+        *keys, "_part", "_before", F.col("_w.point").alias("_point"), F.col("_w.at").alias("_at"), "_sum",
         F.explode(F.array(F.floor("_w.at"), F.ceil("_w.at"))).alias("_rank")).distinct()
     ranks = ranks.where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_sum")))
     names = [f"_g{i}" for i in range(len(keys))]
     ranks = ranks.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_part").alias("_rank_part"),
-                         (F.col("_rank") - F.col("_before")).alias("_local_rank"), "_rank", "_name", "_at")
+                         (F.col("_rank") - F.col("_before")).alias("_local_rank"), "_rank", "_point", "_at")
     on = _same_group(keys, names) + [F.col("_part") == F.col("_rank_part")]
     hits = (local.join(ranks, on)
             .where((F.col("_local_rank") < F.col("_upto")) & (F.col("_local_rank") >= F.col("_upto") - F.col("_n"))))
     low, high = F.min("_v").cast("double"), F.max("_v").cast("double")
     share = F.max(F.col("_at") - F.floor("_at"))
-    picked = hits.groupBy(*keys, "_name").agg((low + (high - low) * share).alias("_q"))
-    wide = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in points])
+    picked = hits.groupBy(*keys, "_point").agg((low + (high - low) * share).alias("_q"))
+    wide = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_point") == n, F.col("_q"))).alias(n) for n in points])
     groups = df.groupBy(*keys).agg(F.count("*").alias("_rows")).drop("_rows") if keys else None
     if groups is None:
         return wide

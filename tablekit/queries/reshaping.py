@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators.reshape import melt_table, pivot_table
+from ..operators.reshape import list_rows, melt_table, pivot_table
 from ..operators import sample as smp
 from .base import query, rounded
 
@@ -67,6 +67,12 @@ def pivot_list(t):
     return out.withColumns({s: F.array_join(F.col(s).cast("array<string>"), ",") for s in "FOP"})
 
 
+@query("SELECT o_orderpriority, o_orderstatus, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_orderkey) AS position, "
+       "o_custkey AS value FROM orders")
+def pivot_list_rows(t):
+    return list_rows(t.orders, "o_orderpriority", "o_orderstatus", "o_custkey", "o_orderkey")
+
+
 @query("SELECT l_orderkey, l_linenumber, measure, amount FROM (SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem) "
        "UNPIVOT (amount FOR measure IN (l_discount, l_tax))")
 def melt_named(t):
