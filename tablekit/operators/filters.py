@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.numeric import INTEGRAL_TYPES, lenient_double
@@ -249,9 +249,7 @@ def apply_filter(df: DataFrame, items: Sequence[Condition | str], order_by: Sequ
 
 def where_sql(df: DataFrame, text: str) -> DataFrame:
     """Free-form boolean SQL over the columns; a bad expression raises before any data is read."""
-    checked = df.where(F.expr(text))
     try:
-        checked.schema
-    except AnalysisException as error:
+        return df.where(F.expr(text))
+    except (AnalysisException, ParseException) as error:
         raise ValueError(f"bad filter expression: {error}") from error
-    return checked
