@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -92,10 +93,40 @@ def normalized(name: str) -> str:
     return re.sub(r"[^a-z0-9]", "", str(name).lower())
 
 
+def name_score(a: str, b: str) -> int:
+    """Likeness of two names, 0 to 100, whatever the order of their words."""
+    spread = lambda s: " ".join(sorted(re.sub(r"[^a-z0-9]+", " ", str(s).lower()).split()))
+    return round(100 * SequenceMatcher(None, spread(a), spread(b)).ratio())
+
+
+def match_names(reference: Sequence[str], target: Sequence[str], threshold: int = 75,
+                keep_unmatched: bool = True) -> dict[str, str | None]:
+    """One-to-one matching of column names: equal normalised names first, then the most alike, first come first served.
+
+    Works on schemas, not on data: its cost depends on the number of columns alone.
+    """
+    free = {normalized(c): c for c in target}
+    last = {normalized(c): c for c in reference}
+    found: dict[str, str | None] = {c: free.pop(n) for n, c in last.items() if n in free}
+    for name in reference:
+        if name in found:
+            continue
+        best = max(free.values(), key=lambda c: name_score(name, c), default=None)
+        found[name] = best if best is not None and name_score(name, best) >= threshold else None
+        if found[name] is not None:
+            del free[normalized(best)]
+    return {c: found[c] for c in reference if keep_unmatched or found[c] is not None}
+
+
 def default_mapping(left: Sequence[str], right: Sequence[str]) -> list[ColumnMap]:
-    """Pair columns whose names agree once case and punctuation are ignored."""
-    by_name = {normalized(c): c for c in right}
-    return [ColumnMap(c, by_name.pop(normalized(c), None)) for c in left]
+    """Pair every left column with the right column of the most alike name, if any."""
+    return [ColumnMap(mine, theirs) for mine, theirs in match_names(left, right).items()]
+
+
+def rename_like(df: DataFrame, reference: DataFrame, threshold: int = 75) -> DataFrame:
+    """Rename the columns of a table to the most alike names of a reference table."""
+    pairs = match_names(reference.columns, df.columns, threshold, keep_unmatched=False)
+    return df.withColumnsRenamed({theirs: ours for ours, theirs in pairs.items()})
 
 
 def beside(left: DataFrame, right: DataFrame, mapping: Sequence[ColumnMap] | None = None,

@@ -22,24 +22,21 @@ MAX_CATEGORIES = 50
 MAX_CATEGORY_SHARE = 0.1
 
 
-def _evidence(col: Column, words: Sequence[str]) -> list[Column]:
-    """Counts over one text column; every rule is decided from these."""
-    number = lenient_double(col, T.StringType())
-    return [
-        F.count(col).alias("filled"), F.count_if(col.isNull()).alias("empty"),
-        F.count_if(col.isNotNull() & datetime_from_text(col, serials=False).isNull()).alias("not_date"),
-        F.count_if(~F.lower(col).isin(list(words))).alias("not_bool"),
-        F.count_if(col.isNotNull() & ~F.coalesce(col.rlike(r"^\s*[+-]?\d+\s*$") & col.try_cast("bigint").isNotNull(),
-                                                 F.lit(False))).alias("not_int"),
-        F.count_if(col.isNotNull() & number.isNull()).alias("not_number"),
-        F.count_if(number % 1 != 0).alias("fractional")]
+def _evidence(cells: DataFrame, words: Sequence[str]) -> DataFrame:
+    """Counts per text column; every rule is decided from these. Each cell is parsed once, before they are taken."""
+    v = F.col("v")
+    parsed = cells.where(v.isNotNull()).select(
+        "column", lenient_double(v, T.StringType()).alias("number"), datetime_from_text(v, serials=False).isNull().alias("undated"),
+        F.lower(v).isin(list(words)).alias("flag"), F.when(v.rlike(r"^\s*[+-]?\d{1,19}\s*$"), v.try_cast("bigint")).isNull().alias("broken"))
+    return parsed.groupBy("column").agg(
+        F.count("*").alias("filled"), F.count_if("undated").alias("not_date"), F.count_if(~F.col("flag")).alias("not_bool"),
+        F.count_if("broken").alias("not_int"), F.count_if(F.col("number").isNull()).alias("not_number"),
+        F.count_if(F.col("number") % 1 != 0).alias("fractional"))
 
 
 def _suggest(e, distinct: int | None) -> str | None:
     """Rules in order of preference; None asks for the distinct count."""
     filled = e["filled"]
-    if not filled:
-        return TEXT
     if e["not_date"] / filled <= MAX_FAILED_SHARE:
         return DATETIME
     if e["not_bool"] == 0:
@@ -85,14 +82,14 @@ def suggest_types(df: DataFrame, columns: Sequence[str] | None = None, wide_bool
     evidence = {}
     if text:
         cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).alias("v")) for c in text]))
-        facts = df.select(cells.alias("c")).select("c.column", "c.v").groupBy("column").agg(*_evidence(F.col("v"), words))
+        facts = _evidence(df.select(cells.alias("c")).select("c.column", "c.v"), words)
         evidence = {r["column"]: r for r in facts.collect()}
+        found.update({c: TEXT for c in text if c not in evidence})
     found.update({c: _suggest(e, None) for c, e in evidence.items()})
     unsettled = [c for c in text if found[c] is None]
     if unsettled:
-        counts = {r["column"]: r["n_unique"] for r in distinct_count(df, unsettled).collect()}
-        for c in unsettled:
-            found[c] = _suggest(evidence[c], counts[c] - (evidence[c]["empty"] > 0))
+        counts = {r["column"]: r["n_unique"] for r in distinct_count(df, unsettled, with_null=False).collect()}
+        found.update({c: _suggest(evidence[c], counts[c]) for c in unsettled})
     rows = [(f.name, f.dataType.simpleString(), found[f.name]) for f in fields]
     return df.sparkSession.createDataFrame(rows, "column string, current_type string, suggestion string")
 

@@ -27,20 +27,21 @@ def category_domain(df: DataFrame, column: str) -> DataFrame:
     return df.select(col).where(col.isNotNull()).distinct().orderBy(col)
 
 
-def distinct_count(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
-    """Distinct values per column, null counted as one: rows ``(column, n_unique)``.
+def distinct_count(df: DataFrame, columns: Sequence[str], approx: bool = False, with_null: bool = True) -> DataFrame:
+    """Distinct values per column, null counted as one unless ``with_null`` is off: rows ``(column, n_unique)``.
 
     The exact form turns cells into ``(column, value)`` pairs and collapses copies on the map side, so
     one scan and one shuffle serve all columns; text of a value is its identity.
     """
     if approx:
         found = df.agg(*[(F.approx_count_distinct(F.col(quoted(c)), 0.01)
-                          + F.max(F.col(quoted(c)).isNull().cast("int"))).cast("bigint").alias(c) for c in columns])
+                          + (F.max(F.col(quoted(c)).isNull().cast("int")) if with_null else 0)).cast("bigint").alias(c)
+                         for c in columns])
         return found.unpivot([], [F.col(quoted(c)) for c in columns], "column", "n_unique")
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).cast("string").alias("value"))
                                 for c in columns]))
     pairs = df.select(cells.alias("c")).select("c.column", "c.value").distinct()
-    return pairs.groupBy("column").agg(F.count("*").alias("n_unique"))
+    return pairs.groupBy("column").agg((F.count("*") if with_null else F.count("value")).alias("n_unique"))
 
 
 def fill_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

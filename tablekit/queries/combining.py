@@ -114,6 +114,12 @@ def union_common(t):
     return comb.stack_common(left, right)
 
 
+@query("SELECT c_name, c_nationkey, c_acctbal FROM customer UNION ALL SELECT s_name, s_nationkey, s_acctbal FROM supplier")
+def union_matched_names(t):
+    named = comb.rename_like(t.supplier.drop("s_suppkey"), t.customer, 60)
+    return comb.stack_common(t.customer, named)
+
+
 @query("SELECT coalesce(a.r, b.r) AS _row_id, c_name, s_name, s_acctbal FROM (SELECT c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS r "
        "FROM customer) a FULL JOIN (SELECT s_name, s_acctbal, row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1 AS r FROM supplier) b "
        "ON a.r = b.r")

@@ -181,6 +181,13 @@ def test_stacking(spark):
         assert combine.common_type(x, y) == combine.common_type(y, x) == z
 
 
+def test_name_matching():
+    got = combine.match_names(["Order ID", "cust_name", "total", "zzz"], ["name cust", "order-id", "totals", "other"])
+    assert got == {"Order ID": "order-id", "cust_name": "name cust", "total": "totals", "zzz": None}
+    assert combine.match_names(["a1", "a2"], ["a3"], 50) == {"a1": "a3", "a2": None}
+    assert combine.match_names(["a1"], [], keep_unmatched=False) == {}
+
+
 def test_beside_pads(spark):
     a = spark.range(3).select(F.col("id").alias("_row_id"), (F.col("id") * 2).alias("v"))
     b = spark.range(5).select(F.col("id").alias("_row_id"), (F.col("id") * 3).alias("v"))
