@@ -59,7 +59,8 @@ def group_summary(df: DataFrame, keys: Sequence[str], func: str = "count", value
         agg = (F.percentile_approx(number, 0.5, 10_000) if func == "median"
                else aggregate_column(func, number, order_by))
         result = df.groupBy(*[F.col(quoted(k)) for k in keys]).agg(agg.alias(out), *carried)
-    return result.orderBy(F.col(quoted(keys[0])).asc_nulls_first())
+    # The further keys make the sort key unique, so a first key shared by many groups still spreads.
+    return result.orderBy(*[F.col(quoted(k)).asc_nulls_first() for k in keys])
 
 
 def count_by(df: DataFrame, column: str, out: str = "count") -> DataFrame:

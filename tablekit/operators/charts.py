@@ -69,7 +69,8 @@ def points_table(df: DataFrame, x: str, y: str, color: str | None = None, size:
 
 def series_table(df: DataFrame, color: str | None = None, symbol: str | None = None,
                  pattern: str | None = None) -> DataFrame:
-    """Add ``series`` and ``series_index`` (position of the category in sorted order, for the palette).
+    """Add ``series`` and ``series_index`` (position of the category in sorted order, for the palette); crossed
+    series also get ``pattern_index``.
 
     The series is the categorical colour, else the symbol, else the pattern; colour and pattern
     together make cross series named ``colour (pattern)``. Rows with a null series are dropped.
@@ -83,7 +84,8 @@ def series_table(df: DataFrame, color: str | None = None, symbol: str | None = N
     name = F.col(quoted(main)).cast("string")
     if crossed:
         name = F.concat(name, F.lit(" ("), F.col(quoted(pattern)).cast("string"), F.lit(")"))
-    return category_codes(kept.withColumn("series", name), main, "series_index")
+    out = category_codes(kept.withColumn("series", name), main, "series_index")
+    return category_codes(out, pattern, "pattern_index") if crossed else out
 
 
 # -- bars and pies -------------------------------------------------------------
@@ -234,7 +236,7 @@ def _with_fences(df: DataFrame, fenced: DataFrame, keys: Sequence[str]) -> DataF
         return df.withColumns({s: one[s] for s in stats})
     names = [f"_b{i}" for i in range(len(keys))]
     side = fenced.select(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names)], *stats)
-    return equi_join(df, side, keys, names, "inner", null_safe=True).drop(*names)
+    return equi_join(df, side, keys, names, "inner", null_safe=True, unique_right=True).drop(*names)
 
 
 def violin_table(df: DataFrame, y: str, x: str | None = None, color: str | None = None,
@@ -323,7 +325,7 @@ def _kde(long: DataFrame, keys: list[str], points: int) -> DataFrame:
                                      F.stddev_samp("v").alias("sd"))
     if keys:
         side = stats.select(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names)], "lo", "hi", "n", "sd")
-        rows = equi_join(long, side, keys, names, "inner", null_safe=True).drop(*names)
+        rows = equi_join(long, side, keys, names, "inner", null_safe=True, unique_right=True).drop(*names)
     else:
         one = stats.select(F.struct("lo", "hi", "n", "sd")).scalar()
         rows = long.withColumns({s: one[s] for s in ("lo", "hi", "n", "sd")})

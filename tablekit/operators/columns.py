@@ -73,7 +73,7 @@ def tail(df: DataFrame, n: int, key: str = ROW_ID) -> DataFrame:
     return df.where(F.col(key) > last - n)
 
 
-def _header_names(values: Sequence[object]) -> list[str]:
+def header_names(values: Sequence[object]) -> list[str]:
     """Unique, non-empty names: blanks become ``col_<position>``, repeats get ``_2``, ``_3``..."""
     names, seen = [], set()
     for i, value in enumerate(values):
@@ -97,7 +97,7 @@ def promote_header(df: DataFrame, row: int, order_by: Sequence[str] | str | None
     found = numbered.where(F.col(ROW_ID) == row).select(*[F.col(quoted(c)) for c in columns]).take(1)
     if not found:
         raise ValueError(f"no row {row}")
-    names = _header_names(list(found[0]))
+    names = header_names(list(found[0]))
     return numbered.where(F.col(ROW_ID) > row).select(
         *[F.col(quoted(c)).alias(n) for c, n in zip(columns, names)], (F.col(ROW_ID) - row - 1).alias(ROW_ID))
 

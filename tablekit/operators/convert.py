@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.numeric import NUMERIC_TYPES, lenient_double
 from ..functions.parse import boolean_from_text, datetime_from_text, number_from_text
 from ..plans.layout import ROW_ID, quoted
+from ..plans.skew import equi_join
+from .windows import rank_over
 
 # Target type names.
 INTEGER, FLOAT, DATETIME = "Number (Integer64)", "Number (Float64)", "Datetime"
@@ -80,12 +82,10 @@ def category_codes(df: DataFrame, column: str, out: str) -> DataFrame:
 
     The domain is collapsed before it is numbered; rows meet their code by an equi-join.
     """
-    from .windows import rank_over
-    domain = df.select(F.col(quoted(column)).alias("_value")).distinct()
-    coded = rank_over(domain.withColumn("_all", F.lit(0)), ["_all"], "_value", "_code", descending=False, method="dense")
-    from ..plans.skew import equi_join
-    coded = coded.select("_value", (F.col("_code") - 1).cast("bigint").alias(out))
-    return equi_join(df, coded, [column], ["_value"], "left").drop("_value")
+    domain = df.select(F.col(quoted(column)).alias("_category")).distinct()
+    coded = rank_over(domain.withColumn("_all", F.lit(0)), ["_all"], "_category", "_code", descending=False, method="dense")
+    coded = coded.select("_category", (F.col("_code") - 1).cast("bigint").alias(out))
+    return equi_join(df, coded, [column], ["_category"], "left", unique_right=True).drop("_category")
 
 
 @dataclass(frozen=True)

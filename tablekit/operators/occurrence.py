@@ -66,7 +66,7 @@ def with_occurrence_flags(df: DataFrame, wanted: Sequence[tuple[str, str, str]],
         if kind in (DUPLICATE, UNIQUE):
             counts = base.groupBy(F.col(quoted(column)).alias(value)).agg(F.count("*").alias(f"_n{i}"))
             chosen = counts.where(F.col(f"_n{i}") > 1)
-            df = equi_join(df, chosen, [column], [value], "left", null_safe=True)
+            df = equi_join(df, chosen, [column], [value], "left", null_safe=True, unique_right=True)
             hit = F.col(f"_n{i}").isNotNull()
             df = df.withColumn(flag, hit if kind == DUPLICATE else ~hit).drop(value, f"_n{i}")
         else:
@@ -76,6 +76,6 @@ def with_occurrence_flags(df: DataFrame, wanted: Sequence[tuple[str, str, str]],
             names = [f"_p{i}_{j}" for j in range(len(keys))]
             parts = [F.col("_spot")[k] for k in keys] if len(keys) > 1 else [F.col("_spot")]
             spots = spots.select(*[p.alias(n) for p, n in zip(parts, names)], F.lit(True).alias(f"_hit{i}"))
-            df = equi_join(df, spots, keys, names, "left", null_safe=True)
+            df = equi_join(df, spots, keys, names, "left", null_safe=True, unique_right=True)
             df = df.withColumn(flag, F.col(f"_hit{i}").isNotNull()).drop(*names, f"_hit{i}")
     return df

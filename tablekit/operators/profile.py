@@ -76,15 +76,16 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], approx: bool = False)
             *quartiles(v))
 
     def quartiles(v: Column) -> list[Column]:
+        at = list(_QUARTILES.values())
         if approx:
-            return [F.percentile_approx(v, q, 10_000).alias(n) for n, q in _QUARTILES.items()]
-        return [F.percentile(v, q).alias(n) for n, q in _QUARTILES.items()] if small else []
+            return [F.percentile_approx(v, at, 10_000).alias("quartiles")]
+        return [F.percentile(v, F.array(*map(F.lit, at))).alias("quartiles")] if small else []
 
     small = is_small(df)
     wide = df.agg(*[stats(c).alias(f"_s{i}") for i, c in enumerate(columns)])
     rows = wide.select(F.explode(F.array(*[f"_s{i}" for i in range(len(columns))])).alias("s")).select("s.*")
     if approx or small:
-        return rows
+        return rows.withColumns({n: F.col("quartiles")[i] for i, n in enumerate(_QUARTILES)}).drop("quartiles")
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), v.alias("v")) for c, v in number.items()]))
     long = df.select(cells.alias("c")).select(F.col("c.column").alias("_name"), "c.v").where(F.col("v").isNotNull())
     quarts = exact_quantiles(long, ["_name"], "v", _QUARTILES)

@@ -28,7 +28,7 @@ def aggregate_over(df: DataFrame, keys: Sequence[str], aggregates: Mapping[str,
 def _joined_back(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
     names = [f"_w{i}" for i in range(len(keys))]
     stats = df.groupBy(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names)]).agg(*aggregates)
-    return equi_join(df, stats, keys, names, "left", null_safe=True).drop(*names)
+    return equi_join(df, stats, keys, names, "left", null_safe=True, unique_right=True).drop(*names)
 
 
 def sum_over(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
@@ -73,7 +73,8 @@ def rank_over(df: DataFrame, keys: Sequence[str], value: str, out: str, descendi
     rank = F.col("_upto") if method == "dense" else _shared_rank(
         F.col("_upto") - F.col("_ties") + 1, F.col("_ties"), method)
     ranked = ranked.select(*names, "_rank_value", rank.alias(out))
-    return equi_join(df, ranked, [*keys, value], [*names, "_rank_value"], "left", null_safe=True).drop(*names, "_rank_value")
+    joined = equi_join(df, ranked, [*keys, value], [*names, "_rank_value"], "left", null_safe=True, unique_right=True)
+    return joined.drop(*names, "_rank_value")
 
 
 def _shared_rank(lowest: Column, ties: Column, method: str) -> Column:

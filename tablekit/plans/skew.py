@@ -28,7 +28,7 @@ def _broadcastable(left: DataFrame, right: DataFrame, how: str) -> bool:
 
 
 def equi_join(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str],
-              how: str = "inner", null_safe: bool = False) -> DataFrame:
+              how: str = "inner", null_safe: bool = False, unique_right: bool = False) -> DataFrame:
     """Join on key pairs; column names must already be disjoint between the sides.
 
     Small inputs, and joins where Spark broadcasts a side, are left to Spark's planner. Otherwise hot
@@ -38,13 +38,15 @@ def equi_join(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_o
 
     In outer joins a repeated row may miss its partner under some salts. A key is only repeated when
     the other side is known to hold it, so any such unmatched copy is spurious and is removed.
+
+    ``unique_right`` says that no right key repeats, which spares counting that side.
     """
     pairs = list(zip(left_on, right_on, strict=True))
     if how in _SEMI:
-        right = right.select(*right_on).distinct()
+        right, unique_right = right.select(*right_on).distinct(), True
     if is_small(left, right) or _broadcastable(left, right, how):
         return left.join(right, _matches(pairs, null_safe), how)
-    return _salted_join(left, right, left_on, right_on, how, null_safe)
+    return _salted_join(left, right, left_on, right_on, how, null_safe, unique_right)
 
 
 def _heavy(df: DataFrame, keys: Sequence[str], width: int, salts: str, names: Sequence[str]) -> DataFrame:
@@ -65,11 +67,12 @@ def _spread(df: DataFrame, keys: Sequence[str], heavy: DataFrame, names: Sequenc
             .drop("_where", own, *names))
 
 
-def _salted_join(left, right, left_on, right_on, how, null_safe):
+def _salted_join(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str], how: str,
+                 null_safe: bool, unique_right: bool) -> DataFrame:
     width = rows_per_task(left.sparkSession)
     names = [f"_hot{i}" for i in range(len(left_on))]
     heavy_left = _heavy(left, left_on, width, "_sl", names)
-    if how in _SEMI:
+    if unique_right:
         heavy = heavy_left.withColumn("_sr", F.lit(None).cast("int"))
     else:
         heavy_right = _heavy(right, right_on, width, "_sr", names)

@@ -24,10 +24,10 @@ def points_strip(t):
     return ch.points_table(t.part, "p_brand", "p_retailprice", "p_type")
 
 
-@query("SELECT p_partkey, p_type || ' (' || p_brand || ')' AS series, dense_rank() OVER (ORDER BY p_type) - 1 AS series_index FROM part WHERE p_brand <> 'Brand#3'")
+@query("SELECT p_partkey, p_type || ' (' || p_brand || ')' AS series, dense_rank() OVER (ORDER BY p_type) - 1 AS series_index, dense_rank() OVER (ORDER BY p_brand) - 1 AS pattern_index FROM part WHERE p_brand <> 'Brand#3'")
 def series_split(t):
     src = t.part.select("p_partkey", "p_type", F.nullif(F.col("p_brand"), F.lit("Brand#3")).alias("b"))
-    return ch.series_table(src, color="p_type", pattern="b").select("p_partkey", "series", "series_index")
+    return ch.series_table(src, color="p_type", pattern="b").select("p_partkey", "series", "series_index", "pattern_index")
 
 
 @query("SELECT o_orderpriority, o_orderstatus, round(sum(o_totalprice), 2) AS value, "
@@ -189,3 +189,25 @@ def violin_box(t):
 @query("SELECT 'ts' AS \"column\", round(date_diff('microsecond', (SELECT min(ts) FROM events), ts) / 86400000000.0, 5) AS value FROM events")
 def rug_temporal_days(t):
     return rounded(ch.rug_table(t.events, ["ts"]), ["value"], 5)
+
+
+@query("WITH r AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(date_diff('day', TIMESTAMP '1970-01-01', l_shipdate)) AS y0, "
+       "max(date_diff('day', TIMESTAMP '1970-01-01', l_shipdate)) AS y1 FROM lineitem) SELECT least(CAST(floor((l_quantity - x0) / ((x1 - x0) / 20)) AS INTEGER), 19) AS x_bin, "
+       "least(CAST(floor((date_diff('day', TIMESTAMP '1970-01-01', l_shipdate) - y0) / ((y1 - y0) / 20.0)) AS INTEGER), 19) AS y_bin, "
+       "CAST(sum(l_linenumber) AS DOUBLE) AS value FROM lineitem, r GROUP BY 1, 2")
+def density_weighted_temporal(t):
+    return ch.density_table(t.lineitem, "l_quantity", "l_shipdate", weight="l_linenumber")
+
+
+@query("WITH v AS (SELECT 'o_orderdate' AS \"column\", date_diff('day', (SELECT min(o_orderdate) FROM orders), o_orderdate)::DOUBLE AS v FROM orders), "
+       "r AS (SELECT \"column\", min(v) AS lo, 30.0 AS w, max(v) AS hi, count(*) AS n FROM v GROUP BY 1) "
+       "SELECT \"column\", bin, round(any_value(lo) + bin * 30.0, 6)::DOUBLE AS bin_start, 30.0::DOUBLE AS width, count(*) AS count, "
+       "round(count(*) / (any_value(n) * 30.0), 6)::DOUBLE AS density FROM (SELECT \"column\", lo, n, "
+       "least(CAST(floor((v - lo) / w) AS BIGINT), greatest(CAST(ceil((hi - lo) / w) AS BIGINT) - 1, 0)) AS bin FROM v JOIN r USING (\"column\")) GROUP BY 1, 2")
+def dist_histogram_temporal(t):
+    return rounded(ch.distribution_histogram(t.orders, ["o_orderdate"], bin_width=30.0), ["bin_start", "density"], 6)
+
+
+@query("SELECT round(median(o_totalprice), 4) AS median, count(*) AS count, round(min(o_totalprice), 4) AS min FROM orders")
+def box_ungrouped(t):
+    return rounded(ch.box_table(t.orders, "o_totalprice").select("median", "count", "min"), ["median", "min"])

@@ -103,11 +103,23 @@ def sample_size_category(t):
     return t.lineitem.agg(F.lit(n).cast("bigint").alias("sample_size"))
 
 
-@query()
+def _drawn(t, sample):
+    """What a sample must satisfy whatever its rows: its size, no repeats, every row from the table."""
+    known = sample.join(t.orders.select("o_orderkey", "o_totalprice"), ["o_orderkey", "o_totalprice"], "left_semi")
+    return known.agg(F.count("*").alias("rows"), F.count_distinct("o_orderkey").alias("keys"))
+
+
+@query("SELECT least(10000, count(*)) AS rows, least(10000, count(*)) AS keys FROM orders")
 def sample_exact(t):
-    return smp.sample_rows(t.orders, 10_000, key="o_orderkey")
+    return _drawn(t, smp.sample_rows(t.orders, 10_000, key="o_orderkey"))
 
 
-@query()
+@query(f"SELECT n AS rows, n AS keys FROM (SELECT CAST(greatest(1, least(ceil(CASE WHEN n > n0 THEN n0 / (1 + (n0 - 1) / n) ELSE n0 END), n)) AS BIGINT) AS n "
+       f"FROM (SELECT count(*) AS n, power({_Z} * stddev_samp(o_totalprice) / (0.05 * abs(avg(o_totalprice))), 2) AS n0 FROM orders))")
 def sample_representative(t):
-    return smp.representative_sample(t.orders, "o_totalprice", key="o_orderkey")
+    return _drawn(t, smp.representative_sample(t.orders, "o_totalprice", key="o_orderkey"))
+
+
+@query()
+def sample_rows(t):
+    return smp.sample_rows(t.orders, 10_000, key="o_orderkey")

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.columns import _header_names
+from ..operators.columns import header_names
 from ..plans.layout import quoted
 
 _BATCH = 5_000
@@ -65,14 +65,15 @@ def _cell_text(cell, shared: list[str]) -> str | None:
     return value.text
 
 
-def _sheet_rows(content: bytes, wanted: str | None) -> Iterator[tuple[str, int, list[str | None]]]:
+def _sheet_rows(content: bytes, wanted: str | None) -> Iterator[tuple[str, int, bool, list[str | None]]]:
+    """``(sheet, row number, is the first row, cells)``; the sheet is read as a stream."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         sheets = _sheet_parts(book)
         named = [s for s in sheets if s[0] == wanted] if wanted and len(sheets) > 1 else []
         name, part = (named or sheets)[0]
         shared = _shared_strings(book)
         with book.open(part) as stream:
-            number = 0
+            number, first = 0, True
             for _, node in ElementTree.iterparse(stream):
                 if node.tag != f"{_SHEET}row":
                     continue
@@ -82,7 +83,8 @@ def _sheet_rows(content: bytes, wanted: str | None) -> Iterator[tuple[str, int,
                     at = _column_number(cell.get("r")) if cell.get("r") else len(cells)
                     cells += [None] * (at + 1 - len(cells))
                     cells[at] = _cell_text(cell, shared)
-                yield name, number, cells
+                yield name, number, first, cells
+                first = False
                 node.clear()
 
 
@@ -100,36 +102,34 @@ def list_sheets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def workbook_cells(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """Rows of one sheet per workbook as ``(file, sheet, row_no, cells)``; the first sheet unless named."""
-    columns = ["file", "sheet", "row_no", "cells"]
+    """Rows of one sheet per workbook as ``(file, sheet, row_no, is_first, cells)``; the first sheet unless named."""
+    columns = ["file", "sheet", "row_no", "is_first", "cells"]
 
     def scan(batches):
         for pdf in batches:
             for file, content in zip(pdf["path"], pdf["content"]):
                 rows = []
-                for name, number, cells in _sheet_rows(content, sheet):
-                    rows.append((file, name, number, cells))
+                for row in _sheet_rows(content, sheet):
+                    rows.append((file, *row))
                     if len(rows) == _BATCH:
                         yield pd.DataFrame(rows, columns=columns)
                         rows = []
                 if rows:
                     yield pd.DataFrame(rows, columns=columns)
 
-    return _files(spark, path).mapInPandas(scan, "file string, sheet string, row_no int, cells array<string>")
+    return _files(spark, path).mapInPandas(
+        scan, "file string, sheet string, row_no int, is_first boolean, cells array<string>")
 
 
 def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """Workbooks as one table of strings; the first row of each file is its header, names come from one file."""
     cells = workbook_cells(spark, path, sheet)
-    heads = cells.groupBy("file").agg(F.min("row_no").alias("first_row"), F.max(F.size("cells")).alias("width"),
-                                      F.min_by("cells", "row_no").alias("names"))
-    width = heads.agg(F.max("width").alias("w"), F.min_by("names", "file").alias("names")).first()
-    if width["w"] is None:
+    found = cells.agg(F.max(F.size("cells")).alias("width"),
+                      F.min_by("cells", F.when(F.col("is_first"), F.col("file"))).alias("names")).first()
+    if found["width"] is None:
         raise ValueError(f"no rows in {path}")
-    names = _header_names(list(width["names"]) + [None] * (width["w"] - len(width["names"])))
-    starts = heads.select(F.col("file").alias("_file"), "first_row")
-    body = cells.join(starts, F.col("file") == F.col("_file")).where(F.col("row_no") > F.col("first_row"))
-    return body.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    names = header_names(list(found["names"]) + [None] * (found["width"] - len(found["names"])))
+    return cells.where(~F.col("is_first")).select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
 # -- NumPy archives ----------------------------------------------------------------
@@ -155,8 +155,8 @@ def list_arrays(spark: SparkSession, path: str) -> DataFrame:
 _KINDS = {"i": "bigint", "u": "bigint", "f": "double", "b": "boolean", "U": "string", "S": "string", "M": "timestamp_ntz"}
 
 
-def read_npz(spark: SparkSession, path: str, array: str | None = None) -> DataFrame:
-    """One array of every archive as a table: 1-D gives one column, 2-D ``<name>_<i>``, structured its fields."""
+def read_npz(spark: SparkSession, path: str, array: str | None = None, prefix: str = "col") -> DataFrame:
+    """One array of every archive as a table: 1-D gives one column, 2-D ``<prefix>_<i>``, structured its fields."""
     listed = list_arrays(spark, path).orderBy("file", "array")
     if array is None:
         names = [r[0] for r in listed.select("array").distinct().take(2)]
@@ -172,7 +172,7 @@ def read_npz(spark: SparkSession, path: str, array: str | None = None) -> DataFr
     elif len(shape) == 1:
         columns = [(array, kinds[0])]
     elif len(shape) == 2:
-        columns = [(f"{array}_{i}", kinds[0]) for i in range(shape[1])]
+        columns = [(f"{prefix}_{i}", kinds[0]) for i in range(shape[1])]
     else:
         raise ValueError(f"array {array!r} has {len(shape)} dimensions; only 1 or 2 can be a table")
     titles = [c for c, _ in columns]

@@ -122,7 +122,7 @@ def test_numpy_archives(spark, tmp_path):
     path = str(tmp_path / "a.npz")
     assert rows(archives.list_arrays(spark, path), "array", "shape") == [("cube", [2, 2, 2]), ("grid", [3, 2]), ("line", [2]), ("rec", [2])]
     assert rows(read_table(spark, path, array="grid")) == [(0, 1), (2, 3), (4, 5)]
-    assert read_table(spark, path, array="grid").columns == ["grid_0", "grid_1"]
+    assert read_table(spark, path, array="grid").columns == ["col_0", "col_1"]
     assert rows(read_table(spark, path, array="line")) == [(0.5,), (1.5,)]
     assert rows(read_table(spark, path, array="rec")) == [(1, "a"), (2, "b")]
     assert rows(read_table(spark, str(tmp_path / "only.npz"))) == [(1,), (2,), (3,)]
