@@ -62,34 +62,29 @@ _QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 def numeric_profile(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
     """Sum, mean, spread, quartiles and sign counts: one row per numeric column.
 
-    Moments of all columns come from one pass. Quartiles are exact by default: small tables use the
-    built-in percentile, large ones the range-partitioned search keyed by column name.
+    Moments of all columns come from one pass in generated code; percentiles, which have none, are kept
+    out of it. They are exact by default: small tables use the built-in, large ones the
+    range-partitioned search keyed by column name.
     """
     number = {c: lenient_double(F.col(quoted(c)), df.schema[c].dataType) for c in columns}
-
-    def stats(c: str) -> Column:
-        v = number[c]
-        return F.struct(
-            F.lit(c).alias("column"), F.count(v).alias("count"), F.sum(v).alias("sum"), F.avg(v).alias("mean"),
-            F.stddev_samp(v).alias("std"), F.var_samp(v).alias("variance"), F.min(v).alias("min"), F.max(v).alias("max"),
-            F.count_if(v == 0).alias("zeros"), F.count_if(v > 0).alias("positive"), F.count_if(v < 0).alias("negative"),
-            *quartiles(v))
-
-    def quartiles(v: Column) -> list[Column]:
-        at = list(_QUARTILES.values())
-        if approx:
-            return [F.percentile_approx(v, at, 10_000).alias("quartiles")]
-        return [F.percentile(v, F.array(*map(F.lit, at))).alias("quartiles")] if small else []
-
-    small = is_small(df)
-    wide = df.agg(*[stats(c).alias(f"_s{i}") for i, c in enumerate(columns)])
-    rows = wide.select(F.explode(F.array(*[f"_s{i}" for i in range(len(columns))])).alias("s")).select("s.*")
-    if approx or small:
-        return rows.withColumns({n: F.col("quartiles")[i] for i, n in enumerate(_QUARTILES)}).drop("quartiles")
+    moments = {"count": F.count, "sum": F.sum, "mean": F.avg, "std": F.stddev_samp, "variance": F.var_samp, "min": F.min, "max": F.max,
+               "zeros": lambda v: F.count_if(v == 0), "positive": lambda v: F.count_if(v > 0),
+               "negative": lambda v: F.count_if(v < 0)}
+    wide = df.agg(*[agg(v).alias(f"_{name}{i}") for i, v in enumerate(number.values()) for name, agg in moments.items()])
+    rows = wide.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(i).alias("_i"), *[F.col(f"_{name}{i}").alias(name) for name in moments])
+        for i, c in enumerate(columns)])).alias("s")).select("s.*")
+    fractions = list(_QUARTILES.values())
+    if approx or is_small(df):
+        quartiles = (lambda v: F.percentile_approx(v, fractions, 10_000)) if approx else \
+            (lambda v: F.percentile(v, F.array(*map(F.lit, fractions))))
+        found = df.agg(F.array(*[quartiles(v) for v in number.values()]).alias("q")).scalar()
+        mine = F.get(found, F.col("_i"))
+        return rows.withColumns({n: mine[i] for i, n in enumerate(_QUARTILES)}).drop("_i")
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), v.alias("v")) for c, v in number.items()]))
     long = df.select(cells.alias("c")).select(F.col("c.column").alias("_name"), "c.v").where(F.col("v").isNotNull())
     quarts = exact_quantiles(long, ["_name"], "v", _QUARTILES)
-    return rows.join(quarts, F.col("column") == F.col("_name"), "left").drop("_name")
+    return rows.join(quarts, F.col("column") == F.col("_name"), "left").drop("_name", "_i")
 
 
 def datetime_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
