@@ -57,14 +57,20 @@ def _heavy(df: DataFrame, keys: Sequence[str], width: int, salts: str, names: Se
 
 def _spread(df: DataFrame, keys: Sequence[str], heavy: DataFrame, names: Sequence[str], own: str, other: str,
             own_salt: str, other_salt: str, null_safe: bool) -> DataFrame:
-    """Give each row its own salt and repeat it once per salt of the other side."""
-    marked = df.withColumn("_where", F.spark_partition_id())
-    content = F.xxhash64(*[F.col(c) for c in hashable(df)], F.col("_where"))
-    joined = marked.join(F.broadcast(heavy), _matches(list(zip(keys, names)), null_safe), "left")
-    return (joined
-            .withColumn(own_salt, F.pmod(content, F.coalesce(F.col(own), F.lit(1))).cast("int"))
-            .withColumn(other_salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)))
-            .drop("_where", own, *names))
+    """Give each row its own salt and repeat it once per salt of the other side.
+
+    ``own`` and ``other`` name the salt counts in ``heavy``; a count that is not there means one salt.
+    The salt follows from the row and its input partition, so a re-run task gives the same one.
+    """
+    joined = (df.withColumn("_where", F.spark_partition_id())
+              .join(F.broadcast(heavy), _matches(list(zip(keys, names)), null_safe), "left"))
+    salt = repeat = F.lit(0)
+    if own in heavy.columns:
+        content = F.xxhash64(*[F.col(c) for c in hashable(df)], F.col("_where"))
+        salt = F.pmod(content, F.coalesce(F.col(own), F.lit(1))).cast("int")
+    if other in heavy.columns:
+        repeat = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))
+    return joined.withColumn(own_salt, salt).withColumn(other_salt, repeat).drop("_where", own, *names)
 
 
 def _salted_join(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str], how: str,
@@ -73,16 +79,17 @@ def _salted_join(left: DataFrame, right: DataFrame, left_on: Sequence[str], righ
     names = [f"_hot{i}" for i in range(len(left_on))]
     heavy_left = _heavy(left, left_on, width, "_sl", names)
     if unique_right:
-        heavy = heavy_left.withColumn("_sr", F.lit(None).cast("int"))
+        heavy = heavy_left
     else:
         heavy_right = _heavy(right, right_on, width, "_sr", names)
         heavy = (heavy_left.withColumn("_sr", F.lit(None).cast("int"))
                  .unionByName(heavy_right.withColumn("_sl", F.lit(None).cast("int")))
                  .groupBy(*names).agg(F.max("_sl").alias("_sl"), F.max("_sr").alias("_sr")))
     lhs = _spread(left, left_on, heavy, names, "_sl", "_sr", "_li", "_lj", null_safe)
-    lhs = lhs.withColumn("_split_right", F.col("_sr").isNotNull()).drop("_sr").withColumn("_in_left", F.lit(True))
+    split = F.lit(False) if unique_right else F.col("_sr").isNotNull()
+    lhs = lhs.withColumns({"_split_right": split, "_in_left": F.lit(True)}).drop("_sr")
     rhs = _spread(right, right_on, heavy, names, "_sr", "_sl", "_rj", "_ri", null_safe)
-    rhs = rhs.withColumn("_split_left", F.col("_sl").isNotNull()).drop("_sl").withColumn("_in_right", F.lit(True))
+    rhs = rhs.withColumns({"_split_left": F.col("_sl").isNotNull(), "_in_right": F.lit(True)}).drop("_sl")
     on = (_matches(list(zip(left_on, right_on)), null_safe)
           & (F.col("_li") == F.col("_ri")) & (F.col("_lj") == F.col("_rj")))
     out = lhs.join(rhs, on, how)

@@ -6,7 +6,7 @@ from ..operators import columns as ops
 from ..operators.recipe import Recipe, apply_recipe
 from ..operators.sort import sort_by, top_k
 from ..plans.layout import with_row_id
-from .base import query, rounded
+from .base import query, rounded, text_of
 
 
 @query("SELECT o_orderkey, o_orderstatus, CAST(year(o_orderdate) AS INTEGER) AS order_year, "
@@ -32,9 +32,10 @@ def col_rename(t):
     return ops.rename_columns(t.supplier, {"s_suppkey": "supplier", "s_name": "name"})
 
 
-@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate FROM lineitem")
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate FROM lineitem")
 def col_by_type(t):
-    return ops.select_by_type(t.lineitem, ["integer", "temporal"])
+    out = ops.select_by_type(t.lineitem, ["integer", "temporal"])
+    return out.withColumn("l_shipdate", text_of(F.col("l_shipdate")))
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS _row_id FROM orders "

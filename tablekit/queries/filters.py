@@ -216,8 +216,9 @@ def dedup_none(t):
     return drop_duplicate_rows(t.lineitem.select("l_partkey", "l_suppkey", "l_quantity"), "none")
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderpriority, o_orderdate FROM orders "
+@query("SELECT o_orderkey, o_custkey, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate FROM orders "
        "QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) = 1")
 def dedup_subset(t):
-    return drop_duplicate_rows(t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate"), "first",
+    kept = drop_duplicate_rows(t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate"), "first",
                                ["o_custkey", "o_orderpriority"], order_by="o_orderkey")
+    return kept.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
