@@ -236,7 +236,7 @@ def _with_fences(df: DataFrame, fenced: DataFrame, keys: Sequence[str]) -> DataF
         return df.withColumns({s: one[s] for s in stats})
     names = [f"_b{i}" for i in range(len(keys))]
     side = fenced.select(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names)], *stats)
-    return equi_join(df, side, keys, names, "inner", null_safe=True, unique_right=True).drop(*names)
+    return equi_join(df, side, keys, names, "inner", null_safe=True, unique_right=True, maybe_small=True).drop(*names)
 
 
 def violin_table(df: DataFrame, y: str, x: str | None = None, color: str | None = None,
@@ -325,7 +325,7 @@ def _kde(long: DataFrame, keys: list[str], points: int) -> DataFrame:
                                      F.stddev_samp("v").alias("sd"))
     if keys:
         side = stats.select(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names)], "lo", "hi", "n", "sd")
-        rows = equi_join(long, side, keys, names, "inner", null_safe=True, unique_right=True).drop(*names)
+        rows = equi_join(long, side, keys, names, "inner", null_safe=True, unique_right=True, maybe_small=True).drop(*names)
     else:
         one = stats.select(F.struct("lo", "hi", "n", "sd")).scalar()
         rows = long.withColumns({s: one[s] for s in ("lo", "hi", "n", "sd")})

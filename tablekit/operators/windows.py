@@ -28,7 +28,7 @@ def aggregate_over(df: DataFrame, keys: Sequence[str], aggregates: Mapping[str,
 def _joined_back(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
     names = [f"_w{i}" for i in range(len(keys))]
     stats = df.groupBy(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names)]).agg(*aggregates)
-    return equi_join(df, stats, keys, names, "left", null_safe=True, unique_right=True).drop(*names)
+    return equi_join(df, stats, keys, names, "left", null_safe=True, unique_right=True, maybe_small=True).drop(*names)
 
 
 def sum_over(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:

@@ -7,10 +7,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .layout import hashable
+from .layout import durable, hashable
 from .sizing import estimated_bytes, is_small, rows_per_task
 
 _SEMI = {"left_semi", "left_anti"}
+# Group totals are narrow rows; this many of them are a few tens of megabytes.
+BROADCAST_ROWS = 200_000
 
 
 def _matches(pairs: Sequence[tuple[str, str]], null_safe: bool) -> Column:
@@ -28,7 +30,8 @@ def _broadcastable(left: DataFrame, right: DataFrame, how: str) -> bool:
 
 
 def equi_join(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str],
-              how: str = "inner", null_safe: bool = False, unique_right: bool = False) -> DataFrame:
+              how: str = "inner", null_safe: bool = False, unique_right: bool = False,
+              maybe_small: bool = False) -> DataFrame:
     """Join on key pairs; column names must already be disjoint between the sides.
 
     Small inputs, and joins where Spark broadcasts a side, are left to Spark's planner. Otherwise hot
@@ -39,13 +42,19 @@ def equi_join(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_o
     In outer joins a repeated row may miss its partner under some salts. A key is only repeated when
     the other side is known to hold it, so any such unmatched copy is spurious and is removed.
 
-    ``unique_right`` says that no right key repeats, which spares counting that side.
+    ``unique_right`` says that no right key repeats, which spares counting that side. ``maybe_small`` marks a
+    right side, such as group totals, that is often far smaller than the optimizer can tell: it is
+    materialised and counted, and broadcast up to ``BROADCAST_ROWS`` rows, so the left rows need no shuffle.
     """
     pairs = list(zip(left_on, right_on, strict=True))
     if how in _SEMI:
         right, unique_right = right.select(*right_on).distinct(), True
     if is_small(left, right) or _broadcastable(left, right, how):
         return left.join(right, _matches(pairs, null_safe), how)
+    if maybe_small and how in {"inner", "left"}:
+        right = durable(right)
+        if right.count() <= BROADCAST_ROWS:
+            return left.join(F.broadcast(right), _matches(pairs, null_safe), how)
     return _salted_join(left, right, left_on, right_on, how, null_safe, unique_right)
 
 

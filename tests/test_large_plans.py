@@ -97,6 +97,16 @@ def test_window_values(spark):
         assert plain == large
 
 
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_group_totals_by_broadcast_and_by_salt(spark, monkeypatch, limit):
+    import tablekit.plans.skew as skew
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", limit)
+    df = skewed(spark, 400)
+    for make in (lambda: win.sum_over(df, ["k"], "v", "t"), lambda: charts.box_outliers(df.withColumn("v", F.col("v") * F.col("v")), "v", "s")):
+        plain, large = both(spark, make)
+        assert plain == large
+
+
 def test_occurrence(spark):
     df = skewed(spark)
     for make in (lambda: occ.first_occurrence(df, "k", "id"), lambda: occ.last_occurrence(df, "k", "id"),
