@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablekit.llm.minhash import near_duplicates
+from tablekit.llm.suffixes import contamination_report
 from tablekit.llm.token_files import token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +30,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_query("op9_token_files")
 def _token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_table(spark, sf_dir, "documents"))
+
+
+@_query("op2_suffix_decontamination")
+def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query("op3_minhash_near_duplicates")
+def _near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), size=2)

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: Bits of the table that maybe_among sends to all tasks: 2^23 bits in 2^17 words of 8 bytes, whatever the number of ids.
+_FILTER_BITS = 23
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,3 +37,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def text_columns(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, whatever else the table holds."""
     return docs.select(*(docs[f"`{x}`"] for x in names))
+
+
+def maybe_among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """`df` with a boolean `_maybe`: false where the id is surely not in `ids` (one column), without a shuffle of `df`.
+
+    The ids are folded into a bit table of fixed size, which is broadcast. With very many ids it lets more rows through, so
+    those with `_maybe` still need an exact join. A null id is never among them.
+    """
+    cell = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(1 << _FILTER_BITS))
+    name = ids.columns[0]
+    bits = (ids.where(F.col(name).isNotNull()).select(cell(F.col(name)).alias("_cell")).groupBy(F.expr("_cell div 64").alias("_word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(_cell % 64 as int))")).alias("_mask")))
+    own = df.withColumn("_cell", cell(df[column]))
+    seen = F.expr("_mask is not null and (shiftright(_mask, cast(_cell % 64 as int)) & 1L) = 1") & F.col(column).isNotNull()
+    return own.join(F.broadcast(bits), F.expr("_cell div 64 = _word"), "left").withColumn("_maybe", seen).drop("_cell", "_word", "_mask")
