@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablekit.llm.minhash import near_duplicates
+from tablekit.llm.quality import quality_report
 from tablekit.llm.suffixes import contamination_report
 from tablekit.llm.token_files import token_output
 
@@ -40,3 +41,8 @@ def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op3_minhash_near_duplicates")
 def _near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=2)
+
+
+@_query("op1_robust_quality")
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(_table(spark, sf_dir, "documents"))
