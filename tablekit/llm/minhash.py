@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablekit.llm.arrays import NOT_SPACE, Block, blocks, mixed, words
-from tablekit.llm.work import maybe_among, text_columns, written
+from tablekit.llm.work import maybe_among, text_columns, without, written
 
 #: 32 bands of 4 minima: two sets of similarity 0.8 share no band with a chance of 5e-8.
 BANDS, ROWS = 32, 4
@@ -225,6 +225,4 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that stay, all columns kept: of each group the document with the smallest id."""
     gone = written(near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    marked = maybe_among(docs, "doc_id", gone)
-    sure, rest = marked.where("not _maybe").drop("_maybe"), marked.where("_maybe").drop("_maybe")
-    return sure.unionAll(rest.join(gone, rest["doc_id"] == F.col("_gone"), "left_anti"))
+    return without(docs, "doc_id", gone)

@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablekit.llm.work import text_columns, written
+from tablekit.llm.work import text_columns, without, written
 
 #: The white space of the word rule, and the symbols that are counted.
 _SPACE, _SYMBOLS = r"[\x20\x09-\x0D]+", "[#*$%&|<>]"
@@ -176,3 +176,10 @@ def quality_report(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN
     judged = judged.join(named, ["l", "r"], "left").join(fits, "g", "left").withColumn("d2", _distance() / F.col("scale"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                          (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cutoff)).alias("kept"), "d2")
+
+
+def passing(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
+    """The rows of `docs` that are kept, all columns kept. A row goes if any row of its doc_id is rejected; one without a
+    doc_id stays only if no such row is rejected. Only ids that may be rejected are joined; the other rows are not shuffled."""
+    report = quality_report(docs, cutoff, min_group).where("not kept").select(F.col("doc_id").cast("long").alias("_gone")).distinct()
+    return without(docs, "doc_id", written(report, "rejected"))

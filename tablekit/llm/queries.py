@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablekit.llm.minhash import near_duplicates
+from tablekit.llm.mixing import mixture
 from tablekit.llm.quality import quality_report
 from tablekit.llm.suffixes import contamination_report
 from tablekit.llm.token_files import token_output
@@ -46,3 +47,8 @@ def _near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op1_robust_quality")
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
+
+
+@_query("op8_temperature_mixing")
+def _mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(_table(spark, sf_dir, "documents"))

@@ -47,8 +47,16 @@ def maybe_among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """
     cell = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(1 << _FILTER_BITS))
     name = ids.columns[0]
-    bits = (ids.where(F.col(name).isNotNull()).select(cell(F.col(name)).alias("_cell")).groupBy(F.expr("_cell div 64").alias("_word"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(_cell % 64 as int))")).alias("_mask")))
-    own = df.withColumn("_cell", cell(df[column]))
-    seen = F.expr("_mask is not null and (shiftright(_mask, cast(_cell % 64 as int)) & 1L) = 1") & F.col(column).isNotNull()
-    return own.join(F.broadcast(bits), F.expr("_cell div 64 = _word"), "left").withColumn("_maybe", seen).drop("_cell", "_word", "_mask")
+    bits = (ids.where(F.col(name).isNotNull()).select(cell(F.col(name)).alias("_among_cell")).groupBy(F.expr("_among_cell div 64").alias("_among_word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(_among_cell % 64 as int))")).alias("_among_mask")))
+    own = df.withColumn("_among_cell", cell(df[column]))
+    seen = F.expr("_among_mask is not null and (shiftright(_among_mask, cast(_among_cell % 64 as int)) & 1L) = 1") & F.col(column).isNotNull()
+    return own.join(F.broadcast(bits), F.expr("_among_cell div 64 = _among_word"), "left").withColumn("_maybe", seen).drop("_among_cell", "_among_word", "_among_mask")
+
+
+def without(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """The rows of `df` whose id is not in `gone` (one column; null matches null). Only rows that may be in it are shuffled."""
+    marked = maybe_among(df, column, gone)
+    rest = marked.where(F.col("_maybe") | F.col(column).isNull()).drop("_maybe")
+    name = gone.columns[0]
+    return marked.where(~F.col("_maybe") & F.col(column).isNotNull()).drop("_maybe").unionAll(rest.join(gone, rest[column].cast("long").eqNullSafe(gone[name]), "left_anti"))
