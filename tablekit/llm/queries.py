@@ -11,6 +11,7 @@ from tablekit.llm.mixing import mixture
 from tablekit.llm.quality import quality_report
 from tablekit.llm.suffixes import contamination_report
 from tablekit.llm.token_files import token_output
+from tablekit.llm.toxicity import fit_chain, predict_chain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +53,13 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_temperature_mixing")
 def _mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(_table(spark, sf_dir, "documents"))
+
+
+#: The labels table has two marks; the chain goes from low quality, whose cause often is junk, to toxic.
+_CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
+
+
+@_query("op4_toxicity_chain")
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return predict_chain(docs, fit_chain(docs, _table(spark, sf_dir, "labels"), _CATEGORIES))
