@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tablekit.llm.language import fit_coder, predict_language
 from tablekit.llm.minhash import near_duplicates
 from tablekit.llm.mixing import mixture
 from tablekit.llm.quality import quality_report
@@ -63,3 +64,11 @@ _CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return predict_chain(docs, fit_chain(docs, _table(spark, sf_dir, "labels"), _CATEGORIES))
+
+
+@_query("op5_language_codes")
+def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = lambda name: F.coalesce(F.pmod(F.crc32(F.col(name).cast("string")), F.lit(4)) == 2, F.lit(False))
+    found = predict_language(docs, fit_coder(docs, ~held_out("doc_id")))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
