@@ -10,6 +10,7 @@ from tablekit.llm.language import fit_coder, predict_language
 from tablekit.llm.minhash import near_duplicates
 from tablekit.llm.mixing import mixture
 from tablekit.llm.quality import quality_report
+from tablekit.llm.secrets import secrets_report
 from tablekit.llm.suffixes import contamination_report
 from tablekit.llm.token_files import token_output
 from tablekit.llm.toxicity import fit_chain, predict_chain
@@ -72,3 +73,8 @@ def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = lambda name: F.coalesce(F.pmod(F.crc32(F.col(name).cast("string")), F.lit(4)) == 2, F.lit(False))
     found = predict_language(docs, fit_coder(docs, ~held_out("doc_id")))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@_query("op10_grammar_secrets")
+def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_report(_table(spark, sf_dir, "documents"))
