@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tablekit.llm.crossentropy import cross_entropy_difference
+from tablekit.llm.edits import cleaning_edits, edited_counts, with_trees
 from tablekit.llm.language import fit_coder, predict_language
 from tablekit.llm.minhash import near_duplicates
 from tablekit.llm.mixing import mixture
@@ -78,3 +80,14 @@ def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_grammar_secrets")
 def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_report(_table(spark, sf_dir, "documents"))
+
+
+@_query("op7_cross_entropy_difference")
+def _cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return cross_entropy_difference(_table(spark, sf_dir, "documents"), good)
+
+
+@_query("op6_edited_token_counts")
+def _edited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_counts(with_trees(cleaning_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))))

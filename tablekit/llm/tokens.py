@@ -64,8 +64,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
-        self._marks = [x.content for x in self._tokenizer.get_added_tokens_decoder().values()]
-        self._special = tuple(x.encode() for x in self._marks)
+        self.marks = [x.content for x in self._tokenizer.get_added_tokens_decoder().values()]
+        self.special = tuple(x.encode() for x in self.marks)
         line = self._tokenizer.encode("\n", add_special_tokens=False).ids
         self._line_break = line[0] if len(line) == 1 else -1
         self._room, self._mask = room, np.uint64(2 * room - 1)
@@ -115,7 +115,7 @@ class PieceEncoder:
         """Ids of each piece. Pieces with no white space but one leading blank are encoded many at a time, with line breaks
         between them, which the pre-tokenizer keeps apart; where the breaks don't come back one by one, each goes alone."""
         out: list[list[int] | None] = [None] * len(texts)
-        joined = [i for i, x in enumerate(texts) if not any(c.isspace() for c in x[1:]) and (x[:1] == " " or not x[:1].isspace()) and not any(m in x for m in self._marks)]
+        joined = [i for i, x in enumerate(texts) if not any(c.isspace() for c in x[1:]) and (x[:1] == " " or not x[:1].isspace()) and not any(m in x for m in self.marks)]
         for at in range(0, len(joined), _JOINED):
             some = joined[at:at + _JOINED]
             ids = self._tokenizer.encode_batch_fast(["\n".join(texts[i] for i in some)], add_special_tokens=False)[0].ids
@@ -128,9 +128,8 @@ class PieceEncoder:
             out[i] = x.ids
         return out
 
-    def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts of the block in a row, and how many each text has."""
-        start, end, first = pieces(block, self._special)
+    def encode_pieces(self, block: Block, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of the pieces in a row, how many each has, and their running total."""
         if self._n > self._room:
             self._forget()
         hashes = span_hashes(block.data, start, end)
@@ -144,9 +143,13 @@ class PieceEncoder:
             row[missing] = self._learn(new, self._encoded(texts))[which]
         lengths = self._length[row].astype(np.int64)
         ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self._ids[np.repeat(self._start[row] - (ends - lengths), lengths) + np.arange(total)]
-        ends = np.concatenate([np.zeros(1, np.int64), ends])
+        ids = self._ids[np.repeat(self._start[row] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, lengths, np.concatenate([np.zeros(1, np.int64), ends])
+
+    def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of the block in a row, and how many each text has."""
+        start, end, first = pieces(block, self.special)
+        ids, _, ends = self.encode_pieces(block, start, end)
         return ids, ends[first[1:]] - ends[first[:-1]]
 
 
