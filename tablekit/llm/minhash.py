@@ -1,9 +1,10 @@
 """Near-duplicates: universal hash minima, banding, signature verification, exact confirmation, connected components.
 
 Copies (equal shingle sets) fold into one representative first. In each band bucket the members are linked to one centre, not
-to each other, so a bucket of any size costs a row per member and round; whatever two stars leave unproven is compared across
-the components that still share a bucket. Every link is confirmed on the full sets. Components come from alternating large-star
-and small-star steps.
+to each other, so a bucket of any size costs a row per member. Members that the stars leave in different components of a shared
+bucket are then compared with each other: those of small buckets as pairs, those of large ones in blocks of bounded size, where
+a task counts all intersections of two blocks and gives out links alone. Every link is confirmed on the full sets. Components
+come from alternating large-star and small-star steps.
 """
 
 from __future__ import annotations
@@ -21,6 +22,11 @@ from tablekit.llm.work import maybe_among, text_columns, without, written
 BANDS, ROWS = 32, 4
 #: A pair goes to confirmation unless its signatures agree in so few minima as a similar pair does with a chance under 1e-9.
 _SIGMAS = 6.0
+#: Buckets of at most so many members give out their pairs (so a row gives a bounded number); larger ones are compared in
+#: blocks of about so many documents and so many characters of text.
+SMALL_BUCKET, BLOCK_DOCS, BLOCK_CHARS = 32, 512, 16 << 20
+_COLUMNS = 1 << 13
+EDGES_PER_TASK = 250_000
 _FACTORS = np.random.default_rng(97).integers(1, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -109,9 +115,9 @@ def _agreeing(pairs: DataFrame, minima: DataFrame, threshold: float) -> DataFram
     return pairs.join(own, "a").join(other, "b").select("a", "b", "minima_a", "minima_b").mapInArrow(agree, "a long, b long")
 
 
-def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(rep, text) of the documents in the pairs, read from the table with nearly all other rows dropped in the scan."""
-    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "ends")
+def _texts_of(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """(rep, text) of the documents `ends` (rep), read from the table with nearly all other rows dropped in the scan."""
+    ends = written(ends.distinct(), "ends")
     texts = text_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("rep"), "text")
     return maybe_among(texts, "rep", ends).where("_maybe").drop("_maybe").join(ends, "rep", "left_semi")
 
@@ -139,6 +145,49 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return pairs.join(own, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
 
 
+def _block_links(ids: np.ndarray, components: np.ndarray, side: np.ndarray, texts: list[str], within: bool, size: int, percent: int) -> list[tuple[int, int]]:
+    """Links between documents of different components of two blocks (or within one): exact intersections by products of
+    incidence matrices, a slice of the shared shingles at a time."""
+    sets = [shingle_sets(block, size) for block in blocks(pa.array(texts, pa.string()))]
+    value = np.concatenate([v for v, _ in sets])
+    length = np.concatenate([np.diff(at) for _, at in sets])
+    row = np.repeat(np.arange(len(texts)), length)
+    word, column, seen = np.unique(value, return_inverse=True, return_counts=True)
+    place = np.cumsum(seen > 1) - 1
+    shared = seen[column] > 1
+    row, column = row[shared], place[column[shared]]
+    left, right = (np.arange(len(texts)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    both = np.zeros((len(left), len(right)), np.float32)
+    for begin in range(0, int((seen > 1).sum()), _COLUMNS):
+        inside = (column >= begin) & (column < begin + _COLUMNS)
+        has = np.zeros((len(texts), _COLUMNS), np.float32)
+        has[row[inside], column[inside] - begin] = 1
+        both += has[left] @ has[right].T
+    union = length[left][:, None] + length[right][None, :] - both
+    link = (both > 0) & (100 * both >= percent * union) & (components[left][:, None] != components[right][None, :])
+    return [(int(ids[left[i]]), int(ids[right[j]])) for i, j in zip(*np.nonzero(link)) if ids[left[i]] != ids[right[j]]]
+
+
+def _links_in_blocks(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b) for all links between members (bucket, rep, component) of large buckets. Documents that large buckets chain
+    together are a family; it is cut into blocks by hash, and each pair of blocks is one group, so a document is sent once
+    per block of its family."""
+    least = members.groupBy("bucket").agg(F.min("rep").alias("least"))
+    family = written(connected_components(members.join(least, "bucket").select(F.col("rep").alias("a"), F.col("least").alias("b"))), "families")
+    named = written(members.groupBy("rep").agg(F.first("component").alias("component")).join(family.withColumnRenamed("node", "rep").withColumnRenamed("component", "family"), "rep"), "named")
+    texts = _texts_of(docs, named.select("rep")).join(named, "rep")
+    totals = written(texts.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).alias("n")), "family-sizes")
+    dealt = texts.join(totals, "family").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n"))).withColumn("other", F.explode(F.expr("sequence(0L, n - 1)")))
+    dealt = dealt.select("rep", "component", "text", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+
+    def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        of = lambda name: rows.column(name).to_numpy()
+        links = _block_links(of("rep"), of("component"), of("side"), rows.column("text").to_pylist(), key[1].as_py() == key[2].as_py(), size, percent)
+        return pa.table({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
+
+    return dealt.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of the links; component is its smallest reachable node.
 
@@ -147,21 +196,32 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     nothing: then every node points straight at its component.
     """
     edges = written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
-    before = None
+    before, n = None, edges.count()
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = written(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        edges = written(small, "small-star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = now
+        edges = _starred(edges, n)
+        n, total = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if (n, total) == before:
+            return _pointers(edges)
+        before = n, total
+
+
+def _starred(edges: DataFrame, n: int) -> DataFrame:
+    """One large-star and one small-star step over n edges (u > v). Their tasks are as many as the edges need."""
+    tasks = max(4, -(-n // EDGES_PER_TASK))
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    large = written(large.coalesce(tasks), "large-star")
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = (large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+             .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+    return written(small.coalesce(tasks), "small-star")
+
+
+def _pointers(edges: DataFrame) -> DataFrame:
+    """(node, component) from edges (u > v): the smallest node each points at; roots point at themselves."""
+    own = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return own.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(own, "node", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -171,7 +231,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     are linked where 100 * intersection >= percent * union. Null or empty text: an empty set, linked with nothing. Rows of one
     doc_id are one document; rows without a doc_id are never linked (component_id null, kept). An empty table gives no rows.
     """
-    spark = docs.sparkSession
     signed = written(signatures(docs, size), "signatures")
     prints = ["print_a", "print_b"]
     sets = signed.where("n_shingles > 0 and doc_id is not null")
@@ -181,42 +240,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = written(bands.join(shared, "bucket"), "members")
 
-    none = spark.createDataFrame([], "a long, b long")
-    links, tested, labels = none, none, None
-    for turn in range(3):
-        if labels is None:
-            here = members.withColumn("component", F.col("rep")).withColumn("degree", F.lit(0))
-        else:
-            degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
-            here = (members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-                    .withColumn("component", F.coalesce("component", "rep")).withColumn("degree", F.coalesce("degree", F.lit(0))))
-            open_buckets = here.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-            here = written(here.join(open_buckets, "bucket"), "open")
-        if turn < 2:  # one centre per bucket: the member with most links, then the smallest
-            centres = (here.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("minus"), "component")).alias("c"))
-                       .select("bucket", (-F.col("c.minus")).alias("centre"), F.col("c.component").alias("its")))
-            pairs = here.join(centres, "bucket").where("component != its").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-        else:  # what is left: members of different components that still share a bucket
-            left, right = here.select("bucket", F.col("rep").alias("a"), "component"), here.select("bucket", F.col("rep").alias("b"), F.col("component").alias("other"))
-            pairs = left.join(right, "bucket").where("a < b and component != other").select("a", "b")
-        pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti") if turn else pairs.distinct()
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            break
+    def confirmed(pairs: DataFrame) -> DataFrame:
         likely = written(_agreeing(pairs, minima, percent / 100), "likely")
-        if not likely.isEmpty():
-            found = written(_confirmed(likely, _texts_of(docs, likely), size, percent), "confirmed")
-            links = links.unionByName(found) if turn else found
-            labels = written(connected_components(links), "labels")
-        tested = tested.unionByName(pairs) if turn else pairs
-        if labels is None:
-            labels = spark.createDataFrame([], "node long, component long")
+        return _confirmed(likely, _texts_of(docs, likely.select(F.explode(F.array("a", "b")).alias("rep"))), size, percent)
+
+    stars = members.groupBy("bucket").agg(F.min("rep").alias("a"))
+    pairs = written(members.join(stars, "bucket").where("rep != a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    links = written(confirmed(pairs), "confirmed")
+    # What two star steps join surely belongs together; the components themselves come last.
+    sure = links.select(F.col("b").alias("u"), F.col("a").alias("v"))
+    labels = written(_pointers(_starred(sure, links.count())), "labels")
+
+    here = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    still = here.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y").select("bucket", "n")
+    here = written(here.join(still, "bucket"), "open")
+    small = here.where(F.col("n") <= SMALL_BUCKET).select("bucket", "rep", "component")
+    other = small.select("bucket", F.col("rep").alias("b"), F.col("component").alias("its"))
+    rest = small.withColumnRenamed("rep", "a").join(other, "bucket").where("a < b and component != its").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    found = confirmed(written(rest, "pairs")).unionByName(_links_in_blocks(docs, here.where(F.col("n") > SMALL_BUCKET), size, percent))
+    found = written(found, "confirmed")
+    labels = written(connected_components(links.unionByName(found)), "labels")
 
     ids = signed.select("doc_id", "n_shingles", *prints).join(classes, prints, "left")
-    if labels is not None:
-        ids = ids.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    else:
-        ids = ids.withColumn("component", F.lit(None).cast("long"))
+    ids = ids.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
     return ids.select("doc_id", "n_shingles", F.coalesce(own, F.col("doc_id")).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
