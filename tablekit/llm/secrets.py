@@ -28,6 +28,8 @@ EXAMPLES = 600
 #: A candidate must score like all but this share of the kind's held-out examples, and be so many nats likelier as a
 #: credential than as an ordinary run.
 _TAIL, _ODDS = 0.02, 8.0
+#: A format that takes more than this share of the other runs for credentials tells nothing and is left out.
+_LOOSE = 0.1
 _SCANNED = "doc_id long, base array<struct<kind:int,start:int,end:int,value:string>>, runs array<struct<start:int,end:int,value:string>>"
 
 
@@ -89,7 +91,7 @@ def _examples(values: DataFrame, bound: int) -> list[str]:
 
 def fit_grammar(scanned: DataFrame, examples: int = EXAMPLES) -> Grammar:
     """An automaton per kind from the values that its pattern labels, and one from ordinary runs; each from at most `examples`
-    distinct strings. Every fourth example is held out to set the kind's threshold; a kind with fewer than 20 is left out."""
+    distinct strings, the latter without what the formats take. Every fourth example is held out to set the kind's threshold; a kind with fewer than 20 is left out."""
     base = scanned.select(F.explode("base").alias("s")).select("s.kind", "s.value")
     formats = []
     for kind, name in enumerate(KINDS):
@@ -97,7 +99,11 @@ def fit_grammar(scanned: DataFrame, examples: int = EXAMPLES) -> Grammar:
         if len(values) >= 20:
             automaton = infer([v for i, v in enumerate(values) if i % 4])
             formats.append((name, automaton, float(np.quantile(automaton.likelihood(values[::4]), _TAIL))))
-    return Grammar(formats, infer(_examples(scanned.select(F.explode("runs.value").alias("value")), examples)))
+    runs = _examples(scanned.select(F.explode("runs.value").alias("value")), examples)
+    formats = [f for f in formats if (f[1].likelihood(runs) >= f[2]).sum() <= _LOOSE * len(runs)]
+    # Runs that a format takes are no examples of ordinary ones: unmarked credentials would teach what they are.
+    taken = np.any([f[1].likelihood(runs) >= f[2] for f in formats], axis=0) if formats else np.zeros(len(runs), bool)
+    return Grammar(formats, infer([v for v, t in zip(runs, taken) if not t]))
 
 
 def find_secrets(docs: DataFrame, examples: int = EXAMPLES) -> DataFrame:
