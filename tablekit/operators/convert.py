@@ -19,6 +19,7 @@ CATEGORY, BOOLEAN, TEXT = "Categorical", "Boolean", "String (ID Field/Key)"
 TARGETS = (FLOAT, INTEGER, DATETIME, CATEGORY, BOOLEAN, TEXT)
 
 CATEGORY_METADATA = {"semantic": "category"}
+_WHOLE = r"^\s*[+-]?\d{1,19}\s*$"
 _TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
@@ -36,7 +37,13 @@ def to_integer(col: Column, dtype: T.DataType) -> Column:
     """Whole number, truncated toward zero; null beyond 64 bits."""
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return col.cast("bigint")
-    return to_float(col, dtype).try_cast("bigint")
+    return _exact_first(col, dtype, to_float(col, dtype))
+
+
+def _exact_first(col: Column, dtype: T.DataType, number: Column) -> Column:
+    """Whole numbers as text are read digit by digit, as a double holds only 53 bits of them; the rest by ``number``."""
+    rest = number.try_cast("bigint")
+    return F.coalesce(F.when(col.rlike(_WHOLE), F.trim(col).try_cast("bigint")), rest) if isinstance(dtype, T.StringType) else rest
 
 
 def to_datetime(col: Column, dtype: T.DataType) -> Column:
@@ -182,7 +189,8 @@ def cast_columns(df: DataFrame, columns: list[str], type_name: str) -> DataFrame
         if target == FLOAT:
             out = out.withColumn(c, to_numeric(col, dtype))
         elif target == INTEGER:
-            out = out.withColumn(c, to_numeric(col, dtype).try_cast("bigint"))
+            exact = isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+            out = out.withColumn(c, col.cast("bigint") if exact else _exact_first(col, dtype, to_numeric(col, dtype)))
         else:
             out = apply_conversion(out, c, target)
     return out

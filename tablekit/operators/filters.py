@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, InvalidOperation
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -96,12 +97,21 @@ def _number(text: str) -> float | None:
         raise BadLiteral(f"not a number: {text!r}") from error
 
 
-def _integral_compare(col: Column, sign: str, value: float) -> Column:
-    """Compare a whole-number column without casting it, so the test reaches the scan's statistics."""
-    if sign == "Equals":
-        return (col == int(value)) if value == int(value) else F.when(col.isNotNull(), False)
-    whole = {">": math.floor, "<": math.ceil, ">=": math.ceil, "<=": math.floor}[sign](value)
-    return _compare(col, sign, int(whole))
+def _decimal(text: str) -> Decimal:
+    """The number as written; text that only float() reads goes by its value."""
+    try:
+        return Decimal(text.strip())
+    except InvalidOperation:
+        return Decimal(float(text))
+
+
+def _integral_compare(col: Column, sign: str, value: Decimal) -> Column:
+    """Compare a whole-number column, exactly over all 64 bits and without casting it, so the test reaches the scan."""
+    whole = int(value.to_integral_value({">": ROUND_FLOOR, "<": ROUND_CEILING, ">=": ROUND_CEILING, "<=": ROUND_FLOOR, "Equals": ROUND_FLOOR}[sign]))
+    if sign == "Equals" and whole != value or not -2**63 <= whole < 2**63:
+        always = sign in (("<", "<=") if whole > 0 else (">", ">=")) and sign != "Equals"
+        return F.when(col.isNotNull(), always)
+    return _compare(col, sign, F.lit(whole).cast("bigint"))
 
 
 def numeric_condition(col: Column, comparison: str, value: str, value2: str = "",
@@ -114,9 +124,11 @@ def numeric_condition(col: Column, comparison: str, value: str, value2: str = ""
     if first is None:
         return number.isNull() if comparison == "Equals" else _never()
     second = _number(value2) if comparison == "Between" else None
-    exact = isinstance(dtype, INTEGRAL_TYPES) and all(
-        v is None or (math.isfinite(v) and abs(v) < 2**31) for v in (first, second))
-    test = (lambda sign, v: _integral_compare(col, sign, v)) if exact else (lambda sign, v: _compare(number, sign, F.lit(v)))
+    if isinstance(dtype, INTEGRAL_TYPES) and all(v is None or math.isfinite(v) for v in (first, second)):
+        first, second = _decimal(value), None if second is None else _decimal(value2)
+        test = lambda sign, v: _integral_compare(col, sign, v)
+    else:
+        test = lambda sign, v: _compare(number, sign, F.lit(v))
     if comparison in _SIGNS:
         return test(comparison, first)
     if comparison == "Between":

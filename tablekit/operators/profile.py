@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.numeric import NUMERIC_TYPES, lenient_double
 from ..plans.layout import ROW_ID, quoted
 from ..plans.running import exact_quantiles
-from ..plans.sizing import is_small
+from ..plans.sizing import groups_fit
 
 
 def value_counts(df: DataFrame, column: str, top: int | None = 10) -> DataFrame:
@@ -63,8 +63,8 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], approx: bool = False)
     """Sum, mean, spread, quartiles and sign counts: one row per numeric column.
 
     Moments of all columns come from one pass in generated code; percentiles, which have none, are kept
-    out of it. They are exact by default: small tables use the built-in, large ones the
-    range-partitioned search keyed by column name.
+    out of it. They are exact by default: tables within the rows of a task use the built-in,
+    others the range-partitioned search keyed by column name.
     """
     number = {c: lenient_double(F.col(quoted(c)), df.schema[c].dataType) for c in columns}
     moments = {"count": F.count, "sum": F.sum, "mean": F.avg, "std": F.stddev_samp, "variance": F.var_samp, "min": F.min, "max": F.max,
@@ -75,7 +75,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], approx: bool = False)
         F.struct(F.lit(c).alias("column"), F.lit(i).alias("_i"), *[F.col(f"_{name}{i}").alias(name) for name in moments])
         for i, c in enumerate(columns)])).alias("s")).select("s.*")
     fractions = list(_QUARTILES.values())
-    if approx or is_small(df):
+    if approx or groups_fit(df, []):
         quartiles = (lambda v: F.percentile_approx(v, fractions, 10_000)) if approx else \
             (lambda v: F.percentile(v, F.array(*map(F.lit, fractions))))
         found = df.agg(F.array(*[quartiles(v) for v in number.values()]).alias("q")).scalar()

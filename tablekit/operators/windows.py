@@ -1,7 +1,7 @@
 """Per-group values written back to every row.
 
-Spark runs a window group in one task. These operators use plain windows for small tables; for large ones
-they aggregate first and join back with hot keys split, or use range-ordered running totals.
+Spark runs a window group in one task. These operators use plain windows where every group is within the
+rows of a task, counted beforehand; else they aggregate first and join back with hot keys split, or use range-ordered running totals.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.layout import ROW_ID, quoted
 from ..plans.running import running_sum
-from ..plans.sizing import is_small
+from ..plans.sizing import groups_fit
 from ..plans.skew import equi_join
 from .aggregate import position
 
 
 def aggregate_over(df: DataFrame, keys: Sequence[str], aggregates: Mapping[str, Column]) -> DataFrame:
     """Add aggregates of each row's group as columns."""
-    if is_small(df):
+    if groups_fit(df, keys):
         window = Window.partitionBy(*[F.col(quoted(k)) for k in keys])
         return df.withColumns({name: agg.over(window) for name, agg in aggregates.items()})
     return _joined_back(df, keys, [agg.alias(name) for name, agg in aggregates.items()])
@@ -28,7 +28,7 @@ def aggregate_over(df: DataFrame, keys: Sequence[str], aggregates: Mapping[str,
 def _joined_back(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
     names = [f"_w{i}" for i in range(len(keys))]
     stats = df.groupBy(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names)]).agg(*aggregates)
-    return equi_join(df, stats, keys, names, "left", null_safe=True, unique_right=True, maybe_small=True).drop(*names)
+    return equi_join(df, stats, keys, names, "left", null_safe=True, unique_right=True).drop(*names)
 
 
 def sum_over(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
@@ -56,7 +56,7 @@ def rank_over(df: DataFrame, keys: Sequence[str], value: str, out: str, descendi
     if method not in ("average", "min", "max", "dense"):
         raise ValueError(f"unknown rank method {method!r}")
     col = F.col(quoted(value))
-    if is_small(df):
+    if groups_fit(df, keys):
         by = col.desc_nulls_last() if descending else col.asc_nulls_last()
         ordered = Window.partitionBy(*[F.col(quoted(k)) for k in keys]).orderBy(by)
         if method == "dense":

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .sizing import rows_per_task
+
 ROW_ID = "_row_id"
 
 # monotonically_increasing_id() keeps the partition number above this bit and the position below it.
@@ -14,10 +18,13 @@ _POSITION_BITS = 33
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where none is set (tests)."""
+    """The shared folder named by the session; a temporary one only where none is set and Spark runs in one process."""
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        current = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tablekit-ckpt-")
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if not current and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        current = current or tempfile.mkdtemp(prefix="tablekit-ckpt-")
         spark.sparkContext.setCheckpointDir(current)
     return current
 
@@ -31,7 +38,7 @@ def durable(df: DataFrame) -> DataFrame:
 def ordering(columns: Sequence[str], descending: bool = False) -> list[Column]:
     """Sort keys with nulls first in both directions."""
     pick = (lambda c: F.col(c).desc_nulls_first()) if descending else (lambda c: F.col(c).asc_nulls_first())
-    return [pick(c) for c in columns]
+    return [pick(quoted(c)) for c in columns]
 
 
 def with_tie_break(df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -68,13 +75,30 @@ def range_layout(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     Partition numbers rise with (keys, order), and a group larger than a partition is spread over
     several neighbouring ones, so no task ever holds a whole hot group.
     """
-    laid = df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys], *order)
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_per_task(df.sparkSession)))
+    laid = df.repartitionByRange(ranges, *[F.col(quoted(k)).asc_nulls_first() for k in keys], *order)
     return durable(laid.withColumn("_part", F.spark_partition_id()))
 
 
+def in_file_order(df: DataFrame) -> DataFrame:
+    """Rows of files by path, then position, where the table is a plain scan; others as they come.
+
+    A scan packs the largest files first, so its own order is not that of the names. Within a file, a block begins where
+    the scan was split, and rows keep their place in it.
+    """
+    if len(df.inputFiles()) < 2:
+        return df
+    try:
+        place = [F.col("_metadata.file_path").alias("_order_file"), F.col("_metadata.file_block_start").alias("_order_block")]
+        placed = df.select("*", *place, F.monotonically_increasing_id().alias("_order_row"))
+    except AnalysisException:  # not a plain scan: there is no file to go by
+        return df
+    return placed.orderBy("_order_file", "_order_block", "_order_row").drop("_order_file", "_order_block", "_order_row")
+
+
 def with_row_id(df: DataFrame, order_by: Sequence[str | Column] | str | Column | None = None,
                 name: str = ROW_ID) -> DataFrame:
-    """Add a 0-based consecutive row number in ``order_by`` order (scan order when omitted).
+    """Add a 0-based consecutive row number in ``order_by`` order (file and place in it when omitted).
 
     Names in ``order_by`` sort ascending with nulls first; pass Columns for other directions.
     The rows are sorted by Spark's range partitioner (a hot sort value is spread through a
@@ -82,7 +106,7 @@ def with_row_id(df: DataFrame, order_by: Sequence[str | Column] | str | Column |
     plus the position inside it. Offsets are one number per partition, hence the broadcast.
     """
     columns = [c for c in df.columns if c != name]
-    source = df
+    source = df if order_by is not None else in_file_order(df)
     if order_by is not None:
         keys = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
         tied, tie = with_tie_break(df)

@@ -6,36 +6,40 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .layout import ordering, range_layout, with_tie_break
-from .sizing import is_small
+from .layout import ordering, quoted, range_layout, with_tie_break
+from .sizing import groups_fit
 
 
 def _same_group(keys: Sequence[str], names: Sequence[str]) -> list[Column]:
-    return [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    return [F.col(quoted(k)).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+
+
+def _named(keys: Sequence[str]) -> list[Column]:
+    return [F.col(quoted(k)) for k in keys]
 
 
 def _local_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column, out: str) -> DataFrame:
     """Running total inside each (partition, group); groups are bounded by the range partition size."""
-    window = (Window.partitionBy("_part", *keys).orderBy(*order)
+    window = (Window.partitionBy("_part", *_named(keys)).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return df.withColumn(out, F.sum(value).over(window))
 
 
 def _part_totals(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
     """Per (group, partition) sum with the total before it; at most one row per partition and group."""
-    sums = df.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*_named(keys), "_part").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*_named(keys)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     return sums.withColumn("_before", F.sum("_sum").over(before))
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], value: str, out: str,
                 descending: bool = False) -> DataFrame:
     """Running sum of ``value`` per group in ``order_by`` order; null cells stay null."""
-    number = F.coalesce(F.col(value), F.lit(0))
-    if is_small(df):
-        window = (Window.partitionBy(*keys).orderBy(*ordering(order_by, descending))
+    number = F.coalesce(F.col(quoted(value)), F.lit(0))
+    if groups_fit(df, keys):
+        window = (Window.partitionBy(*_named(keys)).orderBy(*ordering(order_by, descending))
                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return df.withColumn(out, F.when(F.col(value).isNotNull(), F.sum(number).over(window)))
+        return df.withColumn(out, F.when(F.col(quoted(value)).isNotNull(), F.sum(number).over(window)))
     tied, tie = with_tie_break(df)
     order = ordering(order_by, descending) + [F.col(t) for t in tie if t not in order_by]
     laid = range_layout(tied, keys, order)
@@ -44,52 +48,52 @@ def running_sum(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], val
     # A partition can continue at most one group of the one before it, so this table has at most
     # as many rows as there are partitions and is safe to broadcast.
     carried = (_part_totals(laid, keys, number).where(F.col("_before").isNotNull())
-               .select(*[F.col(k).alias(n) for k, n in zip(keys, names)],
+               .select(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names)],
                        F.col("_part").alias("_carry_part"), "_before"))
     on = _same_group(keys, names) + [F.col("_part") == F.col("_carry_part")]
     joined = local.join(F.broadcast(carried), on, "left")
     total = F.col("_local") + F.coalesce(F.col("_before"), F.lit(0))
-    return (joined.withColumn(out, F.when(F.col(value).isNotNull(), total))
-            .select(*df.columns, out))
+    return (joined.withColumn(out, F.when(F.col(quoted(value)).isNotNull(), total))
+            .select(*_named(df.columns), F.col(quoted(out))))
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Mapping[str, float]) -> DataFrame:
     """Exact linear-interpolated quantiles per group; ``points`` maps output names to fractions.
 
-    Small input uses the built-in ``percentile``. Otherwise equal values are first counted (map-side
+    Groups within the rows of a task use the built-in ``percentile``. Otherwise equal values are first counted (map-side
     combined), the distinct values are range-partitioned within their group, and only the partition
     holding a wanted rank is looked at, so neither a hot group nor a wide domain meets one task.
     """
-    if is_small(df):
+    if groups_fit(df, keys):
         names, fractions = list(points), list(points.values())
-        grouped = df.groupBy(*keys).agg(F.percentile(F.col(value), F.array(*map(F.lit, fractions))).alias("_q"))
-        return grouped.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    counted = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v"))
+        grouped = df.groupBy(*_named(keys)).agg(F.percentile(F.col(quoted(value)), F.array(*map(F.lit, fractions))).alias("_q"))
+        return grouped.select(*_named(keys), *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    counted = (df.where(F.col(quoted(value)).isNotNull()).groupBy(*_named(keys), F.col(quoted(value)).alias("_v"))
                .agg(F.count("*").alias("_n")))
     laid = range_layout(counted, keys, [F.col("_v").asc()])
     local = _local_totals(laid, keys, [F.col("_v")], F.col("_n"), "_upto")
-    every = Window.partitionBy(*keys)
+    every = Window.partitionBy(*_named(keys))
     parts = (_part_totals(laid, keys, F.col("_n")).fillna(0, ["_before"])
              .withColumn("_total", F.sum("_sum").over(every)))
     wanted = F.explode(F.array(*[
         F.struct(F.lit(n).alias("point"), (F.lit(float(q)) * (F.col("_total") - 1)).alias("at"))
         for n, q in points.items()]))
     ranks = parts.withColumn("_w", wanted).select(
-        *keys, "_part", "_before", F.col("_w.point").alias("_point"), F.col("_w.at").alias("_at"), "_sum",
+        *_named(keys), "_part", "_before", F.col("_w.point").alias("_point"), F.col("_w.at").alias("_at"), "_sum",
         F.explode(F.array(F.floor("_w.at"), F.ceil("_w.at"))).alias("_rank")).distinct()
     ranks = ranks.where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_sum")))
     names = [f"_g{i}" for i in range(len(keys))]
-    ranks = ranks.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_part").alias("_rank_part"),
+    ranks = ranks.select(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names)], F.col("_part").alias("_rank_part"),
                          (F.col("_rank") - F.col("_before")).alias("_local_rank"), "_rank", "_point", "_at")
     on = _same_group(keys, names) + [F.col("_part") == F.col("_rank_part")]
     hits = (local.join(ranks, on)
             .where((F.col("_local_rank") < F.col("_upto")) & (F.col("_local_rank") >= F.col("_upto") - F.col("_n"))))
     low, high = F.min("_v").cast("double"), F.max("_v").cast("double")
     share = F.max(F.col("_at") - F.floor("_at"))
-    picked = hits.groupBy(*keys, "_point").agg((low + (high - low) * share).alias("_q"))
-    wide = picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_point") == n, F.col("_q"))).alias(n) for n in points])
-    groups = df.groupBy(*keys).agg(F.count("*").alias("_rows")).drop("_rows") if keys else None
+    picked = hits.groupBy(*_named(keys), "_point").agg((low + (high - low) * share).alias("_q"))
+    wide = picked.groupBy(*_named(keys)).agg(*[F.max(F.when(F.col("_point") == n, F.col("_q"))).alias(n) for n in points])
+    groups = df.groupBy(*_named(keys)).agg(F.count("*").alias("_rows")).drop("_rows") if keys else None
     if groups is None:
         return wide
-    renamed = wide.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *points)
-    return groups.join(renamed, _same_group(keys, names), "left").select(*keys, *points)
+    renamed = wide.select(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names)], *points)
+    return groups.join(renamed, _same_group(keys, names), "left").select(*_named(keys), *points)

@@ -1,36 +1,26 @@
-"""Size checks that decide between a plain Spark plan and a skew-safe one.
+"""Decisions between a plain Spark plan and a skew-safe one, from counted rows.
 
-Two session settings steer every choice, so a cluster owner can tune them without code:
-
-* ``tablekit.smallTableBytes`` - inputs estimated below this use plain windows, percentiles and joins.
-  The estimate is the optimizer's own; it is an upper bound for filters and a large
-  over-estimate after joins, so a wrong guess errs towards the skew-safe plan.
-* ``tablekit.rowsPerTask`` - a key holding more rows than this is "hot" and gets split.
-  The number of hot keys is at most ``rows / rowsPerTask``, which bounds what is broadcast.
+``tablekit.rowsPerTask`` (a session setting) is the number of rows one task may hold of a key. A key with more is "hot" and
+gets split. The number of hot keys is at most ``rows / rowsPerTask``, which bounds what is broadcast. Counting reads the key
+columns alone and is combined before the shuffle; stored size says nothing, as a file of few bytes can hold very many rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-SMALL_TABLE_BYTES = 512 * 1024 * 1024
-ROWS_PER_TASK = 5_000_000
+from collections.abc import Sequence
 
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-def small_table_bytes(spark: SparkSession) -> int:
-    return int(spark.conf.get("tablekit.smallTableBytes", str(SMALL_TABLE_BYTES)))
+ROWS_PER_TASK = 5_000_000
 
 
 def rows_per_task(spark: SparkSession) -> int:
     return int(spark.conf.get("tablekit.rowsPerTask", str(ROWS_PER_TASK)))
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate; no job is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
+def groups_fit(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether every group of equal keys (the whole table, without keys) is within the rows of a task."""
+    from .layout import quoted
 
-def is_small(*tables: DataFrame) -> bool:
-    """True when every table is estimated below the small-table limit."""
-    limit = small_table_bytes(tables[0].sparkSession)
-    return all(estimated_bytes(t) < limit for t in tables)
+    counts = df.groupBy(*[F.col(quoted(k)) for k in keys]).agg(F.count("*").alias("_n"))
+    return (counts.agg(F.max("_n")).first()[0] or 0) <= rows_per_task(df.sparkSession)

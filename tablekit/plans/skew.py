@@ -7,60 +7,50 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .layout import durable, hashable
-from .sizing import estimated_bytes, is_small, rows_per_task
+from .layout import hashable, quoted
+from .sizing import rows_per_task
 
 _SEMI = {"left_semi", "left_anti"}
-# Group totals are narrow rows; this many of them are a few tens of megabytes.
-BROADCAST_ROWS = 200_000
 
 
 def _matches(pairs: Sequence[tuple[str, str]], null_safe: bool) -> Column:
-    test = (lambda a, b: F.col(a).eqNullSafe(F.col(b))) if null_safe else (lambda a, b: F.col(a) == F.col(b))
+    test = (lambda a, b: F.col(quoted(a)).eqNullSafe(F.col(quoted(b)))) if null_safe else (lambda a, b: F.col(quoted(a)) == F.col(quoted(b)))
     return reduce(lambda x, y: x & y, [test(a, b) for a, b in pairs])
 
 
 def _broadcastable(left: DataFrame, right: DataFrame, how: str) -> bool:
-    """Whether Spark itself would broadcast a side of this join, by its own threshold."""
-    limit = left.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").lower()
-    limit = int(limit[:-1]) if limit.endswith("b") and limit[:-1].lstrip("-").isdigit() else int(limit)
-    right_ok = how in {"inner", "left", *_SEMI} and estimated_bytes(right) <= limit
-    left_ok = how in {"inner", "right"} and estimated_bytes(left) <= limit
-    return right_ok or left_ok
+    """Whether Spark itself would broadcast a side of this join, by its own threshold and estimate."""
+    limit = left.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return (how in {"inner", "left", *_SEMI} and size(right) <= limit) or (how in {"inner", "right"} and size(left) <= limit)
 
 
 def equi_join(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str],
-              how: str = "inner", null_safe: bool = False, unique_right: bool = False,
-              maybe_small: bool = False) -> DataFrame:
+              how: str = "inner", null_safe: bool = False, unique_right: bool = False) -> DataFrame:
     """Join on key pairs; column names must already be disjoint between the sides.
 
-    Small inputs, and joins where Spark broadcasts a side, are left to Spark's planner. Otherwise hot
-    keys are split: a key with ``n`` rows on one side gets ``ceil(n / rowsPerTask)`` salts there, and
-    the other side's rows for that key are repeated once per salt. Cold keys keep a single salt. The
-    table of hot keys holds at most ``rows / rowsPerTask`` entries per side.
+    Joins where Spark broadcasts a side, and those without a hot key, are left to Spark's planner. Otherwise hot keys are
+    split: a key with ``n`` rows on one side gets ``ceil(n / rowsPerTask)`` salts there, and the other side's rows for that
+    key are repeated once per salt. Cold keys keep a single salt. Keys with a null match nothing (unless ``null_safe``), so
+    their rows are dealt out by salt as well but never repeated. The table of hot keys holds at most ``rows / rowsPerTask``
+    entries per side.
 
-    In outer joins a repeated row may miss its partner under some salts. A key is only repeated when
-    the other side is known to hold it, so any such unmatched copy is spurious and is removed.
+    In outer joins a repeated row may miss its partner under some salts. A key is only repeated when the other side is known
+    to hold it, so any such unmatched copy is spurious and is removed.
 
-    ``unique_right`` says that no right key repeats, which spares counting that side. ``maybe_small`` marks a
-    right side, such as group totals, that is often far smaller than the optimizer can tell: it is
-    materialised and counted, and broadcast up to ``BROADCAST_ROWS`` rows, so the left rows need no shuffle.
+    ``unique_right`` says that no right key repeats, which spares counting that side.
     """
     pairs = list(zip(left_on, right_on, strict=True))
     if how in _SEMI:
-        right, unique_right = right.select(*right_on).distinct(), True
-    if is_small(left, right) or _broadcastable(left, right, how):
+        right, unique_right = right.select(*[F.col(quoted(c)) for c in right_on]).distinct(), True
+    if _broadcastable(left, right, how):
         return left.join(right, _matches(pairs, null_safe), how)
-    if maybe_small and how in {"inner", "left"}:
-        right = durable(right)
-        if right.count() <= BROADCAST_ROWS:
-            return left.join(F.broadcast(right), _matches(pairs, null_safe), how)
     return _salted_join(left, right, left_on, right_on, how, null_safe, unique_right)
 
 
 def _heavy(df: DataFrame, keys: Sequence[str], width: int, salts: str, names: Sequence[str]) -> DataFrame:
-    counted = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > width)
-    return counted.select(*[F.col(k).alias(n) for k, n in zip(keys, names)],
+    counted = df.groupBy(*[F.col(quoted(k)) for k in keys]).agg(F.count("*").alias("_n")).where(F.col("_n") > width)
+    return counted.select(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names)],
                           F.ceil(F.col("_n") / width).cast("int").alias(salts))
 
 
@@ -72,12 +62,14 @@ def _spread(df: DataFrame, keys: Sequence[str], heavy: DataFrame, names: Sequenc
     The salt follows from the row and its input partition, so a re-run task gives the same one.
     """
     joined = (df.withColumn("_where", F.spark_partition_id())
-              .join(F.broadcast(heavy), _matches(list(zip(keys, names)), null_safe), "left"))
+              .join(F.broadcast(heavy), _matches(list(zip(keys, names)), True), "left"))
+    meets = F.lit(True) if null_safe else reduce(lambda a, b: a & b, [F.col(quoted(k)).isNotNull() for k in keys])
     salt = repeat = F.lit(0)
     if own in heavy.columns:
         content = F.xxhash64(*[F.col(c) for c in hashable(df)], F.col("_where"))
         salt = F.pmod(content, F.coalesce(F.col(own), F.lit(1))).cast("int")
     if other in heavy.columns:
+        joined = joined.withColumn(other, F.when(meets, F.col(other)))
         repeat = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))
     return joined.withColumn(own_salt, salt).withColumn(other_salt, repeat).drop("_where", own, *names)
 
@@ -94,6 +86,10 @@ def _salted_join(left: DataFrame, right: DataFrame, left_on: Sequence[str], righ
         heavy = (heavy_left.withColumn("_sr", F.lit(None).cast("int"))
                  .unionByName(heavy_right.withColumn("_sl", F.lit(None).cast("int")))
                  .groupBy(*names).agg(F.max("_sl").alias("_sl"), F.max("_sr").alias("_sr")))
+    hot = heavy.collect()  # at most rows / rowsPerTask of either side
+    if not hot:
+        return left.join(right, _matches(list(zip(left_on, right_on)), null_safe), how)
+    heavy = left.sparkSession.createDataFrame(hot, heavy.schema)
     lhs = _spread(left, left_on, heavy, names, "_sl", "_sr", "_li", "_lj", null_safe)
     split = F.lit(False) if unique_right else F.col("_sr").isNotNull()
     lhs = lhs.withColumns({"_split_right": split, "_in_left": F.lit(True)}).drop("_sr")

@@ -68,7 +68,34 @@ def conv_int(t):
 @query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 8 = 7 THEN CAST(o_custkey AS DOUBLE) END AS raw FROM orders")
 def conv_numeric_lenient(t):
     src = t.orders.select("o_orderkey", _locale_text().alias("raw"))
-    return conv.cast_columns(src, ["raw"], "Float").select("o_orderkey", F.when(_key() % 8 == 7, F.col("raw")).alias("raw"))
+    return conv.cast_columns(src, ["raw"], "Float")
+
+
+_LARGE = "(o_orderkey + 9007199254740992)"
+
+
+@query(f"SELECT o_orderkey, CAST({_LARGE} AS BIGINT) AS raw, CAST({_LARGE} AS BIGINT) AS other FROM orders")
+def conv_int_exact(t):
+    large = (_key().cast("long") + F.lit(2**53)).cast("string")
+    return conv.cast_columns(conv.apply_conversion(t.orders.select("o_orderkey", large.alias("raw"), large.alias("other")), "raw", conv.INTEGER), ["other"], "Integer")
+
+
+@query("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS day, make_timestamp(o_orderkey * 1000000) AS micros FROM orders")
+def conv_datetime_typed(t):
+    src = t.orders.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), (_key().cast("long") * 1_000_000).alias("micros"))
+    return conv.apply_conversion(conv.apply_conversion(src, "day", conv.DATETIME), "micros", conv.DATETIME)
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority FROM orders")
+def conv_text_key(t):
+    return conv.apply_conversion(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderkey", conv.TEXT)
+
+
+@query("SELECT o_orderkey, make_timestamp(2020 + o_orderkey % 5, 1 + o_orderkey % 12, 1 + o_orderkey % 28, o_orderkey % 24, 30, 15.0) AS made, "
+       "make_date(2020, 1 + o_orderkey % 12, 3) AS day FROM orders")
+def fn_datetime_constructors(t):
+    made = F.expr("make_timestamp_ntz(cast(2020 + o_orderkey % 5 as int), cast(1 + o_orderkey % 12 as int), cast(1 + o_orderkey % 28 as int), cast(o_orderkey % 24 as int), 30, 15)")
+    return t.orders.select("o_orderkey", made.alias("made"), F.expr("make_date(2020, cast(1 + o_orderkey % 12 as int), 3)").alias("day"))
 
 
 def _date_text():

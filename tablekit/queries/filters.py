@@ -13,6 +13,12 @@ def flt_string_contains(t):
     return apply_filter(t.part.select("p_partkey", "p_name"), [C("p_name", "Contains", "RED")])
 
 
+@query("SELECT o_orderkey + 9007199254740992 AS k FROM orders WHERE o_orderkey + 9007199254740992 > 9007199254741501")
+def flt_bigint_exact(t):
+    src = t.orders.select((F.col("o_orderkey").cast("long") + F.lit(2**53)).alias("k"))
+    return apply_filter(src, [C("k", ">", "9007199254741501", field_type="Numeric")])
+
+
 @query("SELECT p_partkey, p_type FROM part WHERE contains(p_type, 'ECO')")
 def flt_string_contains_cs(t):
     return apply_filter(t.part.select("p_partkey", "p_type"), [C("p_type", "Contains", "ECO", case_sensitive=True)])

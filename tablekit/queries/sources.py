@@ -5,8 +5,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..plans.layout import checkpoint_dir
-from ..sources.sinks import write_csv_like_source
+from ..sources.sinks import write_csv, write_csv_like_source, write_parquet
 from ..sources.table import read_table, source_facts
+from ..sources.text import read_quick_csv
 from .base import query
 
 
@@ -23,6 +24,51 @@ def source_csv_sniffed(t):
     return read_table(t.spark, path, format="text")
 
 
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority || chr(10) || o_orderstatus AS note FROM orders")
+def source_csv_multiline(t):
+    path = _scratch(t.spark)
+    write_csv_like_source(t.orders.select("o_orderkey", F.concat_ws("\n", "o_orderpriority", "o_orderstatus").alias("note")), path)
+    return read_table(t.spark, path, format="text")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ' Köln' AS name FROM customer")
+def source_csv_encodings(t):
+    path = _scratch(t.spark)
+    t.customer.select("c_custkey", F.concat("c_name", F.lit(" Köln")).alias("name")).write.csv(path, header=True, encoding="ISO-8859-1")
+    return read_table(t.spark, path, format="text")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")
+def source_json_document(t):
+    path = _scratch(t.spark)
+    whole = t.nation.agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("value"))  # 25 rows: a document is one value
+    whole.write.text(path)
+    return read_table(t.spark, path, format="json")
+
+
+@query("SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, o_totalprice, o_orderstatus FROM orders")
+def source_csv_inferred(t):
+    path = _scratch(t.spark)
+    write_csv(t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus"), path)
+    return read_quick_csv(t.spark, path)
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
+def sink_parquet_without_row_id(t):
+    path = _scratch(t.spark)
+    write_parquet(t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus", F.lit(0).alias("_row_id")), path)
+    return read_table(t.spark, path, format="parquet")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY part, k) - 1 AS BIGINT) AS _row_id, k FROM (SELECT 'a' AS part, n_nationkey AS k FROM nation "
+       "UNION ALL SELECT 'b', o_orderkey FROM orders)")
+def row_id_in_file_order(t):
+    path = _scratch(t.spark)
+    t.nation.select(F.col("n_nationkey").cast("long").alias("k")).coalesce(1).sortWithinPartitions("k").write.parquet(f"{path}/name=a")
+    t.orders.select(F.col("o_orderkey").cast("long").alias("k")).repartition(1).sortWithinPartitions("k").write.parquet(f"{path}/name=b")
+    return read_table(t.spark, path, format="parquet", columns=["k"], row_id=True)
+
+
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def source_ndjson(t):
     path = _scratch(t.spark)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import csv
+import io
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -21,6 +22,7 @@ class Dialect:
     encoding: str
     delimiter: str
     quote: str
+    multiline: bool = False
 
 
 def head_bytes(spark: SparkSession, path: str, limit: int = SAMPLE_BYTES) -> bytes:
@@ -46,38 +48,54 @@ def head_bytes(spark: SparkSession, path: str, limit: int = SAMPLE_BYTES) -> byt
 
 
 def guess_encoding(sample: bytes) -> str:
-    """Byte-order mark, else UTF-8 if it decodes, else a single-byte set; plain ASCII counts as iso-8859-1."""
+    """Byte-order mark, else UTF-8 if it decodes (plain ASCII does), else a single-byte set."""
     for name, mark in _MARKS:
         if sample.startswith(mark):
             return name
     try:
         # A multi-byte character may be cut at the end of the sample.
-        text = codecs.getincrementaldecoder("utf-8")("strict").decode(sample, final=False)
-        return "iso-8859-1" if text.isascii() else "utf-8"
+        codecs.getincrementaldecoder("utf-8")("strict").decode(sample, final=False)
+        return "utf-8"
     except UnicodeDecodeError:
         pass
     # Bytes 0x80-0x9f are control codes in iso-8859-1 and letters or signs in windows-1252.
     return "windows-1252" if any(0x80 <= b <= 0x9F for b in sample) else "iso-8859-1"
 
 
-def guess_dialect(text: str) -> tuple[str, str]:
-    """Delimiter and quote character; comma and double quote when nothing can be told."""
-    if not text:
-        return ",", '"'
+def _records(text: str, delimiter: str, quote: str) -> list[int]:
+    """Fields of each record of the sample; the last record may be cut off and doesn't count, if there are others."""
     try:
-        found = csv.Sniffer().sniff(text, "".join(DELIMITERS))
-        delimiter, quote = found.delimiter, found.quotechar or '"'
+        sizes = [len(r) for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, quotechar=quote, doublequote=True) if r]
     except csv.Error:
-        return ",", '"'
-    if len(text) > 100 and delimiter not in text[:100]:
-        start = text[:max(1000, len(text) // 10)]
-        seen = {d: text.count(d) for d in DELIMITERS if d in start}
-        delimiter = max(seen, key=seen.get) if seen else delimiter
-    return delimiter or ",", quote
+        return []
+    return sizes[:-1] if len(sizes) > 2 else sizes
+
+
+def guess_dialect(text: str) -> tuple[str, str, bool]:
+    """Delimiter, quote character, and whether quoted cells hold line breaks, from the shape of the sample.
+
+    The delimiter is the one for which most records have the same number of fields, more than one; of equals, the one with
+    more fields, then the earlier in the list. Quotes count where they stand at the edge of a cell. Comma and double quote
+    when nothing can be told.
+    """
+    best = (0.0, 0, ",", '"')
+    for quote in ('"', "'"):
+        for delimiter in DELIMITERS:
+            edges = text.count(delimiter + quote) + text.count(quote + delimiter) + text.count("\n" + quote) + text.startswith(quote)
+            if quote == "'" and edges < 2:
+                continue
+            sizes = _records(text, delimiter, quote)
+            if sizes:
+                usual = max(set(sizes), key=lambda n: (sizes.count(n), n))
+                if usual > 1:
+                    found = (sizes.count(usual) / len(sizes), usual, delimiter, quote)
+                    best = found if found[:2] > best[:2] else best
+    delimiter, quote = best[2:]
+    lines = text.split("\n")
+    return delimiter, quote, any(line.replace("\r", "").count(quote) % 2 for line in (lines[:-1] if len(lines) > 1 else lines))
 
 
 def sniff(spark: SparkSession, path: str) -> Dialect:
     sample = head_bytes(spark, path)
     encoding = guess_encoding(sample)
-    delimiter, quote = guess_dialect(sample.decode(encoding, errors="ignore"))
-    return Dialect(encoding, delimiter, quote)
+    return Dialect(encoding, *guess_dialect(sample.decode(encoding, errors="ignore")))

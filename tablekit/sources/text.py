@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -21,20 +22,23 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str], sep: str = "a
                    header: bool = True, infer_types: bool = False, multiline: bool = False) -> DataFrame:
     """Delimited text with all columns as strings; short rows are null-filled, extra cells dropped.
 
-    ``auto`` looks at the head of one file on the driver; the scan itself is distributed and splittable.
+    ``auto`` looks at the head of one file on the driver; the scan itself is distributed and splittable, unless quoted cells
+    of the sample hold line breaks. Where the sample is UTF-8 and a later line is not, all is read as windows-1252.
     windows-1252 is scanned as iso-8859-1 and its 27 differing characters are translated in place, so
     such files stay splittable too. UTF-16 and UTF-32 need ``multiline`` parsing, one task per file.
     """
-    found = Dialect(encoding, sep, quote)
+    found = Dialect(encoding, sep, quote, multiline)
     if "auto" in (sep, quote, encoding):
         seen = sniff(spark, path if isinstance(path, str) else path[0])
         found = Dialect(*[s if given == "auto" else given for given, s in
-                          ((encoding, seen.encoding), (sep, seen.delimiter), (quote, seen.quote))])
+                          ((encoding, seen.encoding), (sep, seen.delimiter), (quote, seen.quote))], multiline or seen.multiline)
+        if encoding == "auto" and found.encoding == "utf-8" and not _all_utf8(spark, path):
+            found = replace(found, encoding="windows-1252")
     name = found.encoding.lower()
     wide = name.startswith(("utf-16", "utf-32"))
     df = spark.read.csv(path, sep=found.delimiter, quote=found.quote, escape=found.quote, header=header,
                         inferSchema=infer_types, mode="PERMISSIVE", encoding=_SPARK_NAMES.get(name, found.encoding),
-                        multiLine=multiline or wide)
+                        multiLine=found.multiline or wide)
     if name in ("windows-1252", "cp1252"):
         fix = lambda c: F.translate(F.col(quoted(c)), "".join(_CP1252), "".join(_CP1252.values()))
         titles = str.maketrans(_CP1252)
@@ -43,6 +47,12 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str], sep: str = "a
     return df
 
 
+def _all_utf8(spark: SparkSession, path: str | Sequence[str]) -> bool:
+    """Whether every line decodes; the sample saw only the first file's head."""
+    lines = spark.read.text(path, wholetext=False)
+    return lines.where(~F.is_valid_utf8(F.col("value"))).isEmpty()
+
+
 def read_quick_csv(spark: SparkSession, path: str) -> DataFrame:
     """Comma-separated text with inferred types."""
     return spark.read.csv(path, header=True, inferSchema=True, escape='"')

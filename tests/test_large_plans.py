@@ -97,16 +97,56 @@ def test_window_values(spark):
         assert plain == large
 
 
-@pytest.mark.parametrize("limit", [0, 200_000])
-def test_group_totals_by_broadcast_and_by_salt(spark, monkeypatch, limit):
-    import tablekit.plans.skew as skew
-    monkeypatch.setattr(skew, "BROADCAST_ROWS", limit)
+def test_group_totals_joined_back(spark):
     df = skewed(spark, 400)
     for make in (lambda: win.sum_over(df, ["k"], "v", "t"), lambda: charts.box_outliers(df.withColumn("v", F.col("v") * F.col("v")), "v", "s")):
         plain, large = both(spark, make)
         assert plain == large
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "full", "left_anti"])
+def test_null_keys_are_dealt_out(spark, large, how):
+    """Half the keys are null: no partition of the join gets more than a share of them, and the rows are those of a plain join."""
+    from tablekit.plans.skew import equi_join
+    left = spark.range(2000).select(F.when(F.col("id") % 2 == 0, F.col("id") % 7).alias("k"), F.col("id").alias("a"))
+    right = spark.range(1000).select(F.when(F.col("id") % 2 == 0, F.col("id") % 9).alias("j"), F.col("id").alias("b"))
+    small = right.where("j is null or b < 60")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = equi_join(left, small, ["k"], ["j"], how)
+        assert rows(out) == rows(left.join(small, left["k"] == small["j"], how))
+        if how != "inner":
+            nulls = [r["n"] for r in out.where("k is null and a is not null").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+            assert sum(nulls) == 1000 and max(nulls) <= 2 * 1000 / 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_dotted_names_and_a_threshold_with_a_unit(spark, large):
+    from tablekit.operators.aggregate import group_summary
+    from tablekit.operators.joins import join_tables
+    df = spark.range(300).select((F.col("id") % 3).alias("g.k"), F.col("id").alias("v.x"), F.concat(F.lit("p"), F.col("id") % 2).alias("c.c"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1KB")
+    try:
+        assert join_tables(df, df.withColumnRenamed("v.x", "w.x").limit(6), "g.k").count() == 600
+        assert group_summary(df, ["g.k"], "median", "v.x").count() == 3
+        assert win.cumulative_sum(df, ["g.k"], "v.x", "run.x", "v.x").count() == 300
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_whole_numbers_stay_exact(spark):
+    from tablekit.operators.convert import cast_columns, apply_conversion, INTEGER
+    base = 2**53
+    df = spark.createDataFrame([(base,), (base + 1,), (2**63 - 1,), (None,), (-2**63,)], "k long")
+    test = lambda sign, a, b="": {r.k for r in apply_filter(df, [C("k", sign, a, b, field_type="Numeric")]).collect()}
+    assert test("Equals", str(base + 1)) == {base + 1} and test(">", str(base)) == {base + 1, 2**63 - 1} and test("<=", f"{base}.5") == {base, -2**63}
+    assert test(">", "1e30") == set() and test("<", "1e30") == {base, base + 1, 2**63 - 1, -2**63} and test("Between", str(base + 1), "-5") == {base, base + 1}
+    text = df.select(F.col("k").cast("string").alias("t"), F.col("k").cast("string").alias("u"))
+    assert rows(apply_conversion(cast_columns(text, ["t"], "Integer"), "u", INTEGER).where("u != 0")) == rows(df.select("k", F.col("k").alias("u")).where("k is not null"))
+
+
 def test_occurrence(spark):
     df = skewed(spark)
     for make in (lambda: occ.first_occurrence(df, "k", "id"), lambda: occ.last_occurrence(df, "k", "id"),

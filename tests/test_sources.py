@@ -43,10 +43,30 @@ def test_other_delimiters(spark, tmp_path, sep, ending):
 
 
 def test_guesses():
-    assert sniff.guess_encoding(b"plain") == "iso-8859-1" and sniff.guess_encoding("é".encode()) == "utf-8"
+    assert sniff.guess_encoding(b"plain") == "utf-8" and sniff.guess_encoding("é".encode()) == "utf-8"
     assert sniff.guess_encoding(b"caf\xe9") == "iso-8859-1" and sniff.guess_encoding(b"\x80 5") == "windows-1252"
     assert sniff.guess_encoding("x".encode("utf-32")) == "utf-32" and sniff.guess_encoding("éé".encode()[:3]) == "utf-8"
-    assert sniff.guess_dialect("") == (",", '"') and sniff.guess_dialect("a|b\n1|2\n3|4\n")[0] == "|"
+    assert sniff.guess_dialect("") == (",", '"', False) and sniff.guess_dialect("a|b\n1|2\n3|4\n")[0] == "|"
+
+
+def test_dialects_by_shape():
+    assert sniff.guess_dialect('a;b\n"x;y,z,w";2\n"p,q";3\n') == (";", '"', False)
+    assert sniff.guess_dialect("'a','b'\n'1, 2','x'\n'3','y'\n") == (",", "'", False)
+    assert sniff.guess_dialect('a,b\n1,"two\nlines"\n2,x\n') == (",", '"', True)
+    assert sniff.guess_dialect("one column\nonly\n") == (",", '"', False)
+
+
+def test_text_that_is_utf8_only_at_first(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"a,b\n" + b"plain,row\n" * 120_000 + "x,München\n".encode("cp1252"))
+    assert read_table(spark, str(tmp_path / "a.csv")).where("a = 'x'").first()["b"] == "München"
+    (tmp_path / "b.csv").write_bytes(b"a,b\n" + b"plain,row\n" * 120_000 + "x,München\n".encode())
+    assert read_table(spark, str(tmp_path / "b.csv")).where("a = 'x'").first()["b"] == "München"
+
+
+def test_line_breaks_survive(spark, tmp_path):
+    df = spark.createDataFrame([("1", "a\nb"), ("2", 'c "d"\n')], "k string, t string")
+    write_csv_like_source(df, str(tmp_path / "m"))
+    assert rows(read_table(spark, str(tmp_path / "m"), format="text")) == rows(df)
 
 
 def test_json_parquet_and_options(spark, tmp_path):
