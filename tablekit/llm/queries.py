@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablekit.llm.crossentropy import cross_entropy_difference
-from tablekit.llm.edits import cleaning_edits, edited_counts, with_trees
+from tablekit.llm.edits import cleaned_counts
 from tablekit.llm.language import fit_coder, predict_language
 from tablekit.llm.minhash import near_duplicates
 from tablekit.llm.mixing import mixture
@@ -34,17 +34,45 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _folded(column: str) -> str:
+    return f"translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+_BARE_WORDS = r"'[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'"
+_DECONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_folded('text')}, {_BARE_WORDS}) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_folded('text')}, {_BARE_WORDS}) AS w FROM benchmark),
+i AS (SELECT item_id, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS win FROM i, unnest(range(1, len(w) - k + 2)) AS t(p)),
+dw AS (SELECT doc_id, p, k, array_to_string(w[p:p + k - 1], ' ') AS win FROM d, (SELECT DISTINCT k FROM i), unnest(range(1, len(w) - k + 2)) AS t(p)),
+h AS (SELECT doc_id, p, k, item_id FROM dw JOIN iw USING (k, win)),
+n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM h, unnest(range(p, p + k)) AS u(q) GROUP BY doc_id),
+m AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM h GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+_NEAR_DUPLICATES_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_folded('text')}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, w[p] || ' ' || w[p + 1] AS x FROM d, unnest(range(1, len(w))) AS t(p) UNION ALL SELECT doc_id, w[1] FROM d WHERE len(w) = 1),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id <= coalesce(m, doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a) USING (doc_id)"""
+
+
 @_query("op9_token_files")
 def _token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_table(spark, sf_dir, "documents"))
 
 
-@_query("op2_suffix_decontamination")
+@_query("op2_suffix_decontamination", _DECONTAMINATION_SQL)
 def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-@_query("op3_minhash_near_duplicates")
+@_query("op3_minhash_near_duplicates", _NEAR_DUPLICATES_SQL)
 def _near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=2)
 
@@ -90,4 +118,4 @@ def _cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op6_edited_token_counts")
 def _edited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_counts(with_trees(cleaning_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))))
+    return cleaned_counts(_table(spark, sf_dir, "documents"))
