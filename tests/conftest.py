@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-LARGE = {"tablekit.smallTableBytes": "0", "tablekit.rowsPerTask": "40", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+LARGE = {"tablekit.rowsPerTask": "40", "spark.sql.autoBroadcastJoinThreshold": "-1"}
 
 
 @pytest.fixture(scope="session")

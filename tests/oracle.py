@@ -67,7 +67,6 @@ if __name__ == "__main__":
              .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     if "--large" in sys.argv:  # take the plans meant for tables beyond one task
-        spark.conf.set("tablekit.smallTableBytes", "0")
         spark.conf.set("tablekit.rowsPerTask", "200")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     con, failed = connect(folder), 0
