@@ -33,8 +33,8 @@ def fit_logistic(rows: np.ndarray, labels: np.ndarray, penalty: float = 1e-3, ro
         return Model(np.zeros((width, outputs)), np.zeros(outputs))
     positive = labels.sum(0)
     row_weight = np.where(labels > 0, 0.5 / np.maximum(positive, 1), 0.5 / np.maximum(n - positive, 1))
-    scale = 1 / np.sqrt((rows.astype(np.float64) ** 2).mean(0) + 1e-6)
-    rows = (rows * scale).astype(np.float32)
+    scale = (1 / np.sqrt(np.einsum("ij,ij->j", rows, rows, dtype=np.float64) / n + 1e-6)).astype(np.float32)
+    rows = rows.astype(np.float32) * scale
     w, b = np.zeros((width, outputs)), np.zeros((1, outputs))
     m, v = np.zeros((width + 1, outputs)), np.zeros((width + 1, outputs))
     for t in range(1, rounds + 1):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablekit.llm.arrays import ALPHANUMERIC, Block, blocks, sums, words
 from tablekit.llm.linear import Model, fit_logistic, sigmoid
+from tablekit.llm.minhash import shingle_sets
 from tablekit.llm.work import text_columns
 
 #: Labelled rows that the models are fitted on, at most (those of smallest hash), and folds for out-of-fold probabilities.
@@ -19,6 +20,7 @@ SAMPLE_ROWS, FOLDS = 16_000, 4
 #: the bound (a chance of 1e-8 for one word), so that the sum over a long text is not noise.
 _LEAST_TEXTS, _CHI2 = 8, 33.0
 _MAX_WORDS = 1000
+_SKETCH = 3
 _DENSE = 4
 _codes = np.arange(256)
 _UPPER, _PUNCTUATION = (_codes >= 65) & (_codes <= 90), (_codes > 32) & (_codes < 127) & ~ALPHANUMERIC
@@ -63,17 +65,19 @@ def _sample(docs: DataFrame, labels: DataFrame, categories: dict[str, str], rows
             for block in blocks(batch.column(1)):
                 text, word, dense = _features(block)
                 at = np.searchsorted(text, np.arange(block.last - block.first + 1))
+                pairs, first = shingle_sets(block, 2)
+                sketch = [pairs[a:min(b, a + _SKETCH)].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
                 part = batch.slice(block.first, block.last - block.first)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column(0), "words": pa.array([word[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary()),
-                    "dense": pa.array([x.tobytes() for x in dense], pa.binary()), **{y: part.column(2 + i) for i, y in enumerate(outputs)}})
+                    "sketch": pa.array(sketch, pa.binary()), "dense": pa.array([x.tobytes() for x in dense], pa.binary()), **{y: part.column(2 + i) for i, y in enumerate(outputs)}})
 
-    shape = "doc_id long, words binary, dense binary, " + ", ".join(f"{y} int" for y in outputs)
+    shape = "doc_id long, words binary, sketch binary, dense binary, " + ", ".join(f"{y} int" for y in outputs)
     found = joined.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *outputs).mapInArrow(cut, shape).collect()
-    # Near copies count once: texts with the same three smallest word hashes. Order and choice don't depend on the partitions.
+    # Near copies count once: texts with the same smallest hashes of word pairs. Order and choice don't depend on the partitions.
     kept: dict[bytes, object] = {}
     for row in sorted(found, key=lambda r: (r.doc_id, bytes(r.words))):
-        kept.setdefault(np.frombuffer(row.words, np.uint64)[:3].tobytes(), row)
+        kept.setdefault(bytes(row.sketch), row)
     return list(kept.values())
 
 
@@ -85,12 +89,12 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sa
     """
     rows = _sample(docs, labels, categories, sample_rows)
     labelled = np.array([[r[f"y{i}"] for i in range(len(categories))] for r in rows], float).reshape(len(rows), len(categories))
-    dense = np.array([np.frombuffer(r.dense) for r in rows]).reshape(len(rows), _DENSE)
+    dense = np.array([np.frombuffer(r.dense) for r in rows], np.float32).reshape(len(rows), _DENSE)
     hashes = [np.frombuffer(r.words, np.uint64) for r in rows]
     vocabulary = np.zeros(0, np.uint64)
     if rows:
         word, which = np.unique(np.concatenate(hashes), return_inverse=True)
-        text = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
+        which, text = which.astype(np.int32), np.repeat(np.arange(len(rows), dtype=np.int32), [len(h) for h in hashes])
         seen = np.bincount(which, minlength=len(word)).astype(float)
         best = np.zeros(len(word))
         for y in labelled.T:
@@ -99,17 +103,19 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sa
             best = np.maximum(best, np.where(spread > 0, (inside - seen * share) ** 2 / np.maximum(spread, 1e-9), 0.0))
         good = np.flatnonzero((seen >= _LEAST_TEXTS) & (best > _CHI2))
         vocabulary = np.sort(word[good[np.argsort(-best[good], kind="stable")[:_MAX_WORDS]]])
+        del which, text, word
     present = np.array([np.isin(vocabulary, h, kind="sort") for h in hashes], np.float32).reshape(len(rows), len(vocabulary))
     fold = np.array([(r.doc_id * 2654435761 >> 8) % folds for r in rows])
-    earlier, models = np.zeros((len(rows), 0)), []
+    del rows, hashes
+    x, models = np.hstack([present, dense]), []
+    del present
     for y in labelled.T:
-        x = np.hstack([present, dense, earlier])
         models.append(fit_logistic(x, y[:, None]))
-        outside = np.zeros((len(rows), 1))
+        outside = np.zeros((len(x), 1), np.float32)
         for k in range(folds):
             if (fold == k).any():
                 outside[fold == k] = sigmoid(fit_logistic(x[fold != k], y[fold != k, None]).margins(x[fold == k]))
-        earlier = np.hstack([earlier, outside])
+        x = np.hstack([x, outside])
     return Chain(list(categories), vocabulary, models)
 
 
