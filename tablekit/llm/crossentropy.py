@@ -6,17 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tablekit.llm.arrays import ALPHANUMERIC, Block, Words, blocks, mixed, sums, words
-from tablekit.llm.work import text_columns
+from tablekit.llm.work import maybe_among, text_columns, written
 
 #: Cells of the hashed count tables: both models share one vocabulary of 2^20 words and one of 2^22 word pairs. The tables are
 #: counted over all documents; their size is fixed, so they can be sent to every task.
 WORD_BITS, PAIR_BITS = 20, 22
 #: Weight of the word model within the pair model, and of the uniform one within the word model, in tokens of the target.
 _PAIR_PRIOR, _WORD_PRIOR = 4.0, 0.05
-_SEGMENT_BITS = 16
+_SEGMENT_BITS, _GROUP = 16, 256
+_CELLS = 2 * (1 << WORD_BITS) + (1 << PAIR_BITS)
 _BEGIN = np.uint64(0x1D8E4E27C47D124F)
 
 
@@ -31,49 +34,57 @@ def _cells(block: Block) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     return found, cell(found.hash, WORD_BITS), cell(before, WORD_BITS), cell(pair, PAIR_BITS)
 
 
-def _counted(marked: DataFrame) -> DataFrame:
-    """(cell, target, background) sums over all documents (text, in_target). A task adds up its own before it gives any out."""
-    size = 2 * (1 << WORD_BITS) + (1 << PAIR_BITS)
+def _packed(counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    lanes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw, max_output_size=8 << _SEGMENT_BITS), np.uint8)
+    return np.ascontiguousarray(lanes.reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+
+
+def _counted(docs: DataFrame) -> np.ndarray:
+    """Counts of all cells over all texts. A task adds up its own, then gives out each segment of the table as one small
+    compressed row; segments are added up in groups of at most _GROUP rows, level by level."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, size), np.int64)  # target, background; words, then contexts, then pairs
+        totals = np.zeros(_CELLS, np.int64)  # words, then contexts, then pairs
         for batch in batches:
-            inside = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for block in blocks(batch.column(0)):
-                found, word, context, pair = _cells(block)
-                mine = inside[block.first:block.last][found.text]
-                for k, own in enumerate((mine, ~mine)):
-                    totals[k, :1 << WORD_BITS] += np.bincount(word[own], minlength=1 << WORD_BITS)
-                    totals[k, 1 << WORD_BITS:2 << WORD_BITS] += np.bincount(context[own], minlength=1 << WORD_BITS)
-                    cells, n = np.unique(pair[own], return_counts=True)
-                    totals[k, (2 << WORD_BITS) + cells] += n
-        used = np.flatnonzero(totals.any(0))
-        for begin in range(0, len(used), 1 << 17):
-            at = used[begin:begin + (1 << 17)]
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int64()), "target": pa.array(totals[0, at]), "background": pa.array(totals[1, at])})
-
-    return marked.select("text", "in_target").mapInArrow(count, "cell long, target long, background long")
+                _, word, context, pair = _cells(block)
+                totals[:1 << WORD_BITS] += np.bincount(word, minlength=1 << WORD_BITS)
+                totals[1 << WORD_BITS:2 << WORD_BITS] += np.bincount(context, minlength=1 << WORD_BITS)
+                cells, n = np.unique(pair, return_counts=True)
+                totals[(2 << WORD_BITS) + cells] += n
+        part = TaskContext.get().partitionId()
+        for segment, own in enumerate(totals.reshape(-1, 1 << _SEGMENT_BITS)):
+            if own.any():
+                yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int64()), "part": pa.array([part], pa.int64()), "counts": pa.array([_packed(own)], pa.binary())})
+
+    def added(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        total = np.zeros(1 << _SEGMENT_BITS, np.int64)
+        for raw in rows.column("counts").to_pylist():
+            total += _unpacked(raw)
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int64()), "counts": pa.array([_packed(total)], pa.binary())})
+
+    shape = "segment long, part long, counts binary"
+    level = written(docs.select("text").mapInArrow(count, shape), "counts")
+    while (level.agg(F.max("part")).first()[0] or 0) > 0:
+        level = written(level.withColumn("part", F.expr(f"part div {_GROUP}")).groupBy("segment", "part").applyInArrow(added, shape), "counts")
+    out = np.zeros(_CELLS)
+    for row in level.select("segment", "counts").collect():  # the table: a fixed number of segments
+        out[row.segment << _SEGMENT_BITS:row.segment + 1 << _SEGMENT_BITS] = _unpacked(row.counts)
+    return out
 
 
 def fit_models(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
     """Counts of both models, a row each, over all documents: the target's are those whose id is in `target_ids`, the others
-    are the background. The driver holds the two tables, 25 MB each on arrival,
-    whatever the corpus."""
-    marked = text_columns(docs, "doc_id", "text").join(target_ids.select(F.col(target_ids.columns[0]).alias("_id")).distinct().withColumn("in_target", F.lit(True)), F.col("doc_id") == F.col("_id"), "left")
-    marked = marked.select("text", F.coalesce("in_target", F.lit(False)).alias("in_target"))
-    sums_ = _counted(marked).groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    segments = sums_.withColumn("segment", F.shiftright("cell", _SEGMENT_BITS))
-
-    def packed(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        at = rows.column("cell").to_numpy() & ((1 << _SEGMENT_BITS) - 1)
-        out = np.zeros((2, 1 << _SEGMENT_BITS), np.float32)
-        out[0, at], out[1, at] = rows.column("target").to_numpy(), rows.column("background").to_numpy()
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([out.tobytes()], pa.binary())})
-
-    counts = np.zeros((2, 2 * (1 << WORD_BITS) + (1 << PAIR_BITS)))
-    for row in segments.groupBy("segment").applyInArrow(packed, "segment long, counts binary").collect():
-        counts[:, row.segment << _SEGMENT_BITS:row.segment + 1 << _SEGMENT_BITS] = np.frombuffer(row.counts, np.float32).reshape(2, -1)
-    return counts
+    are the background. Only texts that may be the target's are moved to find out. The driver holds two tables of a fixed
+    size, 50 MB each."""
+    texts = text_columns(docs, "doc_id", "text")
+    wanted = written(target_ids.select(F.col(target_ids.columns[0]).alias("_id")).where("_id is not null").distinct(), "target")
+    inside = maybe_among(texts, "doc_id", wanted).where("_maybe").join(wanted, F.col("doc_id") == F.col("_id"), "left_semi")
+    target = _counted(inside)
+    return np.stack([target, _counted(texts) - target])
 
 
 def matched(counts: np.ndarray) -> np.ndarray:
