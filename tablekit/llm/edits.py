@@ -19,6 +19,7 @@ from tablekit.llm.tokens import PieceEncoder, encoder, pieces, tokenizer_text
 
 #: A leaf ends at the first cut after so many bytes.
 LEAF_BYTES = 256
+_COUNTS = "doc_id long, n_tokens_before long, n_tokens long, n_edits long, n_chars long, n_reencoded long"
 _TREE = pa.struct([("chars", pa.list_(pa.int32())), ("sums", pa.list_(pa.int64()))])
 _EDITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
 #: What the cleaning edits mask.
@@ -33,12 +34,19 @@ def cleaning_edits(docs: DataFrame) -> DataFrame:
     """`docs` with a column `edits` (start, end, text; code points, ascending, apart): mail addresses and long numbers are
     masked, and lines equal to an earlier one of the text are taken out with their line break. Null text has none."""
     place = docs.columns.index("text")
+    return docs.mapInArrow(lambda batches: _find(batches, place), _field(docs, "edits", "array<struct<start:int,end:int,text:string>>"))
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_cleaning(t or "") for t in batch.column(place).to_pylist()], _EDITS)], names=[*batch.schema.names, "edits"])
 
-    return docs.mapInArrow(find, _field(docs, "edits", "array<struct<start:int,end:int,text:string>>"))
+def _sliced(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds a block of text, which bounds what a task holds at a time."""
+    for batch in batches:
+        for block in blocks(batch.column(place)):
+            yield batch.slice(block.first, block.last - block.first)
+
+
+def _find(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
+    for batch in _sliced(batches, place):
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_cleaning(t or "") for t in batch.column(place).to_pylist()], _EDITS)], names=[*batch.schema.names, "edits"])
 
 
 def _cleaning(text: str) -> list[dict]:
@@ -100,18 +108,18 @@ def with_trees(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     """`docs` with a column `tree`: code points of each leaf and the sums in heap order. Null or empty text has one empty
     leaf. Store it beside the text; edits then cost what they touch."""
     tokenizer, place = tokenizer_text(tokenizer_path), docs.columns.index("text")
+    return docs.mapInArrow(lambda batches: _plant(batches, place, tokenizer), _field(docs, "tree", "struct<chars:array<int>,sums:array<bigint>>"))
 
-    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
-        for batch in batches:
-            trees = []
-            for block in blocks(batch.column(place)):
-                chars, tokens, first = leaf_counts(block, encode)
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-                    trees.append({"chars": chars[a:b] if b > a else [0], "sums": build_tree(tokens[a:b] if b > a else np.zeros(1, np.int64))})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(trees, _TREE)], names=[*batch.schema.names, "tree"])
 
-    return docs.mapInArrow(plant, _field(docs, "tree", "struct<chars:array<int>,sums:array<bigint>>"))
+def _plant(batches: Iterator[pa.RecordBatch], place: int, tokenizer: str) -> Iterator[pa.RecordBatch]:
+    encode = encoder(tokenizer)
+    for batch in _sliced(batches, place):
+        trees = []
+        for block in blocks(batch.column(place)):
+            chars, tokens, first = leaf_counts(block, encode)
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+                trees.append({"chars": chars[a:b] if b > a else [0], "sums": build_tree(tokens[a:b] if b > a else np.zeros(1, np.int64))})
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(trees, _TREE)], names=[*batch.schema.names, "tree"])
 
 
 def touched_regions(chars: np.ndarray, edits: list[dict]) -> list[tuple[int, int, list[dict]]]:
@@ -138,45 +146,52 @@ def edited_counts(docs: DataFrame, tokenizer_path: str | None = None) -> DataFra
     encoded anew as a whole, as such a string may reach over cuts. Rows are handled one by one; an empty table gives no rows.
     """
     tokenizer = tokenizer_text(tokenizer_path)
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", "tree", "edits")
+    return own.mapInArrow(lambda batches: _apply(batches, tokenizer), _COUNTS)
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
-        for batch in batches:
-            n = batch.num_rows
-            edits = batch.column(3).to_pylist()
-            trees, texts = batch.column(2), batch.column(1)
-            before, after, size, again = (np.zeros(n, np.int64) for _ in range(4))
-            jobs: list[tuple[int, int, int]] = []  # row, first leaf, last leaf
-            pending: list[str] = []
-            sums_of: dict[int, np.ndarray] = {}
-            for i in range(n):
-                text, tree = texts[i].as_py() or "", trees[i]
-                sums = np.array(tree["sums"].values, np.int64)
-                before[i] = after[i] = sums[1]
-                size[i] = len(text)
-                if not edits[i]:
-                    continue
-                chars = np.array(tree["chars"].values, np.int64)
-                regions = touched_regions(chars, edits[i])
-                if any(m in _edited(text, 0, len(text), edits[i]) for m in encode.marks):
-                    regions = [(0, len(chars) - 1, edits[i])]
-                ends = np.cumsum(chars)
-                sums_of[i] = sums
-                for low, high, own in regions:
-                    begin, end = int(ends[low] - chars[low]), int(ends[high])
-                    jobs.append((i, low, high))
-                    pending.append(_edited(text, begin, end, own))
-                    again[i] += len(pending[-1])
-            counts = np.concatenate([encode.encode(block)[1] for block in blocks(pa.array(pending, pa.string()))]) if pending else []
-            for (i, low, high), count in zip(jobs, counts):
-                set_leaves(sums_of[i], {low: int(count), **dict.fromkeys(range(low + 1, high + 1), 0)})
-            for i, sums in sums_of.items():
-                after[i] = sums[1]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_tokens_before": pa.array(before), "n_tokens": pa.array(after), "n_edits": pa.array([len(e or []) for e in edits], pa.int64()),
-                                              "n_chars": pa.array(size), "n_reencoded": pa.array(again)})
 
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", "tree", "edits")
-    return own.mapInArrow(apply, "doc_id long, n_tokens_before long, n_tokens long, n_edits long, n_chars long, n_reencoded long")
+def cleaned_counts(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """`edited_counts` of the cleaning edits: edits found, trees planted and edits applied in one pass, by one worker."""
+    tokenizer = tokenizer_text(tokenizer_path)
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    return own.mapInArrow(lambda batches: _apply(_plant(_find(batches, 1), 1, tokenizer), tokenizer), _COUNTS)
+
+
+def _apply(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
+    encode = encoder(tokenizer)
+    for batch in _sliced(batches, 1):
+        n = batch.num_rows
+        edits = batch.column("edits").to_pylist()
+        trees, texts = batch.column("tree"), batch.column("text")
+        before, after, size, again = (np.zeros(n, np.int64) for _ in range(4))
+        jobs: list[tuple[int, int, int]] = []  # row, first leaf, last leaf
+        pending: list[str] = []
+        sums_of: dict[int, np.ndarray] = {}
+        for i in range(n):
+            text, tree = texts[i].as_py() or "", trees[i]
+            sums = np.array(tree["sums"].values, np.int64)
+            before[i] = after[i] = sums[1]
+            size[i] = len(text)
+            if not edits[i]:
+                continue
+            chars = np.array(tree["chars"].values, np.int64)
+            regions = touched_regions(chars, edits[i])
+            if any(m in _edited(text, 0, len(text), edits[i]) for m in encode.marks):
+                regions = [(0, len(chars) - 1, edits[i])]
+            ends = np.cumsum(chars)
+            sums_of[i] = sums
+            for low, high, own in regions:
+                begin, end = int(ends[low] - chars[low]), int(ends[high])
+                jobs.append((i, low, high))
+                pending.append(_edited(text, begin, end, own))
+                again[i] += len(pending[-1])
+        counts = np.concatenate([encode.encode(block)[1] for block in blocks(pa.array(pending, pa.string()))]) if pending else []
+        for (i, low, high), count in zip(jobs, counts):
+            set_leaves(sums_of[i], {low: int(count), **dict.fromkeys(range(low + 1, high + 1), 0)})
+        for i, sums in sums_of.items():
+            after[i] = sums[1]
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_tokens_before": pa.array(before), "n_tokens": pa.array(after), "n_edits": pa.array([len(e or []) for e in edits], pa.int64()),
+                                          "n_chars": pa.array(size), "n_reencoded": pa.array(again)})
 
 
 def _edited(text: str, begin: int, end: int, edits: list[dict]) -> str:
