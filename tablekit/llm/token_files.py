@@ -25,7 +25,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str | None = N
     """Encode `text` of every row, append `end_id` to each, and write the ids in ascending doc_id order.
 
     `path` gets a Parquet table of shard files: `part` and `seq` order them, `file` is the wavelet matrix file. Rows are
-    range-partitioned by (doc_id, text), so no task holds more than its range; a task keeps one shard in memory at a time.
+    range-partitioned by doc_id, so no task holds more than its range; a task keeps one shard in memory at a time.
     Null text is empty (the end id alone); a null doc_id sorts first; equal rows lie side by side; an empty table gives no
     shard. Special tokens are not added, but their strings in a text are encoded as the library does by default.
     """
@@ -68,7 +68,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str | None = N
             yield closed()
 
     ordered = (text_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-               .repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text"))
+               .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
     ordered.mapInArrow(shards, _SHARD).write.parquet(path)
 
 
