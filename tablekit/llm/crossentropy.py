@@ -78,11 +78,12 @@ def _counted(docs: DataFrame) -> np.ndarray:
 
 def fit_models(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
     """Counts of both models, a row each, over all documents: the target's are those whose id is in `target_ids`, the others
-    are the background. Only texts that may be the target's are moved to find out. The driver holds two tables of a fixed
+    are the background. Only texts that may be the target's are moved to find out, in a shuffled join at every size, since
+    the target grows with the corpus. The driver holds two tables of a fixed
     size, 50 MB each."""
     texts = text_columns(docs, "doc_id", "text")
     wanted = written(target_ids.select(F.col(target_ids.columns[0]).alias("_id")).where("_id is not null").distinct(), "target")
-    inside = maybe_among(texts, "doc_id", wanted).where("_maybe").join(wanted, F.col("doc_id") == F.col("_id"), "left_semi")
+    inside = maybe_among(texts, "doc_id", wanted).where("_maybe").join(wanted.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
     target = _counted(inside)
     return np.stack([target, _counted(texts) - target])
 
