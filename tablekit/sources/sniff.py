@@ -39,7 +39,7 @@ def head_bytes(spark: SparkSession, path: str, limit: int = SAMPLE_BYTES) -> byt
                          if not s.getPath().getName().startswith(("_", "."))), key=lambda s: s.getPath().toString())
         if not inside:
             raise FileNotFoundError(path)
-        status = inside[0]
+        status = next((s for s in inside if s.isDirectory() or s.getLen()), inside[0])  # a part without rows tells nothing
     stream = fs.open(status.getPath())
     try:
         return bytes(stream.readNBytes(limit))
@@ -54,8 +54,9 @@ def guess_encoding(sample: bytes) -> str:
             return name
     try:
         # A multi-byte character may be cut at the end of the sample.
-        codecs.getincrementaldecoder("utf-8")("strict").decode(sample, final=False)
-        return "utf-8"
+        text = codecs.getincrementaldecoder("utf-8")("strict").decode(sample, final=False)
+        if sample.isascii() or not text.isascii():
+            return "utf-8"
     except UnicodeDecodeError:
         pass
     # Bytes 0x80-0x9f are control codes in iso-8859-1 and letters or signs in windows-1252.
