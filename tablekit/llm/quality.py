@@ -1,8 +1,8 @@
 """Quality rules: counted text statistics, and robust outliers by minimum-covariance-determinant estimates per group.
 
 Columns and SQL functions only. The statistics of a text are array expressions over its words; the estimates work on a table
-of distinct rounded statistic vectors per group, so copies cannot outvote other documents and a group of any size shrinks
-before its rows meet.
+of rounded statistic vectors per group, each with the number of different texts that have it, so a group of any size shrinks
+before its rows meet. Exact copies of a text are folded by its hash before that and cannot outvote other documents.
 """
 
 from __future__ import annotations
@@ -42,13 +42,13 @@ _BUCKETS = 32  # to a unit of ln(d2): distances are ranked to 3 %
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of every whole text."""
+    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and text_hash of every whole text."""
     own = text_columns(docs, "doc_id", "lang", "source", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    own = own.select("doc_id", "lang", "source", F.expr(rf"array_remove(split(text, r'{_SPACE}', -1), '')").alias("w"),
+    own = own.select("doc_id", "lang", "source", F.xxhash64("text").alias("text_hash"), F.expr(rf"array_remove(split(text, r'{_SPACE}', -1), '')").alias("w"),
                      F.expr(f"cast(regexp_count(text, '{_SYMBOLS}') as long)").alias("n_symbols"),
                      F.expr(r"filter(split(text, '\n', -1), x -> x rlike r'[^\x20\x09-\x0D]')").alias("lines"))
     own = own.select(
-        "doc_id", "lang", "source", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), "n_symbols",
+        "doc_id", "lang", "source", "text_hash", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         # One hash per window of three words; equal windows have equal hashes.
         F.expr("transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, i) -> xxhash64(x, w[i + 1], w[i + 2]))").alias("h"))
@@ -64,6 +64,11 @@ def _moments(n: Column, of: callable) -> list[Column]:
     return [n.alias("n"), *(of(F.col(_X[i])).alias(f"s{i}") for i in range(_P)), *(of(F.col(_X[i]) * F.col(_X[j])).alias(f"q{i}{j}") for i, j in _PAIRS)]
 
 
+def _weighted() -> list[Column]:
+    """The moments of all texts, where `k` texts have a vector."""
+    return _moments(F.sum("k"), lambda x: F.sum(F.col("k") * x))
+
+
 def _fitted(sums: DataFrame, keep: list[str]) -> DataFrame:
     """Means, the inverse Cholesky factor and ln of the determinant, from counts and sums of values and products."""
     out = sums.select(*keep, "n", *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(_P)), *(f"q{i}{j}" for i, j in _PAIRS))
@@ -95,10 +100,10 @@ def _distance() -> Column:
 
 
 def _by_bucket(cells: DataFrame, fits: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
-    """Counts and sums of each group by bucket of the distance, and how many vectors lie up to there and altogether."""
+    """Counts and sums of each group by bucket of the distance, and how many texts lie up to there and altogether."""
     fits = fits.drop("n")
     dealt = cells.join(fits, on).withColumn("bucket", F.floor(_BUCKETS * F.ln(_distance() + F.lit(1e-6))))
-    sums = dealt.groupBy(*keys, "bucket").agg(*_moments(F.count("*"), F.sum))
+    sums = dealt.groupBy(*keys, "bucket").agg(*_weighted())
     inside = Window.partitionBy(*keys)  # at most a few hundred buckets a group
     return sums.withColumns({"upto": F.sum("n").over(inside.orderBy("bucket")), "all": F.sum("n").over(inside)})
 
@@ -109,32 +114,34 @@ def _refit(buckets: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _starts(cells: DataFrame) -> DataFrame:
-    """Three deterministic starts per group: all vectors; medians with absolute deviations; medians with spatial signs."""
-    whole = _fitted(cells.groupBy("g").agg(*_moments(F.count("*"), F.sum)), ["g"]).withColumn("start", F.lit(0))
-    medians = written(cells.groupBy("g").agg(F.count("*").alias("n"), *(F.expr(f"percentile({x}, 0.5)").alias(f"m{i}") for i, x in enumerate(_X))), "medians")
+    """Three deterministic starts per group: all texts; medians with absolute deviations; medians with spatial signs."""
+    whole = _fitted(cells.groupBy("g").agg(*_weighted()), ["g"]).withColumn("start", F.lit(0))
+    medians = written(cells.groupBy("g").agg(F.sum("k").alias("n"), *(F.expr(f"percentile({x}, 0.5, k)").alias(f"m{i}") for i, x in enumerate(_X))), "medians")
     off = cells.join(medians, "g")
-    spread = off.groupBy("g").agg(*(F.expr(f"percentile(abs({x} - m{i}), 0.5)").alias(f"d{i}") for i, x in enumerate(_X)))
+    spread = off.groupBy("g").agg(*(F.expr(f"percentile(abs({x} - m{i}), 0.5, k)").alias(f"d{i}") for i, x in enumerate(_X)))
     spread = written(medians.join(spread, "g").withColumns({f"d{i}": F.greatest(F.col(f"d{i}") * F.lit(1.4826), F.lit(STATISTICS[i][2])) for i in range(_P)}), "spreads")
     diagonal = spread.select("g", "n", *(f"m{i}" for i in range(_P)), *((F.col(f"d{i}") * F.col(f"d{i}") if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS))
     z = cells.join(spread, "g")
     for i, x in enumerate(_X):
         z = z.withColumn(f"z{i}", (F.col(x) - F.col(f"m{i}")) / F.col(f"d{i}"))
     z = z.withColumn("norm", F.greatest(reduce(lambda a, b: a + b, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(_P)]), F.lit(1e-6)))
-    signs = z.groupBy("g").agg(F.count("*").alias("n"), *(F.first(f"{k}{i}").alias(f"{k}{i}") for k in "md" for i in range(_P)),
-                               *(F.avg(F.col(f"z{i}") * F.col(f"z{j}") / F.col("norm") * _P).alias(f"u{i}{j}") for i, j in _PAIRS))
+    signs = z.groupBy("g").agg(F.sum("k").alias("n"), *(F.first(f"{k}{i}").alias(f"{k}{i}") for k in "md" for i in range(_P)),
+                               *((F.sum(F.col("k") * F.col(f"z{i}") * F.col(f"z{j}") / F.col("norm") * _P) / F.sum("k")).alias(f"u{i}{j}") for i, j in _PAIRS))
     signs = signs.select("g", "n", *(f"m{i}" for i in range(_P)), *((F.col(f"u{i}{j}") * F.col(f"d{i}") * F.col(f"d{j}")).alias(f"c{i}{j}") for i, j in _PAIRS))
     return whole.unionByName(_factored(diagonal).withColumn("start", F.lit(1))).unionByName(_factored(signs).withColumn("start", F.lit(2)))
 
 
 def robust_fits(vectors: DataFrame, coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
-    """The estimate of each group g of `vectors` (g, x0 ...): means m, inverse factor v, and `scale` of squared distances.
+    """The estimate of each group g of `vectors` (g, text_hash, x0 ...): means m, inverse factor v, and `scale` of squared
+    distances.
 
-    Each distinct rounded vector counts once. From every start, C-steps keep the vectors nearest to the last estimate until
-    they make up `coverage` of the group; the estimate of least determinant wins and is refitted on all vectors within the
+    Each different text counts once, also where rounded vectors are equal. From every start, C-steps keep the texts nearest to
+    the last estimate until they make up `coverage` of the group; the estimate of least determinant wins and is refitted on all texts within the
     0.975 quantile. `scale` makes the median squared distance that of normal data.
     """
     step = [F.round(F.col(x) / F.lit(s[1])) * F.lit(s[1]) for x, s in zip(_X, STATISTICS)]
-    cells = written(vectors.select("g", *(c.alias(x) for c, x in zip(step, _X))).distinct(), "vectors")
+    texts = vectors.select("g", "text_hash", *(c.alias(x) for c, x in zip(step, _X))).distinct()
+    cells = written(texts.groupBy("g", *_X).agg(F.count("*").alias("k")), "vectors")
     fits = written(_starts(cells), "starts")
     for _ in range(steps):
         buckets = _by_bucket(cells, fits, ["g", "start"], ["g"]).where(F.col("upto") - F.col("n") < F.ceil(F.lit(coverage) * F.col("all")))
@@ -164,7 +171,7 @@ def quality_report(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN
     """
     measured = written(text_statistics(docs), "statistics")
     lang, source = (F.coalesce(F.concat(F.lit("="), c), F.lit("null")) for c in ("lang", "source"))
-    passed = measured.where("not base_failed").select("doc_id", lang.alias("l"), source.alias("r"), *(F.expr(s[0]).alias(x) for s, x in zip(STATISTICS, _X)))
+    passed = measured.where("not base_failed").select("text_hash", lang.alias("l"), source.alias("r"), *(F.expr(s[0]).alias(x) for s, x in zip(STATISTICS, _X)))
     sizes = written(passed.groupBy("l", "r").agg(F.count("*").alias("k")), "sizes")
     pooled = sizes.withColumn("pool", F.sum(F.when(F.col("k") < min_group, F.col("k"))).over(Window.partitionBy("l")))  # a row a source
     named = pooled.select("l", "r", F.when(F.col("k") >= min_group, F.to_json(F.struct("l", "r"))).when(F.col("pool") >= min_group, F.to_json(F.struct("l"))).otherwise("{}").alias("g"))

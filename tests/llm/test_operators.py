@@ -152,6 +152,16 @@ def test_quality_outliers_go_and_copies_do_not_outvote(spark):
     assert sum(got[d].kept for d in good) >= 0.99 * len(good)
 
 
+def test_quality_fits_weigh_vectors_by_texts(spark):
+    from tablekit.llm import quality as Q
+    rng = random.Random(6)
+    core, far = [0.0] * Q._P, [[5 + rng.random() * 9 for _ in range(Q._P)] for _ in range(120)]
+    rows = [("g", i, *core) for i in range(600)] + [("g", 1000 + i, *x) for i, x in enumerate(far)]
+    rows += [("g", 1000, *far[0])] * 5000  # exact copies of one text
+    fit = Q.robust_fits(spark.createDataFrame(rows, "g string, text_hash long, " + ", ".join(f"{c} double" for c in Q._X))).first()
+    assert all(abs(fit[f"m{i}"]) < 1e-9 for i in range(Q._P))
+
+
 def test_mahalanobis_matches_numpy(spark):
     from pyspark.sql import functions as F
     from tablekit.llm import quality as Q
