@@ -6,99 +6,85 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tablekit.llm.arrays import ALPHANUMERIC, Block, Words, blocks, mixed, sums, words
+from tablekit.llm.arrays import ALPHANUMERIC, Block, Words, blocks, mixed, words
 from tablekit.llm.work import maybe_among, text_columns, written
 
-#: Cells of the hashed count tables: both models share one vocabulary of 2^20 words and one of 2^22 word pairs. The tables are
-#: counted over all documents; their size is fixed, so they can be sent to every task.
-WORD_BITS, PAIR_BITS = 20, 22
 #: Weight of the word model within the pair model, and of the uniform one within the word model, in tokens of the target.
 _PAIR_PRIOR, _WORD_PRIOR = 4.0, 0.05
-_SEGMENT_BITS, _GROUP = 16, 256
-_CELLS = 2 * (1 << WORD_BITS) + (1 << PAIR_BITS)
+#: Words, contexts and pairs that make up more than one in so many tokens are looked up where they are met (so many at most, by
+#: their share); all others are joined, so that no key of a join has more than this share of the tokens.
+HOT_WORDS, HOT_PAIRS = 1 << 16, 1 << 20
 _BEGIN = np.uint64(0x1D8E4E27C47D124F)
+_MODELS = ("target", "background")
 
 
-def _cells(block: Block) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of a block; for each the cells of itself, of the word before it (or the text's beginning), and of both."""
+def _paired(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed(context * np.uint64(0x9FB21C651E98DF25) + word)
+
+
+def _tokens(block: Block) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The words of a block; for each the hash of the word before it (or the text's beginning), and that of both."""
     found = words(block, ALPHANUMERIC, fold=True)
     before = np.empty_like(found.hash)
     before[1:] = found.hash[:-1]
     before[found.first[:-1][found.counts > 0]] = _BEGIN
-    pair = mixed(before * np.uint64(0x9FB21C651E98DF25) + found.hash)
-    cell = lambda h, bits: (h >> np.uint64(64 - bits)).astype(np.int64)
-    return found, cell(found.hash, WORD_BITS), cell(before, WORD_BITS), cell(pair, PAIR_BITS)
-
-
-def _packed(counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    lanes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw, max_output_size=8 << _SEGMENT_BITS), np.uint8)
-    return np.ascontiguousarray(lanes.reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+    return found, before, _paired(before, found.hash)
 
 
-def _counted(docs: DataFrame) -> np.ndarray:
-    """Counts of all cells over all texts. A task adds up its own, then gives out each segment of the table as one small
-    compressed row; segments are added up in groups of at most _GROUP rows, level by level."""
+def _counted(texts: DataFrame) -> DataFrame:
+    """context, word, n: the pairs of each block of texts."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(_CELLS, np.int64)  # words, then contexts, then pairs
         for batch in batches:
             for block in blocks(batch.column(0)):
-                _, word, context, pair = _cells(block)
-                totals[:1 << WORD_BITS] += np.bincount(word, minlength=1 << WORD_BITS)
-                totals[1 << WORD_BITS:2 << WORD_BITS] += np.bincount(context, minlength=1 << WORD_BITS)
-                cells, n = np.unique(pair, return_counts=True)
-                totals[(2 << WORD_BITS) + cells] += n
-        part = TaskContext.get().partitionId()
-        for segment, own in enumerate(totals.reshape(-1, 1 << _SEGMENT_BITS)):
-            if own.any():
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int64()), "part": pa.array([part], pa.int64()), "counts": pa.array([_packed(own)], pa.binary())})
-
-    def added(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        total = np.zeros(1 << _SEGMENT_BITS, np.int64)
-        for raw in rows.column("counts").to_pylist():
-            total += _unpacked(raw)
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int64()), "counts": pa.array([_packed(total)], pa.binary())})
-
-    shape = "segment long, part long, counts binary"
-    level = written(docs.select("text").mapInArrow(count, shape), "counts")
-    while (level.agg(F.max("part")).first()[0] or 0) > 0:
-        level = written(level.withColumn("part", F.expr(f"part div {_GROUP}")).groupBy("segment", "part").applyInArrow(added, shape), "counts")
-    out = np.zeros(_CELLS)
-    for row in level.select("segment", "counts").collect():  # the table: a fixed number of segments
-        out[row.segment << _SEGMENT_BITS:row.segment + 1 << _SEGMENT_BITS] = _unpacked(row.counts)
-    return out
-
-
-def fit_models(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
-    """Counts of both models, a row each, over all documents: the target's are those whose id is in `target_ids`, the others
-    are the background. Only texts that may be the target's are moved to find out, in a shuffled join at every size, since
-    the target grows with the corpus. The driver holds two tables of a fixed
-    size, 50 MB each."""
+                found, before, pair = _tokens(block)
+                _, at, n = np.unique(pair, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"context": pa.array(before[at].view(np.int64)), "word": pa.array(found.hash[at].view(np.int64)), "n": pa.array(n, pa.int64())})
+
+    return texts.select("text").mapInArrow(count, "context long, word long, n long")
+
+
+def count_pairs(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """context, word, target, background: exact counts of every pair of words over all documents, the target's being those
+    whose id is in `target_ids`. A written table that grows with the corpus. Only texts that may be the target's are moved to
+    find out, in a shuffled join at every size, since the target grows with the corpus."""
     texts = text_columns(docs, "doc_id", "text")
     wanted = written(target_ids.select(F.col(target_ids.columns[0]).alias("_id")).where("_id is not null").distinct(), "target")
     inside = maybe_among(texts, "doc_id", wanted).where("_maybe").join(wanted.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
-    target = _counted(inside)
-    return np.stack([target, _counted(texts) - target])
+    none = F.lit(0).cast("long")
+    both = _counted(texts).select("context", "word", none.alias("target"), F.col("n").alias("whole")).unionAll(_counted(inside).select("context", "word", F.col("n").alias("target"), none.alias("whole")))
+    both = both.groupBy("context", "word").agg(F.sum("target").alias("target"), (F.sum("whole") - F.sum("target")).alias("background"))
+    return written(both, "pairs")
 
 
-def matched(counts: np.ndarray) -> np.ndarray:
-    """Both models as if from equally many tokens: the larger one's counts are scaled down, so that smoothing weighs alike."""
-    tokens = counts[:, :1 << WORD_BITS].sum(1)
-    least = tokens[tokens > 0].min() if (tokens > 0).any() else 0.0
-    return (counts * (least / np.maximum(tokens, 1))[:, None]).astype(np.float32)
+def _with_counts(rows: DataFrame, table: DataFrame, key: str, names: list[str], total: int) -> DataFrame:
+    """`rows` with the columns `names` of the table's row of their key, which has one for each."""
+    hot = table.where(sum((F.col(x) for x in names), F.lit(0)) > total / HOT_WORDS)
+    met = rows.join(F.broadcast(hot), key, "left")
+    rest = met.where(F.col(names[0]).isNull()).drop(*names).join(table.hint("merge"), key)
+    return met.where(F.col(names[0]).isNotNull()).select(*rows.columns, *names).unionAll(rest.select(*rows.columns, *names))
 
 
-def _losses(model: np.ndarray, total: float, word: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    vocabulary = 1 << WORD_BITS
-    single = (model[:vocabulary][word] + _WORD_PRIOR) / (total + _WORD_PRIOR * vocabulary)
-    return -np.log((model[2 * vocabulary:][pair] + _PAIR_PRIOR * single) / (model[vocabulary:2 * vocabulary][context] + _PAIR_PRIOR))
+def pair_losses(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """context, word, uses, target_loss, background_loss of every pair of `pairs`, and the number of tokens. Both models count
+    as if from equally many tokens: the larger one's counts are scaled down, so that smoothing weighs alike."""
+    by = lambda key, x: written(pairs.groupBy(key).agg(*(F.sum(m).alias(f"{x}_{m}") for m in _MODELS)), f"{key}s")
+    single, before = by("word", "w"), by("context", "c")
+    row = single.agg(F.count("*").alias("v"), *(F.sum(f"w_{m}").alias(m) for m in _MODELS)).first()
+    vocabulary, tokens = max(row.v, 1), {m: row[m] or 0 for m in _MODELS}
+    total = sum(tokens.values())
+    least = min((n for n in tokens.values() if n), default=0)
+    found = _with_counts(pairs, single, "word", [f"w_{m}" for m in _MODELS], total)
+    found = _with_counts(found, before, "context", [f"c_{m}" for m in _MODELS], total)
+
+    def loss(m: str) -> Column:
+        scale = F.lit(least / max(tokens[m], 1))
+        word = (F.col(f"w_{m}") * scale + F.lit(_WORD_PRIOR)) / (F.lit(float(tokens[m])) * scale + F.lit(_WORD_PRIOR * vocabulary))
+        return (-F.ln((F.col(m) * scale + F.lit(_PAIR_PRIOR) * word) / (F.col(f"c_{m}") * scale + F.lit(_PAIR_PRIOR)))).cast("float").alias(f"{m}_loss")
+
+    return written(found.select("context", "word", (F.col("target") + F.col("background")).alias("uses"), *map(loss, _MODELS)), "losses"), total
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, per_token: bool = False) -> DataFrame:
@@ -109,25 +95,57 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, per_token:
     before it. Null or empty text has no tokens, and null losses. Rows are judged one by one, repeated or not; a document
     without an id is background; without target or background documents the empty model is uniform.
     """
-    spark = docs.sparkSession
-    models = matched(fit_models(docs, target_ids))
-    shared = spark.sparkContext.broadcast(models)  # fixed size
-    shape = "doc_id long, n_tokens long, target_loss double, background_loss double, difference double" + ", token_differences array<float>" * per_token
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = shared.value
-        totals = tables[:, :1 << WORD_BITS].sum(1, dtype=np.float64)
+    losses, total = pair_losses(count_pairs(docs, target_ids))
+    hot = losses.where(F.col("uses") > total / HOT_PAIRS).drop("uses").toArrow()  # at most HOT_PAIRS rows of 24 bytes
+    column = lambda name: hot.column(name).to_numpy()
+    key = _paired(column("context").view(np.uint64), column("word").view(np.uint64))
+    order = np.argsort(key)
+    shared = docs.sparkSession.sparkContext.broadcast((key[order], *(column(f"{m}_loss")[order].astype(np.float64) for m in _MODELS)))
+    shape = "row long, doc_id long, n_tokens long, context long, word long, n long, places array<int>, target double, background double"
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a text with the sums of what is held here, and one for each other pair of the text; with `per_token`, one
+        for every pair of the text."""
+        keys, *values = shared.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for block in blocks(batch.column(1)):
-                found, word, context, pair = _cells(block)
-                loss = [_losses(tables[k], totals[k], word, context, pair) for k in range(2)]
-                n = found.counts
-                mean = [sums(x.astype(np.float64), found.first) / np.maximum(n, 1) for x in loss]
-                none = n == 0
-                out = {"doc_id": batch.column(0).slice(block.first, block.last - block.first), "n_tokens": pa.array(n, pa.int64()),
-                       "target_loss": pa.array(mean[0], mask=none), "background_loss": pa.array(mean[1], mask=none), "difference": pa.array(mean[0] - mean[1], mask=none)}
+                found, before, pair = _tokens(block)
+                size, text = block.last - block.first, found.text
+                order = np.lexsort((pair, text))
+                p, d = pair[order], text[order]
+                new = np.ones(len(p), bool)
+                new[1:] = (p[1:] != p[:-1]) | (d[1:] != d[:-1])
+                start = np.flatnonzero(new)
+                n, p, d, first = np.diff(np.append(start, len(p))), p[start], d[start], order[start]
+                at = np.minimum(np.searchsorted(keys, p), max(len(keys) - 1, 0))
+                held = keys[at] == p if len(keys) else np.zeros(len(p), bool)
+                own = [np.where(held, n * v[at], 0.0) if len(keys) else np.zeros(len(p)) for v in values]
+                out = np.ones(len(p), bool) if per_token else ~held
+                whole = [np.zeros(size) if per_token else np.bincount(d, weights=x, minlength=size) for x in own]
+                k, none = int(out.sum()), np.zeros(size, np.int64)
+                gone = np.concatenate([np.ones(size, bool), np.zeros(k, bool)])
+                places = pa.nulls(size + k, pa.list_(pa.int32()))
                 if per_token:
-                    out["token_differences"] = pa.ListArray.from_arrays(pa.array(found.first, pa.int32()), pa.array((loss[0] - loss[1]).astype(np.float32)))
-                yield pa.RecordBatch.from_pydict(out)
-
-    return text_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, shape)
+                    place = (np.arange(len(text)) - found.first[:-1][text])[order]
+                    places = pa.concat_arrays([pa.nulls(size, places.type), pa.ListArray.from_arrays(pa.array(np.append(start, len(order)), pa.int32()), pa.array(place, pa.int32()))])
+                unknown = np.concatenate([np.zeros(size, bool), ~held[out]])
+                yield pa.RecordBatch.from_pydict({
+                    "row": pa.array(row + np.concatenate([np.arange(size), d[out]])),
+                    "doc_id": pa.concat_arrays([batch.column(0).slice(block.first, size), pa.nulls(k, pa.int64())]),
+                    "n_tokens": pa.concat_arrays([pa.array(found.counts, pa.int64()), pa.nulls(k, pa.int64())]),
+                    "context": pa.array(np.concatenate([none, before[first[out]].view(np.int64)]), mask=gone),
+                    "word": pa.array(np.concatenate([none, found.hash[first[out]].view(np.int64)]), mask=gone),
+                    "n": pa.array(np.concatenate([none, n[out]]), pa.int64(), mask=gone), "places": places,
+                    **{m: pa.array(np.concatenate([w, x[out]]), mask=unknown) for m, w, x in zip(_MODELS, whole, own)}})
+                row += size
+
+    rows = written(text_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(spread, shape), "spread")
+    rest = rows.where("target is null").drop(*_MODELS).join(losses.drop("uses").hint("merge"), ["context", "word"])
+    rest = rest.select("row", "doc_id", "n_tokens", "context", "word", "n", "places", *((F.col("n") * F.col(f"{m}_loss").cast("double")).alias(m) for m in _MODELS))
+    every = F.sort_array(F.flatten(F.collect_list(F.transform("places", lambda i: F.struct(i.alias("i"), ((F.col("target") - F.col("background")) / F.col("n")).cast("float").alias("x"))))))
+    out = rows.where("target is not null").unionAll(rest).groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *(F.sum(m).alias(f"sum_{m}") for m in _MODELS), *[every.alias("every")] * per_token)
+    mean = lambda c: F.when(F.col("n_tokens") > 0, c / F.col("n_tokens"))
+    return out.select("doc_id", "n_tokens", *(mean(F.col(f"sum_{m}")).alias(f"{m}_loss") for m in _MODELS), mean(F.col("sum_target") - F.col("sum_background")).alias("difference"),
+                      *[F.transform("every", lambda e: e.x).alias("token_differences")] * per_token)

@@ -415,6 +415,34 @@ def test_cross_entropy_prefers_the_target(spark, docs, none):
     assert len(odd) == docs.count() and all((r.difference is None) == (r.n_tokens == 0) for r in odd) and cross_entropy_difference(none, target).count() == 0
 
 
+@pytest.mark.parametrize("hot", [0, 8])
+def test_cross_entropy_of_exact_counts(spark, monkeypatch, hot):
+    from tablekit.llm import crossentropy as C
+    if hot:
+        monkeypatch.setattr(C, "HOT_WORDS", hot)
+        monkeypatch.setattr(C, "HOT_PAIRS", hot)
+    texts = ["a b a b a c", "a b", None, "d, a B!", "c c c c", "a b", ""]
+    frame = spark.createDataFrame([(i if i != 5 else 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    words = [re.findall("[a-z]+", (t or "").lower()) for t in texts]
+    pairs = [list(zip(["", *w], w)) for w in words]
+    inside = {0, 1, 5}
+    models = [[p for i, own in enumerate(pairs) if (i in inside) == k for p in own] for k in (True, False)]
+    least, v = min(map(len, models)), len({w for own in words for w in own})
+
+    def loss(model, pair):
+        f = least / len(model)
+        word = (sum(p[1] == pair[1] for p in model) * f + 0.05) / (least + 0.05 * v)
+        return -math.log((model.count(pair) * f + 4 * word) / (sum(p[0] == pair[0] for p in model) * f + 4))
+
+    got = cross_entropy_difference(frame, spark.createDataFrame([(0,), (1,)], "doc_id long"), per_token=bool(hot)).collect()
+    expected = [[[loss(m, p) for p in own] for m in models] for own in pairs]
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted((i if i != 5 else 1, len(p)) for i, p in enumerate(pairs))
+    for r in got:
+        for value, own in zip((r.target_loss, r.background_loss), expected[r.doc_id]):
+            assert value is None and not own or math.isclose(value, sum(own) / len(own), rel_tol=1e-5)
+        assert not hot or np.allclose(r.token_differences, np.subtract(*expected[r.doc_id]), atol=1e-5)
+
+
 def test_secrets(docs, none, rows):
     got = secrets_report(docs).collect()
     expected = []
