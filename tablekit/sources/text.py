@@ -23,7 +23,7 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str], sep: str = "a
     """Delimited text with all columns as strings; short rows are null-filled, extra cells dropped.
 
     ``auto`` looks at the head of one file on the driver; the scan itself is distributed and splittable, unless quoted cells
-    of the sample hold line breaks. Where the sample is UTF-8 and a later line is not, all is read as windows-1252.
+    hold line breaks: in the sample, or by a line anywhere in the input with an odd number of quotes. Where the sample is UTF-8 and a later line is not, all is read as windows-1252.
     windows-1252 is scanned as iso-8859-1 and its 27 differing characters are translated in place, so
     such files stay splittable too. UTF-16 and UTF-32 need ``multiline`` parsing, one task per file.
     """
@@ -34,6 +34,8 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str], sep: str = "a
                           ((encoding, seen.encoding), (sep, seen.delimiter), (quote, seen.quote))], multiline or seen.multiline)
         if encoding == "auto" and found.encoding == "utf-8" and not _all_utf8(spark, path):
             found = replace(found, encoding="windows-1252")
+    if not found.multiline and "auto" in (sep, quote, encoding):
+        found = replace(found, multiline=_odd_quotes(spark, path, found.quote))
     name = found.encoding.lower()
     wide = name.startswith(("utf-16", "utf-32"))
     df = spark.read.csv(path, sep=found.delimiter, quote=found.quote, escape=found.quote, header=header,
@@ -53,6 +55,12 @@ def _all_utf8(spark: SparkSession, path: str | Sequence[str]) -> bool:
     return lines.where(~F.is_valid_utf8(F.col("value"))).isEmpty()
 
 
+def _odd_quotes(spark: SparkSession, path: str | Sequence[str], quote: str) -> bool:
+    """Whether any line has an odd number of quotes, so that a quoted cell may go on in the next one."""
+    value = F.col("value")
+    return not spark.read.text(path, wholetext=False).where((F.octet_length(value) - F.octet_length(F.replace(value, F.lit(quote), F.lit("")))) % 2 == 1).isEmpty()
+
+
 def read_quick_csv(spark: SparkSession, path: str) -> DataFrame:
     """Comma-separated text with inferred types."""
     return spark.read.csv(path, header=True, inferSchema=True, escape='"')

@@ -69,6 +69,20 @@ def test_line_breaks_survive(spark, tmp_path):
     assert rows(read_table(spark, str(tmp_path / "m"), format="text")) == rows(df)
 
 
+def test_line_breaks_beyond_the_sample(spark, tmp_path):
+    late = tmp_path / "late.csv"
+    plain = [(str(i), "x" * 80) for i in range(sniff.SAMPLE_BYTES // 80)]
+    late.write_text("id,note\n" + "".join(f"{a},{b}\n" for a, b in plain) + '"z","two\nlines"\n')
+    assert rows(read_table(spark, str(late))) == sorted([*plain, ("z", "two\nlines")])
+    folder = tmp_path / "two"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id,note\n1,one\n")
+    (folder / "b.csv").write_text('id,note\n2,"two\nlines"\n')
+    assert rows(read_table(spark, str(folder), format="text")) == [("1", "one"), ("2", "two\nlines")]
+    (tmp_path / "w.csv").write_bytes("id,note\n".encode() + "".join(f"{a},{b}\n" for a, b in plain).encode() + '"z","é\né"\n'.encode("cp1252"))
+    assert rows(read_table(spark, str(tmp_path / "w.csv"))) == sorted([*plain, ("z", "é\né")])
+
+
 def test_json_parquet_and_options(spark, tmp_path):
     (tmp_path / "t.json").write_text('[{"a": 1, "b": {"c": "x"}}, {"a": 2, "b": {"c": "y"}}]')
     (tmp_path / "t.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
