@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablekit.llm.crossentropy import cross_entropy_difference
+from tablekit.llm.divergence import source_divergence
 from tablekit.llm.edits import cleaned_counts
 from tablekit.llm.language import fit_coder, predict_language
 from tablekit.llm.licenses import scan_licenses
@@ -72,6 +73,21 @@ p AS (SELECT doc_id, n, form, text, array_to_string(u[1:a], '') AS x, array_to_s
 SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(x) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(y) END::BIGINT AS middle_chars,
   sha256(CASE form WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y WHEN 'spm' THEN '<S>' || z || '<P>' || x || '<M>' || y ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
 
+_DIVERGENCE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_folded('text')} AS text FROM documents),
+t AS (SELECT i, lang, source, unnest(regexp_extract_all(text, '[^\\x{{00}}-\\x{{40}}\\x{{5B}}-\\x{{60}}\\x{{7B}}-\\x{{7F}}]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS ln FROM t GROUP BY ALL HAVING count(DISTINCT i) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(ln) AS total FROM k GROUP BY lang),
+s AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.ln, v.v, v.total, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS own FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, (1 + 1000000000::HUGEINT * (n + 1) // (own + v))::HUGEINT AS p, (1 + 1000000000::HUGEINT * (ln + 1) // (total + v))::HUGEINT AS q FROM s),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM r)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM o WHERE part = 'pair' OR rank <= 200"""
+
 
 @_query("op9_token_files")
 def _token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,3 +160,8 @@ def _licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(_table(spark, sf_dir, "documents"))
     joined = lambda name: F.array_join(name, ",").alias(name)
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels"), joined("labels"), "score")
+
+
+@_query("op11_source_divergence", _DIVERGENCE_SQL)
+def _divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
