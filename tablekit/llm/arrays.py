@@ -108,8 +108,8 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool
     return mixed((total[end] - total[start]) * _power("down", len(data))[start])
 
 
-def words(block: Block, kind: np.ndarray, fold: bool = False) -> Words:
-    """Maximal runs of bytes of `kind` within each text."""
+def spans(block: Block, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of the maximal runs of bytes of `kind` within each text, and for each text the index of its first run."""
     data, at = block.data, block.offsets
     inside = kind[data]
     begin, stop = inside.copy(), inside.copy()
@@ -120,7 +120,13 @@ def words(block: Block, kind: np.ndarray, fold: bool = False) -> Words:
     last = at[1:][at[1:] > at[:-1]] - 1
     stop[last] = inside[last]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    return Words(start, end, span_hashes(data, start, end, fold), np.searchsorted(start, at))
+    return start, end, np.searchsorted(start, at)
+
+
+def words(block: Block, kind: np.ndarray, fold: bool = False) -> Words:
+    """Maximal runs of bytes of `kind` within each text."""
+    start, end, first = spans(block, kind)
+    return Words(start, end, span_hashes(block.data, start, end, fold), first)
 
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablekit.llm.arrays import Block, Words, blocks, words
+from tablekit.llm.arrays import Block, blocks, spans
 from tablekit.llm.work import text_columns, written
 
 _codes = np.arange(256)
@@ -18,7 +18,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes of text whose pointers are sorted together (a longer text is a shard of its own), and counts that meet in one group
 #: of sources at a time.
-SHARD_BYTES, GROUP_ROWS = 1 << 24, 1 << 18
+SHARD_BYTES, GROUP_ROWS = 1 << 23, 1 << 18
 #: Sources whose pairs are summed together.
 SOURCES_AT_ONCE = 64
 #: Shares are whole numbers out of this.
@@ -66,25 +66,25 @@ def _spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(start), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(body))
 
 
-def _shard_counts(block: Block, found: Words, group: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+def _shard_counts(block: Block, group: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Term, group, occurrences and documents: one row for each term of a shard and group of texts that has it."""
+    start, end, first = spans(block, LETTERS)
+    text = np.repeat(np.arange(len(group), dtype=np.int32), np.diff(first))
+    place = np.empty(len(group), np.int32)
+    place[np.argsort(group, kind="stable")] = np.arange(len(group))
+    pointers = np.argsort(place[text], kind="stable").astype(np.int32)  # texts of a group next to each other, words in their order
+    start, end, text = start[pointers].astype(np.int32), end[pointers].astype(np.int32), text[pointers]
     data = _LOWER[block.data]
-    text = found.text
-    by_group = np.argsort(group, kind="stable")
-    place = np.empty(len(group), np.int64)
-    place[by_group] = np.arange(len(group))
-    pointers = np.argsort(place[text], kind="stable")  # texts of a group next to each other, words in their order
-    order, new = sorted_pointers(data, found.start[pointers], found.end[pointers])
-    own = pointers[order]
-    text = text[own]
+    order, new = sorted_pointers(data, start, end)
+    text = text[order]
     g = group[text]
     fresh = new.copy()
     fresh[1:] |= g[1:] != g[:-1]
     first_in_text = fresh.copy()
     first_in_text[1:] |= text[1:] != text[:-1]
     first = np.flatnonzero(fresh)
-    term = own[first]
-    return _spelled(data, found.start[term], found.end[term]), g[first], np.diff(np.append(first, len(own))), np.add.reduceat(first_in_text.astype(np.int64), first) if len(first) else first
+    term = order[first]
+    return _spelled(data, start[term].astype(np.int64), end[term].astype(np.int64)), g[first], np.diff(np.append(first, len(order))), np.add.reduceat(first_in_text.astype(np.int64), first) if len(first) else first
 
 
 def count_terms(docs: DataFrame) -> DataFrame:
@@ -94,12 +94,11 @@ def count_terms(docs: DataFrame) -> DataFrame:
         for batch in batches:
             names = [batch.column(i).fill_null("") for i in (0, 1)]
             for block in blocks(batch.column(2), SHARD_BYTES):
-                found = words(block, LETTERS)
                 size = block.last - block.first
                 coded = [c.slice(block.first, size).dictionary_encode() for c in names]
                 lang, source = (c.indices.to_numpy().astype(np.int64) for c in coded)
                 wide = len(coded[1].dictionary)
-                term, group, n, df = _shard_counts(block, found, lang * wide + source)
+                term, group, n, df = _shard_counts(block, lang * wide + source)
                 if len(n):
                     yield pa.RecordBatch.from_arrays([coded[0].dictionary.take(pa.array(group // wide)), coded[1].dictionary.take(pa.array(group % wide)), term, pa.array(n, pa.int64()), pa.array(df, pa.int64())], names=["lang", "source", "term", "n", "df"])
 
