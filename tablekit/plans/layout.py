@@ -7,12 +7,15 @@ import tempfile
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .sizing import rows_per_task
 
 ROW_ID = "_row_id"
 
+#: Columns that tell where a row stands in a set of files: the file, the split, and a number that rises within the split.
+PLACE = ("_place_file", "_place_split", "_place_row")
+
 # monotonically_increasing_id() keeps the partition number above this bit and the position below it.
 _POSITION_BITS = 33
 
@@ -80,34 +83,88 @@ def range_layout(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     return durable(laid.withColumn("_part", F.spark_partition_id()))
 
 
-def in_file_order(df: DataFrame) -> DataFrame:
-    """Rows of files by path, then position, where the table is a plain scan; others as they come.
+def _plain_scan(df: DataFrame) -> tuple[bool, bool]:
+    """Whether the table is a scan of files with nothing but choices of columns and rows, and whether rows were left out."""
+    node, filtered = df._jdf.queryExecution().optimizedPlan(), False
+    while node.nodeName() in ("Project", "Filter"):
+        filtered |= node.nodeName() == "Filter"
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation" and bool(df.inputFiles()), filtered
+
 
-    A scan packs the largest files first, so its own order is not that of the names. Within a file, a block begins where
-    the scan was split, and rows keep their place in it.
+def placed_in_files(df: DataFrame) -> DataFrame | None:
+    """The rows of a plain scan of files with the `PLACE` columns; None where the table is something else.
+
+    A Parquet row knows its number in the file. Other rows keep their order within a split, so a rising number will do.
     """
-    if len(df.inputFiles()) < 2:
-        return df
+    scan, filtered = _plain_scan(df)
+    if not scan:
+        return None
+    meta = lambda name: F.col(f"_metadata.{name}")
+    file = meta("file_path").alias(PLACE[0])
     try:
-        place = [F.col("_metadata.file_path").alias("_order_file"), F.col("_metadata.file_block_start").alias("_order_block")]
-        placed = df.select("*", *place, F.monotonically_increasing_id().alias("_order_row"))
-    except AnalysisException:  # not a plain scan: there is no file to go by
-        return df
-    return placed.orderBy("_order_file", "_order_block", "_order_row").drop("_order_file", "_order_block", "_order_row")
+        if not filtered:
+            return df.select("*", file, F.lit(0).cast("long").alias(PLACE[1]), meta("row_index").alias(PLACE[2]))
+    except AnalysisException:  # only Parquet has it
+        pass
+    return df.select("*", file, meta("file_block_start").alias(PLACE[1]), F.monotonically_increasing_id().alias(PLACE[2]))
+
+
+def numbered_by_place(placed: DataFrame, name: str = ROW_ID) -> DataFrame:
+    """Rows numbered from 0 by file path, split and place, without moving or storing them.
+
+    A first job reads the places alone and counts the rows of each split; a row's number is that of the rows in earlier splits plus its own place in its
+    split. The table of splits has a row for each (of 128 MB, unless set otherwise) and is sent to all tasks.
+    """
+    file, split, row = (F.col(c) for c in PLACE)
+    counts = durable(placed.groupBy(file, split).agg(F.count("*").alias("_rows"), F.min(row).alias("_first")))
+    before = Window.orderBy(*PLACE[:2]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(file.alias("_at_file"), split.alias("_at_split"), "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    joined = placed.join(F.broadcast(starts), (file == F.col("_at_file")) & (split == F.col("_at_split")), "left")
+    number = F.when(F.col("_before").isNull(), F.raise_error(F.lit("the input files changed between two reads"))).otherwise(F.col("_before") + row - F.col("_first"))
+    return joined.select(*[F.col(quoted(c)) for c in placed.columns if c not in PLACE and c != name], number.cast("bigint").alias(name))
+
+
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first `n` rows by file and place in it, with their `PLACE`. A plain scan reads as few files as have them. Of a table without places, any."""
+    if PLACE[0] in df.columns:
+        return df.orderBy(*PLACE).limit(n)
+    if not _plain_scan(df)[0]:
+        return df.limit(n)
+    path = F.col("_metadata.file_path")
+    files, some = sorted(r[0] for r in df.select(path).distinct().collect()) if len(df.inputFiles()) > 1 else [], 1
+    while some < len(files) and df.where(path.isin(files[:some])).limit(n).count() < n:
+        some *= 2
+    return placed_in_files(df.where(path.isin(files[:some])) if files else df).orderBy(*PLACE).limit(n)
+
+
+def _keeps_order(df: DataFrame) -> bool:
+    """Whether the order of the rows is one that the plan gives: a global sort, a range, or rows that are at hand."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    return node.nodeName() in ("Range", "LocalRelation", "LogicalRDD") or node.nodeName() == "Sort" and bool(getattr(node, "global")())
 
 
 def with_row_id(df: DataFrame, order_by: Sequence[str | Column] | str | Column | None = None,
                 name: str = ROW_ID) -> DataFrame:
     """Add a 0-based consecutive row number in ``order_by`` order (file and place in it when omitted).
 
-    Names in ``order_by`` sort ascending with nulls first; pass Columns for other directions.
+    Names in ``order_by`` sort ascending with nulls first; pass Columns for other directions. Without it, a plain scan is numbered where it
+    stands, and a sorted table in its order; any other table has none, which is an error.
     The rows are sorted by Spark's range partitioner (a hot sort value is spread through a
     tie-break), written once to the checkpoint folder, and numbered from the partition's offset
     plus the position inside it. Offsets are one number per partition, hence the broadcast.
     """
     columns = [c for c in df.columns if c != name]
-    source = df if order_by is not None else in_file_order(df)
-    if order_by is not None:
+    source = df
+    if order_by is None:
+        placed = placed_in_files(df)
+        if placed is not None:
+            return numbered_by_place(placed, name)
+        if not _keeps_order(df):
+            raise ValueError("the table has no order of its own: pass order_by")
+    else:
         keys = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
         tied, tie = with_tie_break(df)
         source = tied.orderBy(*[F.col(quoted(k)).asc_nulls_first() if isinstance(k, str) else k for k in keys],

@@ -2,12 +2,12 @@
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..plans.layout import checkpoint_dir
 from ..sources.sinks import write_csv, write_csv_like_source, write_parquet
-from ..sources.table import read_table, source_facts
-from ..sources.text import read_quick_csv
+from ..sources.table import load_facts, read_table, source_facts
+from ..sources.text import ragged_rows, read_quick_csv
 from .base import query
 
 
@@ -31,6 +31,71 @@ def source_csv_multiline(t):
     return read_table(t.spark, path, format="text")
 
 
+@query("SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, CASE WHEN l_partkey % 100 = 0 THEN l_shipmode || chr(10) || '\"' || chr(10) || ',' "
+       "ELSE l_shipmode END AS note FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem)")
+def source_csv_line_breaks(t):
+    """Breaks in the cells of one row in a hundred; the file is read by as many tasks as it has splits."""
+    path, mode = _scratch(t.spark), F.concat("l_returnflag", "l_linestatus")
+    write_csv_like_source(t.lineitem.select("l_orderkey", "l_linenumber", F.when(F.col("l_partkey") % 100 == 0, F.concat(mode, F.lit('\n"\n,'))).otherwise(mode).alias("note")), path)
+    return read_table(t.spark, path, format="text")
+
+
+def _mixed_folder(t):
+    """A folder of three files a task: comma and UTF-8; semicolon and ISO-8859-1, columns in another order; pipe, with line breaks."""
+    path = _scratch(t.spark)
+    src = t.customer.select("c_custkey", F.concat("c_name", F.lit(" Köln")).alias("name"), "c_mktsegment")
+    part = lambda k: src.where(F.col("c_custkey") % 3 == k)
+    write_csv_like_source(part(0), f"{path}/kind=a")
+    part(1).select("name", "c_custkey", "c_mktsegment").write.csv(f"{path}/kind=b", header=True, sep=";", encoding="ISO-8859-1")
+    write_csv_like_source(part(2).withColumn("c_mktsegment", F.concat(F.col("c_mktsegment"), F.lit("\n-"))), f"{path}/kind=c", sep="|")
+    return path
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ' Köln' AS name, c_mktsegment || CASE WHEN c_custkey % 3 = 2 THEN chr(10) || '-' ELSE '' END AS c_mktsegment, "
+       "CASE c_custkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS kind FROM customer")
+def source_csv_mixed(t):
+    return read_table(t.spark, _mixed_folder(t), format="text")
+
+
+@query("SELECT k.kind, 'text' AS format, count(*) AS rows, CAST(4 AS INTEGER) AS columns, k.encoding, k.delimiter, '\"' AS quote, k.line_breaks FROM customer "
+       "JOIN (VALUES (0, 'a', 'utf-8', ',', false), (1, 'b', 'iso-8859-1', ';', false), (2, 'c', 'utf-8', '|', true)) AS k(i, kind, encoding, delimiter, line_breaks) ON c_custkey % 3 = k.i GROUP BY ALL")
+def source_text_facts(t):
+    found = load_facts(t.spark, _mixed_folder(t), "text").withColumn("kind", F.regexp_extract("file", "kind=(.)", 1))
+    return found.groupBy("kind", "format", "columns", "encoding", "delimiter", "quote", "line_breaks").agg(F.sum("rows").alias("rows"))
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS rows, CAST(sum(CASE WHEN o_custkey % 10 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS short_rows, "
+       "CAST(sum(CASE WHEN o_custkey % 10 = 2 THEN 1 ELSE 0 END) AS BIGINT) AS long_rows FROM orders GROUP BY 1")
+def source_csv_ragged(t):
+    path, kind = _scratch(t.spark), F.col("o_custkey") % 10
+    cells = F.concat_ws(",", F.col("o_orderkey"), F.when(kind != 1, F.lit('"a,b"')), F.when(kind == 2, F.lit("more")))
+    first = F.lit("id,note").alias("value")
+    heads = t.orders.select("o_orderstatus").distinct().select("o_orderstatus", F.lit(0).alias("at"), first)
+    lines = heads.unionAll(t.orders.select("o_orderstatus", F.lit(1).alias("at"), cells)).repartition("o_orderstatus").sortWithinPartitions("o_orderstatus", "at")
+    lines.select("value", F.col("o_orderstatus").alias("status")).write.partitionBy("status").text(path)
+    found = ragged_rows(t.spark, path).withColumn("status", F.regexp_extract("file", "status=(.)", 1))
+    return found.groupBy("status").agg(*[F.sum(c).alias(c) for c in ("rows", "short_rows", "long_rows")])
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS _row_id, CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority || CASE WHEN o_orderkey % 7 = 0 THEN chr(10) ELSE '' END AS note FROM orders")
+def source_csv_row_id(t):
+    path = _scratch(t.spark)
+    note = F.concat("o_orderpriority", F.when(F.col("o_orderkey") % 7 == 0, F.lit("\n")).otherwise(F.lit("")))
+    write_csv_like_source(t.orders.select("o_orderkey", note.alias("note")).orderBy("o_orderkey"), path)
+    return read_table(t.spark, path, format="text", row_id=True)
+
+
+@query("SELECT e.ending, CAST(p_partkey AS VARCHAR) AS p_partkey, p_name FROM part JOIN (VALUES ('txt'), ('dat')) AS e(ending) ON true")
+def source_txt_dat(t):
+    """The same table as a tab-separated .txt and a pipe-separated .dat folder."""
+    src, out = t.part.select("p_partkey", "p_name"), []
+    for ending, sep in (("txt", "\t"), ("dat", "|")):
+        path = f"{_scratch(t.spark)}.{ending}"
+        src.write.csv(path, header=True, sep=sep)
+        out.append(read_table(t.spark, path).withColumn("ending", F.lit(ending)))
+    return out[0].unionByName(out[1])
+
+
 @query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name || ' Köln' AS name FROM customer")
 def source_csv_encodings(t):
     path = _scratch(t.spark)
@@ -38,12 +103,16 @@ def source_csv_encodings(t):
     return read_table(t.spark, path, format="text")
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def source_json_document(t):
+    """A folder of JSON arrays, one for every hundred customers."""
     path = _scratch(t.spark)
-    whole = t.nation.agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("value"))  # 25 rows: a document is one value
-    whole.write.text(path)
-    return read_table(t.spark, path, format="json")
+    own = Window.partitionBy("bucket").orderBy("o_orderkey")
+    rows = t.orders.select(F.expr("o_custkey div 100").alias("bucket"), "o_orderkey", F.to_json(F.struct("o_orderkey", "o_custkey", "o_totalprice")).alias("row"))
+    first, last = F.lag("row").over(own).isNull(), F.lead("row").over(own).isNull()
+    lines = rows.select("bucket", "o_orderkey", F.concat(F.when(first, F.lit("[")).otherwise(F.lit(",")), "row", F.when(last, F.lit("]")).otherwise(F.lit(""))).alias("value"))
+    lines.sortWithinPartitions("bucket", "o_orderkey").select("value", "bucket").write.partitionBy("bucket").text(path)
+    return read_table(t.spark, path, format="json").drop("bucket")
 
 
 @query("SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, o_totalprice, o_orderstatus FROM orders")

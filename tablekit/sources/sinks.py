@@ -24,7 +24,8 @@ def write_csv_like_source(df: DataFrame, path: str, sep: str = ",", quote: str =
     """CSV with a chosen delimiter and quote where exactly the non-numeric cells are quoted.
 
     Spark's own writer can quote all cells or only those that need it, so the lines are built as one
-    expression. The header goes before the first row of every part file, as Spark's writer does it.
+    expression. The header goes before the first row of every part file, as Spark's writer does it; a table without rows has
+    one file with the header alone.
     """
     out = without_row_id(df)
     wrap = lambda text: F.concat(F.lit(quote), F.replace(text, F.lit(quote), F.lit(quote * 2)), F.lit(quote))
@@ -36,4 +37,6 @@ def write_csv_like_source(df: DataFrame, path: str, sep: str = ",", quote: str =
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
     line = F.concat_ws(sep, *cells)
     lines = out.select(F.when(first, F.concat(F.lit(header + "\n"), line)).otherwise(line).alias("value"))
+    if out.isEmpty():
+        lines = out.sparkSession.createDataFrame([(header,)], "value string").coalesce(1)
     lines.write.mode(mode).text(path)

@@ -1,16 +1,17 @@
-"""Encoding and dialect of a delimited file, judged from the head of one file on the driver."""
+"""Encoding and dialect of every file of delimited text, judged from all its lines in one distributed scan."""
 
 from __future__ import annotations
 
 import codecs
-import csv
-import io
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+
+from ..plans.layout import durable
 
-SAMPLE_BYTES = 2**20
 DELIMITERS = [",", ";", "\t", "|"]
+QUOTES = ['"', "'"]
 
 # Byte-order marks; the four-byte ones come first because they begin like the two-byte ones.
 _MARKS = [("utf-8-sig", codecs.BOM_UTF8), ("utf-32", codecs.BOM_UTF32_LE), ("utf-32", codecs.BOM_UTF32_BE),
@@ -23,80 +24,68 @@ class Dialect:
     delimiter: str
     quote: str
     multiline: bool = False
+    header: bytes = b""
+
+
+def raw_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """value (bytes up to a line feed, as they are), file, start (of the split that the line is in), place (rises within a split)."""
+    lines = spark.read.option("lineSep", "\n").text(path if isinstance(path, str) else list(path))
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+
+
+def unquoted(value: Column, quote: str) -> Column:
+    """The text without its quoted parts; a part that is not closed goes on to the end."""
+    return F.when(F.contains(value, F.lit(quote)), F.regexp_replace(value, f"{quote}[^{quote}]*({quote}|$)", "")).otherwise(value)
+
+
+def occurrences(value: Column, sign: str) -> Column:
+    return F.octet_length(value) - F.octet_length(F.replace(value, F.lit(sign), F.lit("")))
+
 
+def survey(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """What a dialect is judged by: a row per file and split, from one scan, kept in the checkpoint folder.
 
-def head_bytes(spark: SparkSession, path: str, limit: int = SAMPLE_BYTES) -> bytes:
-    """First bytes of the file, or of the first data file of a folder or pattern."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    found = jvm.org.apache.hadoop.fs.Path(path)
-    fs = found.getFileSystem(conf)
-    files = [s for s in fs.globStatus(found) or []]
-    if not files:
-        raise FileNotFoundError(path)
-    status = files[0]
-    while status.isDirectory():
-        inside = sorted((s for s in fs.listStatus(status.getPath())
-                         if not s.getPath().getName().startswith(("_", "."))), key=lambda s: s.getPath().toString())
-        if not inside:
-            raise FileNotFoundError(path)
-        status = next((s for s in inside if s.isDirectory() or s.getLen()), inside[0])  # a part without rows tells nothing
-    stream = fs.open(status.getPath())
-    try:
-        return bytes(stream.readNBytes(limit))
-    finally:
-        stream.close()
-
-
-def guess_encoding(sample: bytes) -> str:
-    """Byte-order mark, else UTF-8 if it decodes (plain ASCII does), else a single-byte set."""
-    for name, mark in _MARKS:
-        if sample.startswith(mark):
-            return name
-    try:
-        # A multi-byte character may be cut at the end of the sample.
-        text = codecs.getincrementaldecoder("utf-8")("strict").decode(sample, final=False)
-        if sample.isascii() or not text.isascii():
-            return "utf-8"
-    except UnicodeDecodeError:
-        pass
-    # Bytes 0x80-0x9f are control codes in iso-8859-1 and letters or signs in windows-1252.
-    return "windows-1252" if any(0x80 <= b <= 0x9F for b in sample) else "iso-8859-1"
-
-
-def _records(text: str, delimiter: str, quote: str) -> list[int]:
-    """Fields of each record of the sample; the last record may be cut off and doesn't count, if there are others."""
-    try:
-        sizes = [len(r) for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, quotechar=quote, doublequote=True) if r]
-    except csv.Error:
-        return []
-    return sizes[:-1] if len(sizes) > 2 else sizes
-
-
-def guess_dialect(text: str) -> tuple[str, str, bool]:
-    """Delimiter, quote character, and whether quoted cells hold line breaks, from the shape of the sample.
-
-    The delimiter is the one for which most records have the same number of fields, more than one; of equals, the one with
-    more fields, then the earlier in the list. Quotes count where they stand at the edge of a cell. Comma and double quote
-    when nothing can be told.
+    first (line of the file), kinds (of lines: 0 UTF-8, 1 not, 2 not and with bytes 0x80 to 0x9f), and for either quote sign: odd (lines with an odd
+    number), cells (quoted cells seen), lines (others, not blank), and sums and squared sums of each delimiter outside quotes.
     """
-    best = (0.0, 0, ",", '"')
-    for quote in ('"', "'"):
-        for delimiter in DELIMITERS:
-            edges = text.count(delimiter + quote) + text.count(quote + delimiter) + text.count("\n" + quote) + text.startswith(quote)
-            if quote == "'" and edges < 2:
-                continue
-            sizes = _records(text, delimiter, quote)
-            if sizes:
-                usual = max(set(sizes), key=lambda n: (sizes.count(n), n))
-                if usual > 1:
-                    found = (sizes.count(usual) / len(sizes), usual, delimiter, quote)
-                    best = found if found[:2] > best[:2] else best
-    delimiter, quote = best[2:]
-    lines = text.split("\n")
-    return delimiter, quote, any(line.replace("\r", "").count(quote) % 2 for line in (lines[:-1] if len(lines) > 1 else lines))
-
-
-def sniff(spark: SparkSession, path: str) -> Dialect:
-    sample = head_bytes(spark, path)
-    encoding = guess_encoding(sample)
-    return Dialect(encoding, *guess_dialect(sample.decode(encoding, errors="ignore")))
+    value = F.col("value")
+    latin = F.decode(value.cast("binary"), "ISO-8859-1")
+    kind = F.when(F.is_valid_utf8(value), 0).when(latin.rlike("[\u0080-\u009f]"), 2).otherwise(1)
+    found = [F.min_by(value, "place").alias("first"), F.collect_set(kind).alias("kinds")]
+    for i, quote in enumerate(QUOTES):
+        odd = occurrences(value, quote) % 2 == 1
+        edge = f"(^|[{''.join(DELIMITERS)}]){quote}" + (f"[^{quote}]*{quote}([{''.join(DELIMITERS)}]|\\r?$)" if i else "")
+        plain = ~odd & (F.trim(value) != "")
+        count = lambda test: F.sum(F.when(test, 1).otherwise(0))
+        found += [count(odd).alias(f"odd{i}"), count(F.contains(value, F.lit(quote)) & value.rlike(edge)).alias(f"cells{i}"), count(plain).alias(f"lines{i}")]
+        for k, delimiter in enumerate(DELIMITERS):
+            n = F.when(plain, occurrences(unquoted(value, quote), delimiter)).cast("long")
+            found += [F.sum(n).alias(f"sum{i}{k}"), F.sum(n * n).alias(f"square{i}{k}")]
+    return durable(raw_lines(spark, path).groupBy("file", "start").agg(*found))
+
+
+def _judged(row: Row) -> Dialect:
+    """The quote is the double one unless more cells stand in single ones. The delimiter is the one whose number in a line differs least
+    from that in the first line, relative to it; of equals, the one with more fields, then the earlier in the list."""
+    head = bytes(row["header"] or b"")
+    kinds = {k for some in row["kinds"] for k in some}
+    encoding = next((name for name, mark in _MARKS if head.startswith(mark)), None)
+    encoding = encoding or ("windows-1252" if 2 in kinds else "iso-8859-1" if 1 in kinds else "utf-8")
+    i = int(row["cells1"] > row["cells0"])
+    best, delimiter = (float("inf"), 0), ","
+    for k, sign in enumerate(DELIMITERS):
+        h, n = row[f"head{i}{k}"] or 0, row[f"lines{i}"]
+        if h:
+            away = ((row[f"square{i}{k}"] or 0) - 2 * h * (row[f"sum{i}{k}"] or 0) + n * h * h) / (max(n, 1) * h * h)
+            if (away, -h) < best:
+                best, delimiter = (away, -h), sign
+    return Dialect(encoding, delimiter, QUOTES[i], row[f"odd{i}"] > 0, head)
+
+
+def file_dialects(splits: DataFrame) -> dict[str, Dialect]:
+    """The dialect of each file of a survey. The driver gets a row per file, as it does for the list of files."""
+    first = F.max(F.when(F.col("start") == 0, F.col("first")))
+    sums = [F.sum(c).alias(c) for c in splits.columns if c not in ("file", "start", "first", "kinds")]
+    files = splits.groupBy("file").agg(first.alias("first"), F.collect_set("kinds").alias("kinds"), *sums)
+    heads = [occurrences(unquoted(F.col("first"), q), d).alias(f"head{i}{k}") for i, q in enumerate(QUOTES) for k, d in enumerate(DELIMITERS)]
+    return {r["file"]: _judged(r) for r in files.select("*", F.col("first").cast("binary").alias("header"), *heads).drop("first").collect()}

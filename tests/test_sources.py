@@ -12,8 +12,11 @@ from tablekit.operators.audit import Audit
 from tablekit.operators.convert import FLOAT, apply_conversion
 from tablekit.operators.filters import Condition as C, apply_filter
 from tablekit.sources import archives, sniff
+from tablekit.sources.records import line_effect
 from tablekit.sources.sinks import write_csv, write_csv_like_source, write_parquet
-from tablekit.sources.table import format_of, read_table, source_facts
+from tablekit.sources.table import format_of, load_facts, read_table, source_facts
+from tablekit.sources.text import ragged_rows
+from tablekit.plans.layout import with_row_id
 from tablekit.streaming.stateless import process_available
 
 TEXT = 'id;name;price\n1;Ünal;"1.234,5"\n2;short\n3;"semi;colon";7;extra;cells\n4;;\n'
@@ -42,18 +45,114 @@ def test_other_delimiters(spark, tmp_path, sep, ending):
     assert rows(read_table(spark, str(path))) == [("1", "x y"), ("2", "z")]
 
 
-def test_guesses():
-    assert sniff.guess_encoding(b"plain") == "utf-8" and sniff.guess_encoding("é".encode()) == "utf-8"
-    assert sniff.guess_encoding(b"caf\xe9") == "iso-8859-1" and sniff.guess_encoding(b"\x80 5") == "windows-1252"
-    assert sniff.guess_encoding("x".encode("utf-32")) == "utf-32" and sniff.guess_encoding("éé".encode()[:3]) == "utf-8"
-    assert sniff.guess_dialect("") == (",", '"', False) and sniff.guess_dialect("a|b\n1|2\n3|4\n")[0] == "|"
-
-
-def test_dialects_by_shape():
-    assert sniff.guess_dialect('a;b\n"x;y,z,w";2\n"p,q";3\n') == (";", '"', False)
-    assert sniff.guess_dialect("'a','b'\n'1, 2','x'\n'3','y'\n") == (",", "'", False)
-    assert sniff.guess_dialect('a,b\n1,"two\nlines"\n2,x\n') == (",", '"', True)
-    assert sniff.guess_dialect("one column\nonly\n") == (",", '"', False)
+def _told(spark, folder, texts):
+    """The dialect of each of some texts, all judged as files of one folder."""
+    for i, raw in enumerate(texts):
+        (folder / f"{i:02}.csv").write_bytes(raw if isinstance(raw, bytes) else raw.encode())
+    found = sniff.file_dialects(sniff.survey(spark, str(folder)))
+    return [found.get(f) for i in range(len(texts)) for f in [next((k for k in found if k.endswith(f"/{i:02}.csv")), None)]]
+
+
+def test_guesses(spark, tmp_path):
+    got = _told(spark, tmp_path, [b"plain", "é", b"caf\xe9", b"\x80 5", "x\ny".encode("utf-32"), "x\ny".encode("utf-16"), b"", "a|b\n1|2\n3|4\n"])
+    assert [d and d.encoding for d in got] == ["utf-8", "utf-8", "iso-8859-1", "windows-1252", "utf-32", "utf-16", None, "utf-8"]
+    assert got[-1].delimiter == "|"
+
+
+def test_dialects_by_shape(spark, tmp_path):
+    got = _told(spark, tmp_path, ['a;b\n"x;y,z,w";2\n"p,q";3\n', "'a','b'\n'1, 2','x'\n'3','y'\n", 'a,b\n1,"two\nlines"\n2,x\n', "one column\nonly\n",
+                                  "a;b;c\n1,5;2,5;3,5\n1,5;2,5;3,5\n1;2\n", "a\tb\nit's,5\t1\ndon't\t2\n"])
+    assert [(d.delimiter, d.quote, d.multiline) for d in got] == [(";", '"', False), (",", "'", False), (",", '"', True), (",", '"', False), (";", '"', False), ("\t", '"', False)]
+
+
+def test_effect_of_a_line():
+    effect = line_effect(",", '"')
+    outside = {b"a,b": 0, b'a,"b': 1, b'"a,b"': 0, b'"a","b': 1, b'5" x,2': 0, b'a"b,"c': 1, b'"a""b': 1, b'"a""",b': 0, b'"a"",b"': 0, b'"': 1, b'""': 0, b'"a"b"c,"d': 1, b',,"': 1}
+    inside = {b"x": 1, b'x",y': 0, b'x"",y': 1, b'x","y': 1, b'x"" ","y"': 0, b'"': 0, b'""': 1, b'"""': 0, b"": 1, b'end"\r': 0}
+    assert [(k, effect(k, 0)) for k in outside] == [*outside.items()] and [(k, effect(k, 1)) for k in inside] == [*inside.items()]
+
+
+def _table_text(seed, n, end="\n"):
+    """Records with breaks, doubled quotes and delimiters in their cells, and stray quotes in plain ones."""
+    import random
+    rng = random.Random(seed)
+    cell = lambda: rng.choice(["", "x", "plain words", '5" pipe', '"quoted"', '"a, b"', f'"two{end}lines"', f'"{end}{end}"', '"say ""hi"""', f'"""{end}"" , "', '"' + f"long {end} cell " * rng.randrange(1, 12) + '"', "'"])
+    return f"id,a,b{end}" + "".join(f"{i},{cell()},{cell()}{end}" for i in range(n))
+
+
+@pytest.mark.parametrize("split", ["64", "300", "2000", "1000000"])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_records_across_splits(spark, tmp_path, split, end):
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_bytes(_table_text(k, 120, end).encode())
+    (tmp_path / "open.csv").write_text('id,a,b\n1,x,"never closed\nmore\n\nlast')
+    want = rows(spark.read.csv(str(tmp_path), header=True, escape='"', multiLine=True))
+    conf = {"spark.sql.files.maxPartitionBytes": split, "spark.sql.files.openCostInBytes": "1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = read_table(spark, str(tmp_path), format="text")
+        cells = [tuple(x and x.replace("\r\n", "\n") for x in r) for r in df.collect()]  # Spark's own reader makes them line feeds
+        assert sorted(cells, key=str) == sorted(want, key=str)
+        if split == "300":
+            numbered = read_table(spark, str(tmp_path), format="text", row_id=True).orderBy("_row_id").collect()
+            assert [r["_row_id"] for r in numbered] == list(range(len(want)))
+            assert [r["id"] for r in numbered] == [str(i) for _ in range(3) for i in range(120)] + ["1"]
+            assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
+def test_files_of_several_dialects(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,note\n1,é one\n2,\"x;y\"\n")
+    (tmp_path / "b.csv").write_bytes("id;note\n3;€ three\n4;Köln, four\n".encode("cp1252"))
+    (tmp_path / "c.csv").write_bytes("note|id|more\nfünf|5|x\n".encode("latin-1"))
+    (tmp_path / "d.csv").write_bytes("id\tnote\r\n6\t\"six\r\nlines\"\r\n".encode("utf-16"))
+    (tmp_path / "e.csv").write_text('id,note\n7,"seven\nlines"\n')
+    df = read_table(spark, str(tmp_path), format="text")
+    want = [("1", "é one", None), ("2", "x;y", None), ("3", "€ three", None), ("4", "Köln, four", None), ("5", "fünf", "x"), ("6", "six\nlines", None), ("7", "seven\nlines", None)]
+    assert df.columns == ["id", "note", "more"] and rows(df) == want
+    numbered = read_table(spark, str(tmp_path), format="text", row_id=True).orderBy("_row_id").collect()
+    assert [r["id"] for r in numbered] == [w[0] for w in want]
+    assert [r["id"] for r in read_table(spark, str(tmp_path), format="text", n_rows=3, row_id=True).orderBy("_row_id").collect()] == ["1", "2", "3"]
+    facts = {r["file"][-5:]: r for r in load_facts(spark, str(tmp_path), "text").collect()}
+    assert [(facts[k]["encoding"], facts[k]["delimiter"], facts[k]["line_breaks"], facts[k]["rows"], facts[k]["columns"]) for k in sorted(facts)] == [
+        ("utf-8", ",", False, 2, 3), ("windows-1252", ";", False, 2, 3), ("iso-8859-1", "|", False, 1, 3), ("utf-16", "\t", True, 1, 3), ("utf-8", ",", True, 1, 3)]
+    assert all(abs(r["size_mb"] * 1048576 - (tmp_path / k).stat().st_size) < 0.1 for k, r in facts.items())
+
+
+def test_ragged_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,b,c\n1,2,3\n1,2\n\n1,"2,2",3,4\n1\n')
+    (tmp_path / "b.csv").write_text('a;b\n"x\n;y";2\n"p";3;4\n')
+    (tmp_path / "c.csv").write_text("a|b\n1|2\n")
+    got = sorted((r["file"][-5:], r["rows"], r["short_rows"], r["long_rows"]) for r in ragged_rows(spark, str(tmp_path)).collect())
+    assert got == [("a.csv", 4, 2, 1), ("b.csv", 2, 0, 1), ("c.csv", 1, 0, 0)]
+    with pytest.raises(ValueError, match="a.csv: 2 short, 1 long"):
+        read_table(spark, str(tmp_path), format="text", on_ragged="raise")
+    assert read_table(spark, str(tmp_path / "c.csv"), on_ragged="raise").count() == 1
+
+
+def test_numbers_and_caps_in_file_order(spark, tmp_path):
+    path = str(tmp_path / "p")
+    for k, name in enumerate("cab"):
+        spark.range(k * 1000, k * 1000 + 50 + 100 * k, 1, 1).write.parquet(f"{path}/{name}.parquet")
+    files = [*range(1000, 1150), *range(2000, 2250), *range(50)]
+    one = str(tmp_path / "p" / "*")
+    got = read_table(spark, one, format="parquet", row_id=True)
+    assert [r["id"] for r in got.orderBy("_row_id").collect()] == files
+    assert "Checkpoint" not in got.select("id")._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["id"] for r in read_table(spark, one, format="parquet", n_rows=170).collect()) == sorted(files[:170])
+    kept = with_row_id(spark.read.parquet(one).where("id % 2 = 0"))
+    assert [r["id"] for r in kept.orderBy("_row_id").collect()] == [i for i in files if i % 2 == 0] and kept.agg(F.max("_row_id")).first()[0] == sum(i % 2 == 0 for i in files) - 1
+    with pytest.raises(ValueError, match="order_by"):
+        with_row_id(spark.range(9).groupBy(F.col("id") % 3).count())
+
+
+def test_empty_table_keeps_its_header(spark, tmp_path):
+    write_csv_like_source(spark.createDataFrame([], "a string, b int"), str(tmp_path / "e"), sep=";")
+    df = read_table(spark, str(tmp_path / "e"), format="text")
+    assert df.columns == ["a", "b"] and df.count() == 0
 
 
 def test_text_that_is_utf8_only_at_first(spark, tmp_path):
@@ -71,7 +170,7 @@ def test_line_breaks_survive(spark, tmp_path):
 
 def test_line_breaks_beyond_the_sample(spark, tmp_path):
     late = tmp_path / "late.csv"
-    plain = [(str(i), "x" * 80) for i in range(sniff.SAMPLE_BYTES // 80)]
+    plain = [(str(i), "x" * 80) for i in range(2**20 // 80)]
     late.write_text("id,note\n" + "".join(f"{a},{b}\n" for a, b in plain) + '"z","two\nlines"\n')
     assert rows(read_table(spark, str(late))) == sorted([*plain, ("z", "two\nlines")])
     folder = tmp_path / "two"
