@@ -8,43 +8,81 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import NUMERIC_TYPES
-from ..plans.layout import ROW_ID, quoted, with_row_id
+from ..plans.layout import ROW_ID, hashable, quoted
+from ..plans.sizing import rows_per_task
 
 DEFAULT_SIZE = 10_000
 DEFAULT_SEED = 42
-# Above this many rows the final cut is made by distributed numbering instead of a single-task limit.
-_LIMIT_ROWS = 100_000
-_HASH_SPAN = 2**64
+# Rows among which the last one of a sample is found by sorting; where more share the leading bits of a draw, further bits are counted.
+_SORTED_ROWS = 100_000
+_DIGIT_BITS = 16
 
 
-def _order_key(df: DataFrame, key: str, seed: int) -> Column:
-    return F.xxhash64(F.col(quoted(key)), F.lit(seed))
+def _draw_limit(draws: DataFrame, n: int, ties: list[str]) -> tuple | None:
+    """The n-th smallest row of (`_draw`, ties); None if there are no more than n rows.
 
-
-def sample_rows(df: DataFrame, n: int = DEFAULT_SIZE, seed: int = DEFAULT_SEED, key: str = ROW_ID,
-                total: int | None = None) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows in a random order fixed by ``seed``; all rows when there are no more.
-
-    Rows are ranked by a hash of their unique ``key``, so the choice does not depend on partitioning.
-    A hash threshold first drops all but slightly more than ``n`` rows inside the scan stage; the
-    threshold is widened until enough remain, so the cut afterwards is exact.
+    Draws are counted by their leading 16 bits, then, within the digit that holds the n-th, by the next ones, until few enough are left
+    to be sorted. A pass brings at most 2^16 counts to the driver.
+    """
+    low, shift = -(1 << 63), 64
+    while True:
+        shift -= _DIGIT_BITS
+        inside = draws if shift == 64 - _DIGIT_BITS else draws.where(F.col("_draw").between(low, low + (1 << (shift + _DIGIT_BITS)) - 1))
+        digits = inside.groupBy(F.shiftright("_draw", shift).alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()
+        if shift == 64 - _DIGIT_BITS and sum(r["n"] for r in digits) <= n:
+            return None
+        for r in digits:
+            if n <= r["n"]:
+                low, held = r["d"] << shift, r["n"]
+                break
+            n -= r["n"]
+        if held <= _SORTED_ROWS or not shift:
+            some = draws.where(F.col("_draw").between(low, low + (1 << shift) - 1)).select("_draw", *ties)
+            return tuple(some.orderBy("_draw", *ties).limit(n).collect()[-1])
+
+
+def _up_to(limit: tuple, ties: list[str]) -> Column:
+    """Whether (`_draw`, ties) does not come after the limit."""
+    test = F.lit(True)
+    for name, value in reversed([*zip(["_draw", *ties], limit)]):
+        test = (F.col(name) < F.lit(value)) | ((F.col(name) == F.lit(value)) & test)
+    return test
+
+
+def sample_rows(df: DataFrame, n: int = DEFAULT_SIZE, seed: int = DEFAULT_SEED, key: str = ROW_ID) -> DataFrame:
+    """Exactly ``min(n, rows)`` rows chosen at random by ``seed``; all rows when there are no more.
+
+    Rows are drawn by a hash of their unique, non-null ``key``, so the choice does not depend on partitioning. Counting passes over the key column find the draw of
+    the last row, and one filter takes all rows up to it, for any ``n``. Without the key column, rows are drawn by their content: equal rows
+    are counted, each copy has a draw of its own, and the chosen contents are looked up in the table.
     """
     if key not in df.columns:
-        df = with_row_id(df, name=key)
-    total = df.count() if total is None else total
-    if total <= n:
+        return _sample_by_content(df, n, seed)
+    if n < 1:
+        return df.limit(0)
+    drawn = df.withColumns({"_draw": F.xxhash64(F.col(quoted(key)), F.lit(seed)), "_key": F.col(quoted(key))})
+    limit = _draw_limit(drawn, n, ["_key"])
+    return df if limit is None else drawn.where(_up_to(limit, ["_key"])).drop("_draw", "_key")
+
+
+def _sample_by_content(df: DataFrame, n: int, seed: int) -> DataFrame:
+    """A content is known by two 64-bit hashes. Copies of many are numbered in runs, so that no task writes out all of a row's."""
+    if n < 1:
+        return df.limit(0)
+    content = [F.col(c) for c in hashable(df)]
+    known = df.withColumns({"_a": F.xxhash64(*content, F.lit(1)), "_b": F.xxhash64(*content, F.lit(2))})
+    width = rows_per_task(df.sparkSession)
+    counts = known.groupBy("_a", "_b").agg(F.count("*").alias("_n"))
+    runs = counts.withColumn("_run", F.explode(F.expr(f"sequence(0, (_n - 1) div {width})"))).hint("rebalance")
+    copies = runs.withColumn("_i", F.explode(F.expr(f"sequence(_run * {width}, least(_run * {width} + {width}, _n) - 1)")))
+    copies = copies.select("_a", "_b", "_i", F.xxhash64("_a", "_b", "_i", F.lit(seed)).alias("_draw"))
+    limit = _draw_limit(copies, n, ["_a", "_b", "_i"])
+    if limit is None:
         return df
-    ranked = df.withColumn("_draw", _order_key(df, key, seed))
-    share = (n + 8 * math.sqrt(n) + 16) / total
-    pool = ranked
-    while share < 1:
-        pool = ranked.where(F.col("_draw") < int(share * _HASH_SPAN) - _HASH_SPAN // 2)
-        if pool.count() >= n:
-            break
-        share, pool = share * 2, ranked
-    if n <= _LIMIT_ROWS:
-        return pool.orderBy("_draw", F.col(quoted(key))).limit(n).drop("_draw")
-    return with_row_id(pool, ["_draw", key], name="_cut").where(F.col("_cut") < n).drop("_draw", "_cut")
+    chosen = copies.where(_up_to(limit, ["_a", "_b", "_i"])).groupBy("_a", "_b").agg(F.count("*").alias("_times"))
+    found = known.join(F.broadcast(chosen) if n <= _SORTED_ROWS else chosen, ["_a", "_b"])
+    single = found.groupBy(*[F.col(quoted(c)) for c in df.columns], "_a", "_b", "_times").count()
+    return single.withColumn("_copy", F.explode(F.expr("sequence(1L, _times)"))).select(*[F.col(quoted(c)) for c in df.columns])
 
 
 def sample_size(rows: int, numeric: bool, non_null: int, std: float | None, mean: float | None,

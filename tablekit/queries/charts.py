@@ -88,6 +88,15 @@ def hist_cumulative(t):
     return rounded(rounded(out, ["lo", "hi"]), ["value"], 6)
 
 
+_MANY = _HIST.format(s="o_orderstatus,", d="o_orderstatus,", cross=", (SELECT DISTINCT o_orderstatus FROM orders)", n=20_000, v="count(*)")
+
+
+@query(_MANY + "SELECT g.o_orderstatus, g.bin, round(lo, 4) AS lo, round(hi, 4) AS hi, CAST(sum(coalesce(v, 0)) OVER (PARTITION BY g.o_orderstatus ORDER BY g.bin) AS DOUBLE) AS value "
+       "FROM g LEFT JOIN c ON g.bin = c.bin AND g.o_orderstatus = c.o_orderstatus")
+def hist_many_bins(t):
+    return rounded(ch.histogram_table(t.orders, "o_totalprice", 20_000, color="o_orderstatus", cumulative=True), ["lo", "hi"])
+
+
 @query(_HIST.format(s="", d="", cross="", n=12, v="sum(o_custkey)") + "SELECT g.bin, round(lo, 4) AS lo, round(hi, 4) AS hi, "
        "CAST(coalesce(v, 0) AS DOUBLE) AS value FROM g LEFT JOIN c ON g.bin = c.bin")
 def hist_weighted(t):
@@ -157,24 +166,31 @@ def dist_normal(t):
     return rounded(out.withColumn("density", F.col("density") * 1e6), ["x", "density"])
 
 
+# The sum over all rows, point by point.
 _KDE = ("r AS (SELECT k, min(v) AS lo, max(v) AS hi, count(*) AS n, stddev_samp(v) * power(count(*), -0.2) AS band FROM v GROUP BY 1), "
-        "b AS (SELECT k, bin, avg(v) AS c, count(*) AS w FROM (SELECT v.k, v, least(CAST(floor((v - lo) / ((hi - lo) / 1024)) AS BIGINT), 1023) AS bin "
-        "FROM v JOIN r ON v.k = r.k) GROUP BY 1, 2), "
+        "w AS (SELECT k, v, count(*) AS w FROM v GROUP BY 1, 2), "
         "g AS (SELECT *, CAST(p AS INTEGER) AS point, lo + p * ((hi - lo) / {p}) AS x FROM r, range(0, {p}) q(p)) "
-        "SELECT g.k AS {k}, point, round(x, 4) AS x, round({f} * sum(w * exp(-((x - c) / band) * ((x - c) / band) / 2)) / (any_value(band) * any_value(n) * "
-        "sqrt(2.0 * pi())), 4) AS density FROM g JOIN b ON g.k = b.k GROUP BY g.k, point, x")
+        "SELECT g.k AS {k}, point, round(x, 4) AS x, round({f} * sum(w * exp(-((x - v) / band) * ((x - v) / band) / 2)) / (any_value(band) * any_value(n) * "
+        "sqrt(2.0 * pi())), 7) AS density FROM g JOIN w ON g.k = w.k GROUP BY g.k, point, x")
 
 
 @query("WITH v AS (SELECT 'l_quantity' AS k, l_quantity AS v FROM lineitem UNION ALL SELECT 'l_linenumber', l_linenumber FROM lineitem), "
        + _KDE.format(p=500, k='"column"', f=1))
 def dist_kde(t):
-    return rounded(ch.distribution_kde(t.lineitem, ["l_quantity", "l_linenumber"]), ["x", "density"])
+    return rounded(rounded(ch.distribution_kde(t.lineitem, ["l_quantity", "l_linenumber"]), ["x"]), ["density"], 7)
 
 
 @query("WITH v AS (SELECT c_mktsegment AS k, c_acctbal AS v FROM customer), " + _KDE.format(p=100, k="c_mktsegment", f=1e6))
 def violin_density(t):
     curve = ch.kde_curve(t.customer, "c_acctbal", ["c_mktsegment"], 100)
-    return rounded(curve.withColumn("density", F.col("density") * 1e6), ["x", "density"])
+    return rounded(rounded(curve.withColumn("density", F.col("density") * 1e6), ["x"]), ["density"], 7)
+
+
+@query("WITH v AS (SELECT 0 AS k, l_extendedprice AS v FROM lineitem), " + _KDE.format(p=60, k="one", f=1e6))
+def dist_kde_prices(t):
+    """As many distinct values as rows, and no groups."""
+    curve = ch.kde_curve(t.lineitem, "l_extendedprice", points=60).withColumn("one", F.lit(0))
+    return rounded(rounded(curve.withColumn("density", F.col("density") * 1e6), ["x"]), ["density"], 7)
 
 
 @query("WITH s AS (SELECT c_mktsegment, c_nationkey % 2 = 0 AS even, c_acctbal AS y FROM customer), q AS (SELECT c_mktsegment, even, count(*) AS n, min(y) AS mn, "

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators.reshape import list_rows, melt_table, pivot_table
-from ..operators import sample as smp
+from ..operators import reshape as wide, sample as smp
 from .base import query, rounded
 
 _SEGMENTS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -67,6 +67,32 @@ def pivot_list(t):
     return out.withColumns({s: F.array_join(F.col(s).cast("array<string>"), ",") for s in "FOP"})
 
 
+_WIDE = ("WITH r AS (SELECT o_custkey, dense_rank() OVER (ORDER BY o_custkey) - 1 AS rank FROM (SELECT DISTINCT o_custkey FROM orders)), "
+         "c AS (SELECT o_orderpriority, rank, o_custkey AS header, round(sum(o_totalprice), 4) AS cell FROM orders JOIN r USING (o_custkey) GROUP BY 1, 2, 3) ")
+
+
+@query(_WIDE + "SELECT * FROM c")
+def pivot_long(t):
+    return rounded(wide.pivot_long(t.orders, "o_orderpriority", "o_custkey", "o_totalprice", "sum"), ["cell"])
+
+
+@query("WITH r AS (SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderkey) - 1 AS rank FROM orders) SELECT o_orderpriority, string_agg(rank || '=' || o_custkey, ',' ORDER BY rank) AS cells "
+       "FROM orders JOIN r USING (o_orderkey) GROUP BY 1")
+def pivot_arrays(t):
+    """As many headers as orders."""
+    out = wide.pivot_arrays(t.orders, "o_orderpriority", "o_orderkey", "o_custkey", "max")
+    return out.select("o_orderpriority", F.array_join(F.transform("cells", lambda c: F.concat_ws("=", c["rank"].cast("string"), c["value"].cast("string"))), ",").alias("cells"))
+
+
+@query(_WIDE + "SELECT o_orderpriority, rank // 50 AS \"group\", string_agg(coalesce(CAST(cell AS VARCHAR), '-'), ',' ORDER BY pos) AS cells FROM "
+       "(SELECT p.o_orderpriority, p.g * 50 + pos AS rank, pos, round(cell) :: BIGINT AS cell FROM (SELECT DISTINCT o_orderpriority, rank // 50 AS g FROM c) p, range(0, 50) q(pos) "
+       "LEFT JOIN c ON c.o_orderpriority = p.o_orderpriority AND c.rank = p.g * 50 + pos) GROUP BY 1, 2")
+def pivot_groups(t):
+    out = wide.pivot_groups(t.orders, "o_orderpriority", "o_custkey", "o_totalprice", "sum", width=50)
+    cell = lambda v: F.coalesce(F.round(F.round(v, 4)).cast("bigint").cast("string"), F.lit("-"))
+    return out.select("o_orderpriority", "group", F.array_join(F.transform("cells", cell), ",").alias("cells"))
+
+
 @query("SELECT o_orderpriority, o_orderstatus, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_orderkey) AS position, "
        "o_custkey AS value FROM orders")
 def pivot_list_rows(t):
@@ -120,6 +146,52 @@ def sample_representative(t):
     return _drawn(t, smp.representative_sample(t.orders, "o_totalprice", key="o_orderkey"))
 
 
-@query()
+# The 64-bit hash that draws rows, as published (XXH64 of one 8-byte or 4-byte value), in whole numbers modulo 2^64.
+_P = [0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5]
+
+
+def _hash_sql(names, source, keep):
+    """SELECT of `keep` and the hash `h` over values given as (sql, bytes), one after the other, from 42."""
+    wrap = lambda x: f"({x} % {2**64}::UHUGEINT)::UBIGINT"
+    mul, add = (lambda a, b: wrap(f"{a}::UHUGEINT * {b}::UHUGEINT")), (lambda a, b: wrap(f"({a}::UHUGEINT + {b}::UHUGEINT)"))
+    rot = lambda a, r: f"({a}::UHUGEINT * {2**r}::UHUGEINT % {2**64}::UHUGEINT + {a}::UHUGEINT // {2**(64 - r)}::UHUGEINT)::UBIGINT"
+    seed, k = "42", 0
+
+    def step(x):
+        nonlocal k, source
+        k += 1
+        source = f"(SELECT *, {x} AS s{k} FROM {source})"
+        return f"s{k}"
+
+    for value, size in names:
+        value = step(f"({value})::UBIGINT")
+        h = step(add(add(seed, _P[4]), size))
+        if size == 8:
+            v = step(mul(step(rot(step(mul(value, _P[1])), 31)), _P[0]))
+            h = step(add(step(mul(step(rot(step(f"xor({h}, {v})"), 27)), _P[0])), _P[3]))
+        else:
+            h = step(add(step(mul(step(rot(step(f"xor({h}, {step(mul(value, _P[0]))})"), 23)), _P[1])), _P[2]))
+        for shift, by in ((33, _P[1]), (29, _P[2]), (32, None)):
+            h = step(f"xor({h}, {h} >> {shift})")
+            h = step(mul(h, by)) if by else h
+        seed = h
+    signed = f"CASE WHEN {seed} >= {2**63} THEN {seed}::HUGEINT - {2**64}::HUGEINT ELSE {seed}::HUGEINT END"
+    return f"(SELECT {keep}, {seed} AS h, {signed} AS draw FROM {source})"
+
+
+@query(f"SELECT o_orderkey, o_custkey, o_totalprice FROM {_hash_sql([('o_orderkey', 8), ('42', 4)], 'orders', '*')} QUALIFY row_number() OVER (ORDER BY draw, o_orderkey) <= 10000")
 def sample_rows(t):
-    return smp.sample_rows(t.orders, 10_000, key="o_orderkey")
+    return smp.sample_rows(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), 10_000, key="o_orderkey")
+
+
+_CONTENT = [("l_linenumber", 4), ("l_suppkey", 8)]
+_COUNTED = "(SELECT l_linenumber, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL)"
+
+
+@query(f"WITH a AS (SELECT l_linenumber, l_suppkey, n, h AS a FROM {_hash_sql([*_CONTENT, ('1', 4)], _COUNTED, '*')}), "
+       f"b AS (SELECT l_linenumber, l_suppkey, n, a, h AS b FROM {_hash_sql([*_CONTENT, ('2', 4)], 'a', '*')}), "
+       "c AS (SELECT l_linenumber, l_suppkey, a, b, unnest(range(0, n)) AS i FROM b) "
+       f"SELECT l_linenumber, l_suppkey FROM {_hash_sql([('a', 8), ('b', 8), ('i', 8), ('7', 4)], 'c', 'l_linenumber, l_suppkey, i')} QUALIFY row_number() OVER (ORDER BY draw, i) <= 5000")
+def sample_by_content(t):
+    """Rows without a key, most of them repeated."""
+    return smp.sample_rows(t.lineitem.select("l_linenumber", "l_suppkey"), 5000, seed=7)

@@ -216,12 +216,74 @@ def test_sample_is_exact_and_independent_of_layout(spark):
     assert sample_rows(df, 10_000, key="id").count() == 900
 
 
-def test_big_sample_is_cut_by_numbering(spark, monkeypatch):
+def test_sample_of_any_size_takes_one_path(spark, monkeypatch):
     import tablekit.operators.sample as smp
     df = skewed(spark)
-    small = rows(sample_rows(df, 300, key="id"), "id")
-    monkeypatch.setattr(smp, "_LIMIT_ROWS", 10)
-    assert rows(sample_rows(df, 300, key="id"), "id") == small
+    draws = sorted((r["d"], r["id"]) for r in df.select(F.xxhash64("id", F.lit(42)).alias("d"), "id").collect())
+    for room in (100_000, 1):
+        monkeypatch.setattr(smp, "_SORTED_ROWS", room)
+        for n in (1, 300, 899):
+            got = sample_rows(df, n, key="id")
+            assert [r["id"] for r in got.orderBy("id").collect()] == sorted(i for _, i in draws[:n])
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Sort" not in plan
+    assert sample_rows(df, 0, key="id").count() == 0
+
+
+def test_sample_by_content(spark, large, monkeypatch):
+    """Copies are drawn one by one: a row that makes up half the table makes up about half the sample."""
+    import tablekit.operators.sample as smp
+    df = spark.range(0, 2000, 1, 5).select(F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("s"), F.lit(None).cast("int").alias("n"))
+    got = rows(sample_rows(df, 400))
+    assert len(got) == 400 and got == rows(sample_rows(df.repartition(9), 400)) and got != rows(sample_rows(df, 400, seed=3))
+    assert 150 <= sum(r[0] == "hot" for r in got) <= 250 and max(sum(r == x for r in got) for x in got if x[0] != "hot") == 1
+    monkeypatch.setattr(smp, "_SORTED_ROWS", 5)
+    assert rows(sample_rows(df, 400)) == got and sample_rows(df, 5000).count() == 2000
+
+
+def test_pivot_of_any_width(spark):
+    import tablekit.operators.reshape as shapes
+    df = spark.createDataFrame([(1, "c", 5.0), (1, "a", 2.0), (1, "a", 3.0), (2, "d", None), (2, None, 9.0), (None, "b", 1.0), (3, "c", 7.0)], "k int, h string, v double")
+    want = [(1, 0, "a", 5.0), (1, 2, "c", 5.0), (3, 2, "c", 7.0), (None, 1, "b", 1.0)]
+    plain, large = both(spark, lambda: shapes.pivot_long(df, "k", "h", "v", "sum"))
+    assert plain == large == want
+    arrays = {r["k"]: [tuple(c) for c in r["cells"]] for r in shapes.pivot_arrays(df, "k", "h", "v", "sum").collect()}
+    assert arrays == {1: [(0, 5.0), (2, 5.0)], 2: [], 3: [(2, 7.0)], None: [(1, 1.0)]}
+    groups = {(r["k"], r["group"]): r["cells"] for r in shapes.pivot_groups(df, "k", "h", "v", "sum", width=2).collect()}
+    assert groups == {(1, 0): [5.0, None], (1, 1): [5.0, None], (3, 1): [7.0, None], (None, 0): [None, 1.0]}
+    many = spark.range(0, 60_000, 1, 4).select((F.col("id") % 3).alias("k"), (F.col("id") % 50_000).alias("h"), F.lit(1).alias("v"))
+    with pytest.raises(ValueError, match="pivot_long"):
+        pivot_table(many, "k", "h", "v", "sum")
+    packed = shapes.pivot_arrays(many, "k", "h", "v", "count").collect()
+    assert sum(len(r["cells"]) for r in packed) == many.select("k", "h").distinct().count() and max(c["rank"] for r in packed for c in r["cells"]) == 49_999
+
+
+def test_density_curves_are_sums_over_all_values(spark):
+    import math
+    import random
+    rng = random.Random(4)
+    values = {"a": [rng.gauss(0, 1) for _ in range(400)] + [250.0], "b": [rng.choice([1.0, 2.0, 5.0]) for _ in range(300)], "one": [3.0], "same": [4.0] * 5}
+    df = spark.createDataFrame([(k, v) for k, some in values.items() for v in some], "k string, v double")
+    got = {(r["k"], r["point"]): (r["x"], r["density"]) for r in charts.kde_curve(df, "v", ["k"], 200).collect()}
+    assert len(got) == 800
+    for k in ("a", "b"):
+        own = values[k]
+        n, mean = len(own), sum(own) / len(own)
+        band = math.sqrt(sum((v - mean) ** 2 for v in own) / (n - 1)) * n ** -0.2
+        for p in range(200):
+            x, density = got[k, p]
+            want = sum(math.exp(-((x - v) / band) ** 2 / 2) for v in own) / (n * band * math.sqrt(2 * math.pi))
+            assert abs(density - want) < 1e-12 / band
+    assert all(got[k, p][1] is None for k in ("one", "same") for p in range(200))
+
+
+def test_histogram_of_many_bins(spark):
+    df = skewed(spark)
+    out = charts.histogram_table(df, "id", 100_000, color="s")
+    assert out.count() == 100_000 * df.select("s").distinct().count()
+    sums = out.groupBy("s").agg(F.sum("value").alias("n"))
+    assert rows(sums) == rows(df.groupBy("s").agg(F.count("*").cast("double").alias("n")))
+    assert charts.histogram_table(df.where("id < 0"), "id", 5).count() == 0
 
 
 def test_joined_tables_agree(spark):
