@@ -162,6 +162,42 @@ def test_quality_fits_weigh_vectors_by_texts(spark):
     assert all(abs(fit[f"m{i}"]) < 1e-9 for i in range(Q._P))
 
 
+def test_determinant_search_matches_a_plain_one(spark):
+    """Concentration steps over plain numpy rows from many random starts find no smaller determinant, and the same outliers."""
+    from pyspark.sql import functions as F
+    from tablekit.llm import quality as Q
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(240, Q._P)) @ np.diag([2, 1, 3, 2, 2.0]), rng.normal(size=(30, Q._P)) + 25])
+    ridge, keep = np.diag([s[2] ** 2 for s in Q.STATISTICS]), int(np.ceil(0.75 * len(x)))
+
+    def near(mean, cov):
+        return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+    best = None
+    for _ in range(40):
+        some = rng.choice(len(x), 12, replace=False)
+        for _ in range(12):
+            mean, cov = x[some].mean(0), np.cov(x[some].T, bias=True) + ridge
+            some = np.argsort(near(mean, cov))[:keep]
+        found = np.linalg.slogdet(np.cov(x[some].T, bias=True) + ridge)[1], some
+        best = found if best is None or found[0] < best[0] else best
+    frame = spark.createDataFrame([("g", i, *map(float, r)) for i, r in enumerate(x)], "g string, text_hash long, " + ", ".join(f"{c} double" for c in Q._X))
+    d = np.array([r.d for r in frame.join(Q.robust_fits(frame), "g").select("text_hash", (Q._distance() / F.col("scale")).alias("d")).orderBy("text_hash").collect()])
+    assert set(np.argsort(-d)[:30]) == set(range(240, 270)) == set(range(len(x))) - set(np.argsort(near(x[best[1]].mean(0), np.cov(x[best[1]].T, bias=True) + ridge))[:240])
+    assert (d[240:] > 60).all() and np.median(d) == pytest.approx(4.35, rel=0.1)
+
+
+def test_quality_verdicts_do_not_jump_with_size(spark):
+    """A source below and above any size is judged alike: clean documents stay, junk goes once its language is known."""
+    rng = random.Random(8)
+    clean = [(i, _prose(i, rng.randrange(60, 900)), "en", f"s{i % 3}" if i % 50 else "rare", 0, None, "") for i in range(500)]
+    junk = [(2000 + i, " ".join(w + "###" for w in _prose(5000 + i, 150).split()), "en", ["rare", "s1"][i % 2], 0, None, "") for i in range(6)]
+    for n in (60, 300):
+        got = {r.doc_id: r.kept for r in quality_report(spark.createDataFrame(clean[:n] + junk, _SCHEMA)).collect()}
+        assert sum(got[i] for i in range(n)) >= 0.99 * n, n
+        assert n < 100 or not any(got[r[0]] for r in junk), n
+
+
 def test_mahalanobis_matches_numpy(spark):
     from pyspark.sql import functions as F
     from tablekit.llm import quality as Q
