@@ -139,9 +139,9 @@ def first_rows(df: DataFrame, n: int) -> DataFrame:
 
 
 def _keeps_order(df: DataFrame) -> bool:
-    """Whether the order of the rows is one that the plan gives: a global sort, a range, or rows that are at hand."""
+    """Whether the rows lie in an order that the plan gives: a global sort, a range, rows at hand, or one of these dealt out anew on demand."""
     node = df._jdf.queryExecution().optimizedPlan()
-    while node.nodeName() in ("Project", "Filter"):
+    while node.nodeName() in ("Project", "Filter", "Repartition", "RepartitionByExpression"):
         node = node.children().head()
     return node.nodeName() in ("Range", "LocalRelation", "LogicalRDD") or node.nodeName() == "Sort" and bool(getattr(node, "global")())
 
