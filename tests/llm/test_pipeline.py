@@ -22,6 +22,9 @@ _CONTRACT = {
     5: "doc_id:bigint held_out:boolean lang_pred:string score:double",
     9: "doc_id:bigint start:bigint n_tokens:bigint ids_crc32:bigint",
     10: "doc_id:bigint n_assign:bigint n_access:bigint n_hex:bigint base_sha256:string spans:string",
+    11: "lang:string source:string part:string item:string value:bigint rank:int",
+    12: "doc_id:bigint n_words:bigint n_base:bigint first_word:bigint last_word:bigint base_labels:string labels:string score:double",
+    13: "doc_id:bigint n:bigint form:string prefix_chars:bigint middle_chars:bigint output_sha256:string restored_sha256:string",
 }
 
 
@@ -77,7 +80,8 @@ def test_queries_return_their_columns(spark, folder, name):
     out = QUERIES[name](spark, path)
     agreed = _CONTRACT.get(int(re.match(r"op(\d+)_", name)[1]), "doc_id:bigint").split()
     assert [f"{c}:{t}" for c, t in out.dtypes][:len(agreed)] == agreed
-    assert out.count() == len(rows)
+    if name != "op11_source_divergence":  # its rows are pairs and terms; it has tests of its own
+        assert out.count() == len(rows)
 
 
 def test_oracles_agree_on_the_small_folder(spark, folder):
@@ -87,5 +91,7 @@ def test_oracles_agree_on_the_small_folder(spark, folder):
     for table in ("documents", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT DISTINCT * FROM '{path}/{table}.parquet/*.parquet'")
     for name, sql in ORACLES.items():
+        if name == "op11_source_divergence":  # counts repeated rows, which the views drop
+            continue
         mine, theirs = QUERIES[name](spark, path), con.sql(sql)
         assert sorted({tuple(r) for r in mine.select(*theirs.columns).collect()}) == sorted(theirs.fetchall()), name
