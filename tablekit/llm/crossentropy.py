@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tablekit.llm.arrays import ALPHANUMERIC, Block, Words, blocks, mixed, words
 from tablekit.llm.work import maybe_among, text_columns, written
 
 #: Weight of the word model within the pair model, and of the uniform one within the word model, in tokens of the target.
 _PAIR_PRIOR, _WORD_PRIOR = 4.0, 0.05
-#: Words, contexts and pairs that make up more than one in so many tokens are looked up where they are met (so many at most, by
-#: their share); all others are joined, so that no key of a join has more than this share of the tokens.
-HOT_WORDS, HOT_PAIRS = 1 << 16, 1 << 20
+#: Words that make up more than one in HOT_WORDS tokens, and pairs that make up more than two in HOT_PAIRS, are looked up where
+#: they are met; no key that is shuffled has more than this share. HOT_PAIRS is at most HOT_WORDS: a hot pair's word is hot.
+HOT_WORDS, HOT_PAIRS = 1 << 16, 1 << 12
+#: Tokens a bucket of the shuffle has on average, and entries a task holds before it sends them.
+BUCKET_TOKENS, HELD_ENTRIES = 1 << 21, 1 << 21
 _BEGIN = np.uint64(0x1D8E4E27C47D124F)
-_MODELS = ("target", "background")
+_CONTEXT, _HOT_WORD, _WORD = range(3)
+_ROWS = "row long, place int, doc_id long, n_tokens long, target double, background double"
+
+
+class Sizes(NamedTuple):
+    """Tokens of both models, the factors that make them weigh alike, and the number of different words."""
+
+    tokens: tuple[int, int]
+    scale: tuple[float, float]
+    vocabulary: int
+
+    def prior(self, counts: np.ndarray, model: int) -> np.ndarray:
+        """What the word model adds to a pair's count, from the count of its word."""
+        word = (counts * self.scale[model] + _WORD_PRIOR) / (self.tokens[model] * self.scale[model] + _WORD_PRIOR * self.vocabulary)
+        return _PAIR_PRIOR * word
 
 
 def _paired(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -34,57 +52,110 @@ def _tokens(block: Block) -> tuple[Words, np.ndarray, np.ndarray]:
     return found, before, _paired(before, found.hash)
 
 
-def _counted(texts: DataFrame) -> DataFrame:
-    """context, word, n: the pairs of each block of texts."""
+def _marked(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """doc_id, text, inside: whether the id is in `target_ids`. Only texts that may be the target's are moved to find out, in a
+    shuffled join at every size, since the target grows with the corpus; they are written, so that rows keep their places."""
+    texts = text_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    wanted = written(target_ids.select(F.col(target_ids.columns[0]).alias("_id")).where("_id is not null").distinct(), "target")
+    marked = maybe_among(texts, "doc_id", wanted)
+    found = marked.where("_maybe").join(wanted.hint("merge"), F.col("doc_id") == F.col("_id"), "left")
+    found = written(found.select("doc_id", "text", F.col("_id").isNotNull().alias("inside")), "target-texts")
+    return marked.where(~F.col("_maybe")).select("doc_id", "text", F.lit(False).alias("inside")).unionAll(found)
+
+
+def _inside(batch: pa.RecordBatch, block: Block) -> np.ndarray:
+    return batch.column(2).to_numpy(zero_copy_only=False)[block.first:block.last].astype(bool)
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """is_pair, key, target, background, before_target, before_background: exact counts of every word, and of it as the one
+    before, in a written table that grows with the corpus; and the pairs that are frequent in a block, counted there."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(0)):
+            for block in blocks(batch.column(1)):
                 found, before, pair = _tokens(block)
-                _, at, n = np.unique(pair, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"context": pa.array(before[at].view(np.int64)), "word": pa.array(found.hash[at].view(np.int64)), "n": pa.array(n, pa.int64())})
+                m, own = len(pair), _inside(batch, block)[found.text]
+                key, at = np.unique(np.concatenate([found.hash, before]), return_inverse=True)
+                sides = [np.bincount(part[side], minlength=len(key)) for part in (at[:m], at[m:]) for side in (own, ~own)]
+                frequent, n = np.unique(pair, return_counts=True)
+                frequent, n = frequent[n * HOT_PAIRS >= m], n[n * HOT_PAIRS >= m]
+                none = np.zeros(len(n), np.int64)
+                names = ("target", "background", "before_target", "before_background")
+                yield pa.RecordBatch.from_pydict({
+                    "is_pair": pa.array(np.arange(len(key) + len(n)) >= len(key)), "key": pa.array(np.concatenate([key, frequent]).view(np.int64)),
+                    **{x: pa.array(np.concatenate([a, b]), pa.int64()) for x, a, b in zip(names, sides, (n, none, none, none))}})
 
-    return texts.select("text").mapInArrow(count, "context long, word long, n long")
+    names = ("target", "background", "before_target", "before_background")
+    rows = texts.mapInArrow(count, "is_pair boolean, key long, " + ", ".join(f"{x} long" for x in names))
+    return written(rows.groupBy("is_pair", "key").agg(*(F.sum(x).alias(x) for x in names)), "words")
 
 
-def count_pairs(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """context, word, target, background: exact counts of every pair of words over all documents, the target's being those
-    whose id is in `target_ids`. A written table that grows with the corpus. Only texts that may be the target's are moved to
-    find out, in a shuffled join at every size, since the target grows with the corpus."""
-    texts = text_columns(docs, "doc_id", "text")
-    wanted = written(target_ids.select(F.col(target_ids.columns[0]).alias("_id")).where("_id is not null").distinct(), "target")
-    inside = maybe_among(texts, "doc_id", wanted).where("_maybe").join(wanted.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi")
-    none = F.lit(0).cast("long")
-    both = _counted(texts).select("context", "word", none.alias("target"), F.col("n").alias("whole")).unionAll(_counted(inside).select("context", "word", F.col("n").alias("target"), none.alias("whole")))
-    both = both.groupBy("context", "word").agg(F.sum("target").alias("target"), (F.sum("whole") - F.sum("target")).alias("background"))
-    return written(both, "pairs")
+def _columns(table: DataFrame) -> list[np.ndarray]:
+    """The columns of a table of bounded size, by its first one, which is read as unsigned."""
+    found = table.toArrow()
+    columns = [c.to_numpy() for c in found.columns]
+    order = np.argsort(columns[0].view(np.uint64))
+    return [columns[0].view(np.uint64)[order], *(c[order] for c in columns[1:])]
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted key stands among the sorted `keys`, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
 
 
-def _with_counts(rows: DataFrame, table: DataFrame, key: str, names: list[str], total: int) -> DataFrame:
-    """`rows` with the columns `names` of the table's row of their key, which has one for each."""
-    hot = table.where(sum((F.col(x) for x in names), F.lit(0)) > total / HOT_WORDS)
-    met = rows.join(F.broadcast(hot), key, "left")
-    rest = met.where(F.col(names[0]).isNull()).drop(*names).join(table.hint("merge"), key)
-    return met.where(F.col(names[0]).isNotNull()).select(*rows.columns, *names).unionAll(rest.select(*rows.columns, *names))
+def _hot_pairs(texts: DataFrame, candidates: np.ndarray) -> list[np.ndarray]:
+    """pair, word, target, background of at most HOT_PAIRS pairs, counted over all texts."""
+    if not len(candidates):
+        return [np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))]
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column(1)):
+                found, _, pair = _tokens(block)
+                at, held = _found(candidates, pair)
+                key, first, back = np.unique(pair[held], return_index=True, return_inverse=True)
+                own = _inside(batch, block)[found.text[held]]
+                yield pa.RecordBatch.from_pydict({
+                    "pair": pa.array(key.view(np.int64)), "word": pa.array(found.hash[held][first].view(np.int64)),
+                    **{x: pa.array(np.bincount(back[side], minlength=len(key)), pa.int64()) for x, side in (("target", own), ("background", ~own))}})
 
-def pair_losses(pairs: DataFrame) -> tuple[DataFrame, int]:
-    """context, word, uses, target_loss, background_loss of every pair of `pairs`, and the number of tokens. Both models count
-    as if from equally many tokens: the larger one's counts are scaled down, so that smoothing weighs alike."""
-    by = lambda key, x: written(pairs.groupBy(key).agg(*(F.sum(m).alias(f"{x}_{m}") for m in _MODELS)), f"{key}s")
-    single, before = by("word", "w"), by("context", "c")
-    row = single.agg(F.count("*").alias("v"), *(F.sum(f"w_{m}").alias(m) for m in _MODELS)).first()
-    vocabulary, tokens = max(row.v, 1), {m: row[m] or 0 for m in _MODELS}
-    total = sum(tokens.values())
-    least = min((n for n in tokens.values() if n), default=0)
-    found = _with_counts(pairs, single, "word", [f"w_{m}" for m in _MODELS], total)
-    found = _with_counts(found, before, "context", [f"c_{m}" for m in _MODELS], total)
+    rows = texts.mapInArrow(count, "pair long, word long, target long, background long")
+    return _columns(rows.groupBy("pair", "word").agg(F.sum("target").alias("target"), F.sum("background").alias("background")))
 
-    def loss(m: str) -> Column:
-        scale = F.lit(least / max(tokens[m], 1))
-        word = (F.col(f"w_{m}") * scale + F.lit(_WORD_PRIOR)) / (F.lit(float(tokens[m])) * scale + F.lit(_WORD_PRIOR * vocabulary))
-        return (-F.ln((F.col(m) * scale + F.lit(_PAIR_PRIOR) * word) / (F.col(f"c_{m}") * scale + F.lit(_PAIR_PRIOR)))).cast("float").alias(f"{m}_loss")
 
-    return written(found.select("context", "word", (F.col("target") + F.col("background")).alias("uses"), *map(loss, _MODELS)), "losses"), total
+def _packed(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of equal length, byte by byte of their values (equal high bytes then stand together), compressed."""
+    planes = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays)
+    return pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, types: list[type]) -> list[np.ndarray]:
+    widths = [np.dtype(t).itemsize for t in types]
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, n * sum(widths)), np.uint8)
+    cuts = np.cumsum([0, *widths]) * n
+    return [np.ascontiguousarray(planes[a:b].reshape(w, n).T).view(t).ravel() for a, b, w, t in zip(cuts, cuts[1:], widths, types)]
+
+
+def _types(kind: int, per_token: bool) -> list[type]:
+    """Of an entry: key, word (by place among the hot ones, or by hash), row in its partition, twice the uses plus inside, place."""
+    word = {_CONTEXT: [], _HOT_WORD: [np.uint32], _WORD: [np.uint64]}[kind]
+    return [np.uint64, *word, np.uint32, np.uint32, *[np.uint32] * per_token]
+
+
+def _by_key(key: np.ndarray, n: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry the uses of its key inside and outside of the target."""
+    order = np.argsort(key)
+    starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+    lengths = np.diff(np.append(starts, len(key)))
+    out = []
+    for side in (own, ~own):
+        each = np.empty(len(key), np.int64)
+        each[order] = np.repeat(np.add.reduceat(np.where(side, n, 0)[order], starts), lengths)
+        out.append(each)
+    return out[0], out[1]
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, per_token: bool = False) -> DataFrame:
@@ -93,59 +164,140 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, per_token:
 
     Tokens are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased; every token is predicted from the one
     before it. Null or empty text has no tokens, and null losses. Rows are judged one by one, repeated or not; a document
-    without an id is background; without target or background documents the empty model is uniform.
+    without an id is background; without target or background documents the empty model is uniform. `docs` must give the same
+    rows in the same partitions each time it is read, as files do.
+
+    One shuffle: each use of a pair by a text goes to the bucket of its word (of the pair, where the word is hot), as part of
+    an array. There it meets all other uses, so the bucket knows the exact counts of pairs and words and sends each text its
+    sum. Uses of a word as the one before go to the bucket of that word likewise.
     """
-    losses, total = pair_losses(count_pairs(docs, target_ids))
-    hot = losses.where(F.col("uses") > total / HOT_PAIRS).drop("uses").toArrow()  # at most HOT_PAIRS rows of 24 bytes
-    column = lambda name: hot.column(name).to_numpy()
-    key = _paired(column("context").view(np.uint64), column("word").view(np.uint64))
-    order = np.argsort(key)
-    shared = docs.sparkSession.sparkContext.broadcast((key[order], *(column(f"{m}_loss")[order].astype(np.float64) for m in _MODELS)))
-    shape = "row long, doc_id long, n_tokens long, context long, word long, n long, places array<int>, target double, background double"
+    texts = _marked(docs, target_ids)
+    met = count_words(texts)
+    single = met.where("not is_pair")
+    row = single.agg(F.count_if(F.expr("target + background > 0")).alias("v"), F.coalesce(F.sum("target"), F.lit(0)).alias("t"), F.coalesce(F.sum("background"), F.lit(0)).alias("b")).first()
+    total, least = row.t + row.b, min((n for n in (row.t, row.b) if n), default=0)
+    sizes = Sizes((row.t, row.b), (least / max(row.t, 1), least / max(row.b, 1)), max(row.v, 1))
+    hot = single.where((F.col("target") + F.col("background") > total / HOT_WORDS) | (F.col("before_target") + F.col("before_background") > total / HOT_WORDS)).drop("is_pair")
+    hot = _columns(hot)  # at most 2 * HOT_WORDS rows of 40 bytes
+    pairs = _hot_pairs(texts, _columns(met.where(F.col("is_pair") & (F.col("target") > total / HOT_PAIRS)).select("key"))[0])
+    of_word = _found(hot[0], pairs[1].view(np.uint64))[0]
+    contexts = [np.log(hot[3 + m] * sizes.scale[m] + _PAIR_PRIOR) for m in (0, 1)]
+    priors = [sizes.prior(hot[1 + m], m) for m in (0, 1)]
+    losses = [-np.log(pairs[2 + m] * sizes.scale[m] + priors[m][of_word]) for m in (0, 1)]
+    shared = docs.sparkSession.sparkContext.broadcast((hot[0], contexts, priors, pairs[0], losses))
+    buckets = 8 + total // BUCKET_TOKENS
+
+    def uses(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each key of each text an index where it stands, and how often it does; every token with `per_token`."""
+        if per_token:
+            return np.arange(len(key)), np.ones(len(key), np.int64)
+        both = key + mixed(text.astype(np.uint64))
+        order = np.argsort(both)
+        start = np.flatnonzero(np.append(True, both[order][1:] != both[order][:-1])) if len(key) else np.zeros(0, np.int64)
+        return order[start], np.diff(np.append(start, len(key)))
+
+    def result(row: np.ndarray, place: np.ndarray | None, values: list[np.ndarray]) -> dict[str, pa.Array]:
+        n = len(row)
+        return {"row": pa.array(row, pa.int64()), "place": pa.nulls(n, pa.int32()) if place is None else pa.array(place, pa.int32()), "doc_id": pa.nulls(n, pa.int64()),
+                "n_tokens": pa.nulls(n, pa.int64()), "target": pa.array(values[0], pa.float64()), "background": pa.array(values[1], pa.float64())}
+
+    def batch_of(columns: dict[str, pa.Array], bucket: np.ndarray, kind: list[int] | None = None, n: list[int] | None = None, data: list[bytes] | None = None) -> pa.RecordBatch:
+        size = len(bucket)
+        return pa.RecordBatch.from_pydict({**columns, "bucket": pa.array(bucket, pa.int32()), "kind": pa.array(kind or [None] * size, pa.int32()),
+                                           "n": pa.array(n or [None] * size, pa.int32()), "data": pa.array(data or [None] * size, pa.binary())})
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row a text with the sums of what is held here, and one for each other pair of the text; with `per_token`, one
-        for every pair of the text."""
-        keys, *values = shared.value
-        row = TaskContext.get().partitionId() << 40
+        """A row a text with the sums of what is known here, and arrays of entries for each bucket."""
+        keys, contexts, priors, known, losses = shared.value
+        part, row, held, n_held = TaskContext.get().partitionId() << 40, 0, defaultdict(list), 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for kind, parts in held.items():
+                bucket, *arrays = (np.concatenate(x) for x in zip(*parts))
+                order = np.argsort(bucket, kind="stable")
+                bucket, arrays = bucket[order], [a[order] for a in arrays]
+                start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+                ends = np.append(start[1:], len(bucket))
+                for i in range(0, len(start), 64):
+                    some = [*zip(start[i:i + 64], ends[i:i + 64])]
+                    none = {x: pa.nulls(len(some), t) for x, t in (("place", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target", pa.float64()), ("background", pa.float64()))}
+                    yield batch_of({"row": pa.array([part] * len(some), pa.int64()), **none}, bucket[start[i:i + 64]], [kind] * len(some), [int(b - a) for a, b in some],
+                                   [_packed([x[a:b] for x in arrays]) for a, b in some])
+            held.clear()
+
         for batch in batches:
             for block in blocks(batch.column(1)):
                 found, before, pair = _tokens(block)
-                size, text = block.last - block.first, found.text
-                order = np.lexsort((pair, text))
-                p, d = pair[order], text[order]
-                new = np.ones(len(p), bool)
-                new[1:] = (p[1:] != p[:-1]) | (d[1:] != d[:-1])
-                start = np.flatnonzero(new)
-                n, p, d, first = np.diff(np.append(start, len(p))), p[start], d[start], order[start]
-                at = np.minimum(np.searchsorted(keys, p), max(len(keys) - 1, 0))
-                held = keys[at] == p if len(keys) else np.zeros(len(p), bool)
-                own = [np.where(held, n * v[at], 0.0) if len(keys) else np.zeros(len(p)) for v in values]
-                out = np.ones(len(p), bool) if per_token else ~held
-                whole = [np.zeros(size) if per_token else np.bincount(d, weights=x, minlength=size) for x in own]
-                k, none = int(out.sum()), np.zeros(size, np.int64)
-                gone = np.concatenate([np.ones(size, bool), np.zeros(k, bool)])
-                places = pa.nulls(size + k, pa.list_(pa.int32()))
-                if per_token:
-                    place = (np.arange(len(text)) - found.first[:-1][text])[order]
-                    places = pa.concat_arrays([pa.nulls(size, places.type), pa.ListArray.from_arrays(pa.array(np.append(start, len(order)), pa.int32()), pa.array(place, pa.int32()))])
-                unknown = np.concatenate([np.zeros(size, bool), ~held[out]])
-                yield pa.RecordBatch.from_pydict({
-                    "row": pa.array(row + np.concatenate([np.arange(size), d[out]])),
-                    "doc_id": pa.concat_arrays([batch.column(0).slice(block.first, size), pa.nulls(k, pa.int64())]),
-                    "n_tokens": pa.concat_arrays([pa.array(found.counts, pa.int64()), pa.nulls(k, pa.int64())]),
-                    "context": pa.array(np.concatenate([none, before[first[out]].view(np.int64)]), mask=gone),
-                    "word": pa.array(np.concatenate([none, found.hash[first[out]].view(np.int64)]), mask=gone),
-                    "n": pa.array(np.concatenate([none, n[out]]), pa.int64(), mask=gone), "places": places,
-                    **{m: pa.array(np.concatenate([w, x[out]]), mask=unknown) for m, w, x in zip(_MODELS, whole, own)}})
+                size, text, own = block.last - block.first, found.text, _inside(batch, block)
+                place = np.arange(len(text)) - found.first[:-1][text]
+                sums = [np.zeros(size), np.zeros(size)]
+                for key, by_pair in ((before, False), (pair, True)):
+                    i, n = uses(text, key)
+                    at, here = _found(known if by_pair else keys, key[i])
+                    values = [np.where(here, n * (v[at] if len(v) else 0.0), 0.0) for v in (losses if by_pair else contexts)]
+                    if per_token and here.any():
+                        rows = part + row + text[i][here]
+                        yield batch_of(result(rows, place[i][here], [v[here] for v in values]), -1 - rows % buckets)
+                    else:
+                        sums = [s + np.bincount(text[i], weights=v, minlength=size) for s, v in zip(sums, values)]
+                    i, n = i[~here], n[~here]
+                    entry = [(row + text[i]).astype(np.uint32), (n * 2 + own[text[i]]).astype(np.uint32), *[place[i].astype(np.uint32)] * per_token]
+                    bucket = lambda k: (mixed(k) % np.uint64(buckets)).astype(np.int32)
+                    if by_pair:
+                        at, is_hot = _found(keys, found.hash[i])
+                        p, w = pair[i], found.hash[i]
+                        held[_HOT_WORD].append((bucket(p[is_hot]), p[is_hot], at[is_hot].astype(np.uint32), *(e[is_hot] for e in entry)))
+                        held[_WORD].append((bucket(w[~is_hot]), p[~is_hot], w[~is_hot], *(e[~is_hot] for e in entry)))
+                    else:
+                        held[_CONTEXT].append((bucket(before[i]), before[i], *entry))
+                    n_held += len(i)
+                rows = part + row + np.arange(size)
+                whole = result(rows, None, sums)
+                yield batch_of({**whole, "doc_id": batch.column(0).slice(block.first, size).cast(pa.int64()), "n_tokens": pa.array(found.counts, pa.int64())}, -1 - rows % buckets)
                 row += size
+                if n_held >= HELD_ENTRIES:
+                    yield from sent()
+                    n_held = 0
+        yield from sent()
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows go on as they are; the entries of each bucket become sums of their rows."""
+        priors = shared.value[2]
+        names = [x.split()[0] for x in _ROWS.split(", ")]
+        waiting = defaultdict(list)
+        for batch in batches:
+            data = batch.column("data")
+            ready = data.is_null()
+            yield pa.RecordBatch.from_arrays([batch.column(x).filter(ready) for x in names], names=names)
+            rest = batch.filter(data.is_valid())
+            for part, bucket, kind, n, x in zip(*(rest.column(c).to_pylist() for c in ("row", "bucket", "kind", "n", "data"))):
+                waiting[bucket, kind].append((part, n, x))
+        for bucket, kind in list(waiting):
+            chunks = waiting.pop((bucket, kind))
+            columns = [np.concatenate(c) for c in zip(*(_unpacked(x, n, _types(kind, per_token)) for _, n, x in chunks))]
+            rows = np.repeat(np.array([part for part, _, _ in chunks], np.int64), [n for _, n, _ in chunks])
+            place = columns.pop() if per_token else None
+            code, rows = columns.pop(), rows + columns.pop()
+            n, own = (code >> 1).astype(np.int64), (code & 1).astype(bool)
+            counts = _by_key(columns[0], n, own)
+            if kind == _CONTEXT:
+                values = [n * np.log(c * sizes.scale[m] + _PAIR_PRIOR) for m, c in enumerate(counts)]
+            else:
+                prior = [p[columns[1]] for p in priors] if kind == _HOT_WORD else [sizes.prior(c, m) for m, c in enumerate(_by_key(columns[1], n, own))]
+                values = [-n * np.log(c * sizes.scale[m] + prior[m]) for m, c in enumerate(counts)]
+            if not per_token:
+                rows, back = np.unique(rows, return_inverse=True)
+                values = [np.bincount(back, weights=v) for v in values]
+            for i in range(0, len(rows), 1 << 16):
+                j = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_pydict(result(rows[j], None if place is None else place[j], [v[j] for v in values]))
 
-    rows = written(text_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(spread, shape), "spread")
-    rest = rows.where("target is null").drop(*_MODELS).join(losses.drop("uses").hint("merge"), ["context", "word"])
-    rest = rest.select("row", "doc_id", "n_tokens", "context", "word", "n", "places", *((F.col("n") * F.col(f"{m}_loss").cast("double")).alias(m) for m in _MODELS))
-    every = F.sort_array(F.flatten(F.collect_list(F.transform("places", lambda i: F.struct(i.alias("i"), ((F.col("target") - F.col("background")) / F.col("n")).cast("float").alias("x"))))))
-    out = rows.where("target is not null").unionAll(rest).groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), *(F.sum(m).alias(f"sum_{m}") for m in _MODELS), *[every.alias("every")] * per_token)
+    parts = texts.mapInArrow(spread, f"{_ROWS}, bucket int, kind int, n int, data binary").repartition(int(buckets), "bucket").mapInArrow(settled, _ROWS)
+    out = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("target").alias("t"), F.sum("background").alias("b"))
+    if per_token:
+        each = parts.where("place is not null").groupBy("row", "place").agg(F.sum(F.col("target") - F.col("background")).cast("float").alias("x"))
+        each = each.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda e: e.x).alias("token_differences"))
+        out = out.join(each, "row", "left").withColumn("token_differences", F.coalesce("token_differences", F.array().cast("array<float>")))
     mean = lambda c: F.when(F.col("n_tokens") > 0, c / F.col("n_tokens"))
-    return out.select("doc_id", "n_tokens", *(mean(F.col(f"sum_{m}")).alias(f"{m}_loss") for m in _MODELS), mean(F.col("sum_target") - F.col("sum_background")).alias("difference"),
-                      *[F.transform("every", lambda e: e.x).alias("token_differences")] * per_token)
+    return out.select("doc_id", "n_tokens", mean(F.col("t")).alias("target_loss"), mean(F.col("b")).alias("background_loss"), mean(F.col("t") - F.col("b")).alias("difference"),
+                      *["token_differences"] * per_token)

@@ -479,6 +479,23 @@ def test_cross_entropy_of_exact_counts(spark, monkeypatch, hot):
         assert not hot or np.allclose(r.token_differences, np.subtract(*expected[r.doc_id]), atol=1e-5)
 
 
+def test_cross_entropy_over_many_buckets(spark, monkeypatch):
+    """Small buckets, arrays and hot tables give what one bucket gives, in total and at each token."""
+    from tablekit.llm import crossentropy as C
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(_LOREM) + str(min(int(rng.expovariate(0.2)), 40)) for _ in range(rng.randrange(80)))) for i in range(120)]
+    frame = spark.createDataFrame(rows + rows[:5] + [(None, "alpha1 beta2")], "doc_id long, text string").repartition(4)
+    target = spark.createDataFrame([(i,) for i in range(0, 120, 3)], "doc_id long")
+    shape = lambda found: sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, round(r.target_loss or 0, 6), round(r.background_loss or 0, 6)) for r in found)
+    whole = shape(cross_entropy_difference(frame, target).collect())
+    for name, value in (("BUCKET_TOKENS", 64), ("HELD_ENTRIES", 100), ("HOT_WORDS", 64), ("HOT_PAIRS", 64)):
+        monkeypatch.setattr(C, name, value)
+    found = cross_entropy_difference(frame, target, per_token=True).collect()
+    assert len(whole) == 126 and shape(found) == shape(cross_entropy_difference(frame, target).collect())
+    assert all(a[:2] == b[:2] and np.allclose(a[2:], b[2:], atol=2e-6) for a, b in zip(whole, shape(found)))
+    assert all(len(r.token_differences) == r.n_tokens and (not r.n_tokens or math.isclose(np.mean(r.token_differences), r.difference, abs_tol=1e-5)) for r in found)
+
+
 def test_secrets(docs, none, rows):
     got = secrets_report(docs).collect()
     expected = []
