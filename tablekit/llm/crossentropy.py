@@ -22,7 +22,6 @@ HOT_WORDS, HOT_PAIRS = 1 << 16, 1 << 12
 #: Tokens a bucket of the shuffle has on average, and entries a task holds before it sends them.
 BUCKET_TOKENS, HELD_ENTRIES = 1 << 21, 1 << 21
 _BEGIN = np.uint64(0x1D8E4E27C47D124F)
-_CONTEXT, _HOT_WORD, _WORD = range(3)
 _ROWS = "row long, place int, doc_id long, n_tokens long, target double, background double"
 
 
@@ -43,6 +42,11 @@ def _paired(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(context * np.uint64(0x9FB21C651E98DF25) + word)
 
 
+def _at(text: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """One value for a key within a text."""
+    return key + mixed(text.astype(np.uint64))
+
+
 def _tokens(block: Block) -> tuple[Words, np.ndarray, np.ndarray]:
     """The words of a block; for each the hash of the word before it (or the text's beginning), and that of both."""
     found = words(block, ALPHANUMERIC, fold=True)
@@ -140,13 +144,15 @@ def _unpacked(data: bytes, n: int, types: list[type]) -> list[np.ndarray]:
 
 
 def _types(kind: int, per_token: bool) -> list[type]:
-    """Of an entry: key, word (by place among the hot ones, or by hash), row in its partition, twice the uses plus inside, place."""
-    word = {_CONTEXT: [], _HOT_WORD: [np.uint32], _WORD: [np.uint64]}[kind]
-    return [np.uint64, *word, np.uint32, np.uint32, *[np.uint32] * per_token]
+    """Of an entry: the word before and the word (hot ones by rank: 1 and 2 in `kind` tell which), row in its partition, four
+    times the uses plus 2 if the text ends with it plus 1 if inside, place."""
+    return [np.uint32 if kind & 1 else np.uint64, np.uint32 if kind & 2 else np.uint64, np.uint32, np.uint32, *[np.uint32] * per_token]
 
 
 def _by_key(key: np.ndarray, n: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each entry the uses of its key inside and outside of the target."""
+    if not len(key):
+        return n, n
     order = np.argsort(key)
     starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
     lengths = np.diff(np.append(starts, len(key)))
@@ -169,7 +175,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, per_token:
 
     One shuffle: each use of a pair by a text goes to the bucket of its word (of the pair, where the word is hot), as part of
     an array. There it meets all other uses, so the bucket knows the exact counts of pairs and words and sends each text its
-    sum. Uses of a word as the one before go to the bucket of that word likewise.
+    sum. A word that is not hot has all its uses in its bucket, so they also tell how often it is the one before.
     """
     texts = _marked(docs, target_ids)
     met = count_words(texts)
@@ -177,21 +183,22 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, per_token:
     row = single.agg(F.count_if(F.expr("target + background > 0")).alias("v"), F.coalesce(F.sum("target"), F.lit(0)).alias("t"), F.coalesce(F.sum("background"), F.lit(0)).alias("b")).first()
     total, least = row.t + row.b, min((n for n in (row.t, row.b) if n), default=0)
     sizes = Sizes((row.t, row.b), (least / max(row.t, 1), least / max(row.b, 1)), max(row.v, 1))
-    hot = single.where((F.col("target") + F.col("background") > total / HOT_WORDS) | (F.col("before_target") + F.col("before_background") > total / HOT_WORDS)).drop("is_pair")
-    hot = _columns(hot)  # at most 2 * HOT_WORDS rows of 40 bytes
+    hot = single.where((F.col("target") + F.col("background") > total / HOT_WORDS) | (F.col("before_target") + F.col("before_background") > total / HOT_WORDS) | (F.col("key") == int(_BEGIN.view(np.int64)))).drop("is_pair")
+    hot = _columns(hot)  # at most 2 * HOT_WORDS + 1 rows of 40 bytes
     pairs = _hot_pairs(texts, _columns(met.where(F.col("is_pair") & (F.col("target") > total / HOT_PAIRS)).select("key"))[0])
     of_word = _found(hot[0], pairs[1].view(np.uint64))[0]
     contexts = [np.log(hot[3 + m] * sizes.scale[m] + _PAIR_PRIOR) for m in (0, 1)]
     priors = [sizes.prior(hot[1 + m], m) for m in (0, 1)]
     losses = [-np.log(pairs[2 + m] * sizes.scale[m] + priors[m][of_word]) for m in (0, 1)]
-    shared = docs.sparkSession.sparkContext.broadcast((hot[0], contexts, priors, pairs[0], losses))
+    by_rank = np.argsort(-(hot[1] + hot[2]), kind="stable")
+    shared = docs.sparkSession.sparkContext.broadcast((hot[0], by_rank, contexts, priors, pairs[0], losses))
     buckets = 8 + total // BUCKET_TOKENS
 
     def uses(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each key of each text an index where it stands, and how often it does; every token with `per_token`."""
         if per_token:
             return np.arange(len(key)), np.ones(len(key), np.int64)
-        both = key + mixed(text.astype(np.uint64))
+        both = _at(text, key)
         order = np.argsort(both)
         start = np.flatnonzero(np.append(True, both[order][1:] != both[order][:-1])) if len(key) else np.zeros(0, np.int64)
         return order[start], np.diff(np.append(start, len(key)))
@@ -208,7 +215,9 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, per_token:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row a text with the sums of what is known here, and arrays of entries for each bucket."""
-        keys, contexts, priors, known, losses = shared.value
+        keys, by_rank, contexts, _, known, losses = shared.value
+        rank = np.empty(len(keys), np.uint32)
+        rank[by_rank] = np.arange(len(keys))
         part, row, held, n_held = TaskContext.get().partitionId() << 40, 0, defaultdict(list), 0
 
         def sent() -> Iterator[pa.RecordBatch]:
@@ -230,27 +239,32 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, per_token:
                 found, before, pair = _tokens(block)
                 size, text, own = block.last - block.first, found.text, _inside(batch, block)
                 place = np.arange(len(text)) - found.first[:-1][text]
+                last = np.zeros(len(text), bool)
+                last[found.first[1:][found.counts > 0] - 1] = True
                 sums = [np.zeros(size), np.zeros(size)]
-                for key, by_pair in ((before, False), (pair, True)):
+                for key, table, losses_of in ((before, keys, contexts), (pair, known, losses)):
                     i, n = uses(text, key)
-                    at, here = _found(known if by_pair else keys, key[i])
-                    values = [np.where(here, n * (v[at] if len(v) else 0.0), 0.0) for v in (losses if by_pair else contexts)]
+                    at, here = _found(table, key[i])
+                    values = [n[here] * v[at[here]] for v in losses_of]
                     if per_token and here.any():
                         rows = part + row + text[i][here]
-                        yield batch_of(result(rows, place[i][here], [v[here] for v in values]), -1 - rows % buckets)
-                    else:
-                        sums = [s + np.bincount(text[i], weights=v, minlength=size) for s, v in zip(sums, values)]
-                    i, n = i[~here], n[~here]
-                    entry = [(row + text[i]).astype(np.uint32), (n * 2 + own[text[i]]).astype(np.uint32), *[place[i].astype(np.uint32)] * per_token]
-                    bucket = lambda k: (mixed(k) % np.uint64(buckets)).astype(np.int32)
-                    if by_pair:
-                        at, is_hot = _found(keys, found.hash[i])
-                        p, w = pair[i], found.hash[i]
-                        held[_HOT_WORD].append((bucket(p[is_hot]), p[is_hot], at[is_hot].astype(np.uint32), *(e[is_hot] for e in entry)))
-                        held[_WORD].append((bucket(w[~is_hot]), p[~is_hot], w[~is_hot], *(e[~is_hot] for e in entry)))
-                    else:
-                        held[_CONTEXT].append((bucket(before[i]), before[i], *entry))
-                    n_held += len(i)
+                        yield batch_of(result(rows, place[i][here], values), -1 - rows % buckets)
+                    elif here.any():
+                        sums = [s + np.bincount(text[i][here], weights=v, minlength=size) for s, v in zip(sums, values)]
+                i, n = i[~here], n[~here]  # of the pairs
+                ends = last[i] if per_token else np.zeros(len(i), bool)
+                if not per_token:
+                    ends[np.flatnonzero(np.isin(_at(text[i], pair[i]), _at(text[last], pair[last])))] = True
+                sides = [_found(keys, x[i]) for x in (before, found.hash)]
+                code = (n * 4 + ends * 2 + own[text[i]]).astype(np.uint32)
+                bucket = (mixed(np.where(sides[1][1], pair[i], found.hash[i])) % np.uint64(buckets)).astype(np.int32)
+                kinds = sides[0][1] + 2 * sides[1][1]
+                for kind in range(4):
+                    j = np.flatnonzero(kinds == kind)
+                    names = [rank[at[j]] if kind >> side & 1 else x[i[j]] for side, (x, (at, _)) in enumerate(zip((before, found.hash), sides))]
+                    if len(j):
+                        held[kind].append((bucket[j], *names, (row + text[i[j]]).astype(np.uint32), code[j], *[place[i[j]].astype(np.uint32)] * per_token))
+                n_held += len(i)
                 rows = part + row + np.arange(size)
                 whole = result(rows, None, sums)
                 yield batch_of({**whole, "doc_id": batch.column(0).slice(block.first, size).cast(pa.int64()), "n_tokens": pa.array(found.counts, pa.int64())}, -1 - rows % buckets)
@@ -262,7 +276,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, per_token:
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows go on as they are; the entries of each bucket become sums of their rows."""
-        priors = shared.value[2]
+        keys, by_rank, _, priors, _, _ = shared.value
         names = [x.split()[0] for x in _ROWS.split(", ")]
         waiting = defaultdict(list)
         for batch in batches:
@@ -270,24 +284,33 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, per_token:
             ready = data.is_null()
             yield pa.RecordBatch.from_arrays([batch.column(x).filter(ready) for x in names], names=names)
             rest = batch.filter(data.is_valid())
-            for part, bucket, kind, n, x in zip(*(rest.column(c).to_pylist() for c in ("row", "bucket", "kind", "n", "data"))):
-                waiting[bucket, kind].append((part, n, x))
-        for bucket, kind in list(waiting):
-            chunks = waiting.pop((bucket, kind))
-            columns = [np.concatenate(c) for c in zip(*(_unpacked(x, n, _types(kind, per_token)) for _, n, x in chunks))]
-            rows = np.repeat(np.array([part for part, _, _ in chunks], np.int64), [n for _, n, _ in chunks])
-            place = columns.pop() if per_token else None
-            code, rows = columns.pop(), rows + columns.pop()
-            n, own = (code >> 1).astype(np.int64), (code & 1).astype(bool)
-            counts = _by_key(columns[0], n, own)
-            if kind == _CONTEXT:
-                values = [n * np.log(c * sizes.scale[m] + _PAIR_PRIOR) for m, c in enumerate(counts)]
+            for part, bucket, *packed in zip(*(rest.column(c).to_pylist() for c in ("row", "bucket", "kind", "n", "data"))):
+                waiting[bucket].append((part, *packed))
+        for bucket in list(waiting):
+            entries = []
+            for part, kind, n, x in waiting.pop(bucket):
+                context, word, row, code, *place = _unpacked(x, n, _types(kind, per_token))
+                at = by_rank[word] if kind & 2 else np.full(n, -1)
+                entries.append((keys[by_rank[context]] if kind & 1 else context, keys[at] if kind & 2 else word, at, part + row.astype(np.int64), code, *place))
+            context, word, at, rows, code, *place = (np.concatenate(c) for c in zip(*entries))
+            del entries
+            n, ends, own, cold = (code >> 2).astype(np.int64), (code & 2) > 0, (code & 1) > 0, at < 0
+            pairs = _by_key(_paired(context, word), n, own)
+            words_of, goes_on = (_by_key(word[cold], uses[cold], own[cold]) for uses in (n, n - ends))
+            values, after = [], []
+            for m in (0, 1):
+                prior = priors[m][at] if len(keys) else np.zeros(len(at))
+                prior[cold] = sizes.prior(words_of[m], m)
+                values.append(-n * np.log(pairs[m] * sizes.scale[m] + prior))
+                after.append(np.zeros(len(at)))
+                after[m][cold] = (n - ends)[cold] * np.log(goes_on[m] * sizes.scale[m] + _PAIR_PRIOR)
+            if per_token:
+                more = cold & ~ends
+                rows, place = np.concatenate([rows, rows[more]]), np.concatenate([place[0], place[0][more] + 1])
+                values = [np.concatenate([v, a[more]]) for v, a in zip(values, after)]
             else:
-                prior = [p[columns[1]] for p in priors] if kind == _HOT_WORD else [sizes.prior(c, m) for m, c in enumerate(_by_key(columns[1], n, own))]
-                values = [-n * np.log(c * sizes.scale[m] + prior[m]) for m, c in enumerate(counts)]
-            if not per_token:
                 rows, back = np.unique(rows, return_inverse=True)
-                values = [np.bincount(back, weights=v) for v in values]
+                values, place = [np.bincount(back, weights=v + a) for v, a in zip(values, after)], None
             for i in range(0, len(rows), 1 << 16):
                 j = slice(i, i + (1 << 16))
                 yield pa.RecordBatch.from_pydict(result(rows[j], None if place is None else place[j], [v[j] for v in values]))
