@@ -20,7 +20,7 @@ _PAIR_PRIOR, _WORD_PRIOR = 4.0, 0.05
 #: they are met; no key that is shuffled has more than this share. HOT_PAIRS is at most HOT_WORDS: a hot pair's word is hot.
 HOT_WORDS, HOT_PAIRS = 1 << 16, 1 << 12
 #: Tokens a bucket of the shuffle has on average, and entries a task holds before it sends them.
-BUCKET_TOKENS, HELD_ENTRIES = 1 << 21, 1 << 21
+BUCKET_TOKENS, HELD_ENTRIES = 3 << 19, 1 << 19
 _BEGIN = np.uint64(0x1D8E4E27C47D124F)
 _ROWS = "row long, place int, doc_id long, n_tokens long, target double, background double"
 
