@@ -21,6 +21,8 @@ _PAIR_PRIOR, _WORD_PRIOR = 4.0, 0.05
 HOT_WORDS, HOT_PAIRS = 1 << 16, 1 << 12
 #: Tokens a bucket of the shuffle has on average, and entries a task holds before it sends them.
 BUCKET_TOKENS, HELD_ENTRIES = 3 << 19, 1 << 19
+#: Rows whose sums travel back together.
+GROUP_ROWS = 1 << 13
 _BEGIN = np.uint64(0x1D8E4E27C47D124F)
 _ROWS = "row long, place int, doc_id long, n_tokens long, target double, background double"
 
@@ -173,9 +175,9 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, per_token:
     without an id is background; without target or background documents the empty model is uniform. `docs` must give the same
     rows in the same partitions each time it is read, as files do.
 
-    One shuffle: each use of a pair by a text goes to the bucket of its word (of the pair, where the word is hot), as part of
-    an array. There it meets all other uses, so the bucket knows the exact counts of pairs and words and sends each text its
-    sum. A word that is not hot has all its uses in its bucket, so they also tell how often it is the one before.
+    Each use of a pair by a text goes to the bucket of its word (of the pair, where the word is hot), as part of an array.
+    There it meets all other uses, so the bucket knows the exact counts of pairs and words and sends each text its sum, in
+    arrays again. A word that is not hot has all its uses in its bucket, so they also tell how often it is the one before.
     """
     texts = _marked(docs, target_ids)
     met = count_words(texts)
@@ -274,6 +276,11 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, per_token:
                     n_held = 0
         yield from sent()
 
+    def going(columns: dict[str, pa.Array], n: list[int] | None = None, data: list[bytes] | None = None) -> pa.RecordBatch:
+        size = len(columns["row"])
+        group = columns["row"].to_numpy(zero_copy_only=False) // GROUP_ROWS
+        return pa.RecordBatch.from_pydict({**columns, "group": pa.array(group, pa.int64()), "n": pa.array(n or [None] * size, pa.int32()), "data": pa.array(data or [None] * size, pa.binary())})
+
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows go on as they are; the entries of each bucket become sums of their rows."""
         keys, by_rank, _, priors, _, _ = shared.value
@@ -282,7 +289,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, per_token:
         for batch in batches:
             data = batch.column("data")
             ready = data.is_null()
-            yield pa.RecordBatch.from_arrays([batch.column(x).filter(ready) for x in names], names=names)
+            yield going({x: batch.column(x).filter(ready) for x in names})
             rest = batch.filter(data.is_valid())
             for part, bucket, *packed in zip(*(rest.column(c).to_pylist() for c in ("row", "bucket", "kind", "n", "data"))):
                 waiting[bucket].append((part, *packed))
@@ -308,19 +315,47 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, per_token:
                 more = cold & ~ends
                 rows, place = np.concatenate([rows, rows[more]]), np.concatenate([place[0], place[0][more] + 1])
                 values = [np.concatenate([v, a[more]]) for v, a in zip(values, after)]
+                for i in range(0, len(rows), 1 << 16):
+                    j = slice(i, i + (1 << 16))
+                    yield going(result(rows[j], place[j], [v[j] for v in values]))
             else:
                 rows, back = np.unique(rows, return_inverse=True)
-                values, place = [np.bincount(back, weights=v + a) for v, a in zip(values, after)], None
-            for i in range(0, len(rows), 1 << 16):
-                j = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_pydict(result(rows[j], None if place is None else place[j], [v[j] for v in values]))
-
-    parts = texts.mapInArrow(spread, f"{_ROWS}, bucket int, kind int, n int, data binary").repartition(int(buckets), "bucket").mapInArrow(settled, _ROWS)
-    out = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("target").alias("t"), F.sum("background").alias("b"))
+                values = [np.bincount(back, weights=v + a) for v, a in zip(values, after)]
+                cuts = [*np.flatnonzero(np.append(True, rows[1:] // GROUP_ROWS != rows[:-1] // GROUP_ROWS)), len(rows)]
+                parts = [_packed([(rows[i:j] % GROUP_ROWS).astype(np.uint16), *(v[i:j] for v in values)]) for i, j in zip(cuts, cuts[1:])]
+                empty = np.full(len(parts), np.nan)
+                yield going(result(rows[cuts[:-1]], None, [empty, empty]), np.diff(cuts).tolist(), parts)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums of each row of the groups dealt here."""
+        totals = defaultdict(lambda: [np.zeros(GROUP_ROWS), np.zeros(GROUP_ROWS)])
+        texts_of = defaultdict(list)
+        for batch in batches:
+            data = batch.column("data")
+            for group, n, x in zip(*(batch.column(c).filter(data.is_valid()).to_pylist() for c in ("group", "n", "data"))):
+                place, *values = _unpacked(x, n, [np.uint16, np.float64, np.float64])
+                for whole, v in zip(totals[group], values):
+                    whole[place] += v
+            rows = batch.filter(data.is_null())
+            group = rows.column("group").to_numpy()
+            for g in np.unique(group):
+                own = rows.filter(pa.array(group == g))
+                for whole, name in zip(totals[g], ("target", "background")):
+                    whole[own.column("row").to_numpy() % GROUP_ROWS] += own.column(name).to_numpy()
+                texts_of[g].append(own.select(["row", "doc_id", "n_tokens"]))
+        for g in list(texts_of):
+            own = pa.Table.from_batches(texts_of.pop(g)).combine_chunks()
+            target, background = (x[own.column("row").to_numpy() % GROUP_ROWS] for x in totals.pop(g))
+            yield from own.drop_columns("row").append_column("t", pa.array(target)).append_column("b", pa.array(background)).to_batches()
+
+    parts = texts.mapInArrow(spread, f"{_ROWS}, bucket int, kind int, n int, data binary").repartition(int(buckets), "bucket").mapInArrow(settled, f"{_ROWS}, group long, n int, data binary")
     if per_token:
+        out = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("target").alias("t"), F.sum("background").alias("b"))
         each = parts.where("place is not null").groupBy("row", "place").agg(F.sum(F.col("target") - F.col("background")).cast("float").alias("x"))
         each = each.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda e: e.x).alias("token_differences"))
         out = out.join(each, "row", "left").withColumn("token_differences", F.coalesce("token_differences", F.array().cast("array<float>")))
+    else:
+        out = parts.repartition(int(buckets), "group").mapInArrow(summed, "doc_id long, n_tokens long, t double, b double")
     mean = lambda c: F.when(F.col("n_tokens") > 0, c / F.col("n_tokens"))
     return out.select("doc_id", "n_tokens", mean(F.col("t")).alias("target_loss"), mean(F.col("b")).alias("background_loss"), mean(F.col("t") - F.col("b")).alias("difference"),
                       *["token_differences"] * per_token)

@@ -488,7 +488,7 @@ def test_cross_entropy_over_many_buckets(spark, monkeypatch):
     target = spark.createDataFrame([(i,) for i in range(0, 120, 3)], "doc_id long")
     shape = lambda found: sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, round(r.target_loss or 0, 6), round(r.background_loss or 0, 6)) for r in found)
     whole = shape(cross_entropy_difference(frame, target).collect())
-    for name, value in (("BUCKET_TOKENS", 64), ("HELD_ENTRIES", 100), ("HOT_WORDS", 64), ("HOT_PAIRS", 64)):
+    for name, value in (("BUCKET_TOKENS", 64), ("HELD_ENTRIES", 100), ("GROUP_ROWS", 8), ("HOT_WORDS", 64), ("HOT_PAIRS", 64)):
         monkeypatch.setattr(C, name, value)
     found = cross_entropy_difference(frame, target, per_token=True).collect()
     assert len(whole) == 126 and shape(found) == shape(cross_entropy_difference(frame, target).collect())
