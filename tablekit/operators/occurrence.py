@@ -35,21 +35,22 @@ def last_occurrence(df: DataFrame, column: str | Sequence[str], order_by: Sequen
     return first_occurrence(df, column, order_by, last=True)
 
 
-def only_unique(df: DataFrame, column: str | Sequence[str]) -> DataFrame:
-    """Rows whose value occurs once; copies collapse on the map side, so one light shuffle suffices."""
+def _repeated(df: DataFrame, column: str | Sequence[str]) -> tuple[DataFrame, list[str], list[str]]:
+    """Values that occur more than once, the columns of ``df`` and those of the values."""
     keys = _listed(column)
-    lone = df.groupBy(*[F.col(quoted(k)).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
-        F.count("*").alias("_n"), F.first(F.struct(*[F.col(quoted(c)) for c in df.columns])).alias("_row"))
-    return lone.where("_n = 1").select("_row.*")
+    names = [f"_k{i}" for i in range(len(keys))]
+    counted = df.groupBy(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names)]).agg(F.count("*").alias("_n"))
+    return counted.where("_n > 1").select(*names), keys, names
+
+
+def only_unique(df: DataFrame, column: str | Sequence[str]) -> DataFrame:
+    """Rows whose value occurs once: values are counted without the rows, then those with a repeated one are left out."""
+    return equi_join(df, *_repeated(df, column), "left_anti", null_safe=True)
 
 
 def any_duplicate(df: DataFrame, column: str | Sequence[str]) -> DataFrame:
     """Rows whose value occurs more than once."""
-    keys = _listed(column)
-    names = [f"_k{i}" for i in range(len(keys))]
-    repeated = (df.groupBy(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names)])
-                .agg(F.count("*").alias("_n")).where("_n > 1").select(*names))
-    return equi_join(df, repeated, keys, names, "left_semi", null_safe=True)
+    return equi_join(df, *_repeated(df, column), "left_semi", null_safe=True)
 
 
 def with_occurrence_flags(df: DataFrame, wanted: Sequence[tuple[str, str, str]],

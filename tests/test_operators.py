@@ -284,3 +284,12 @@ def test_list_helpers(spark):
     a = F.col("a")
     got = df.select(fn.list_get(a, 5), fn.list_get(a, -1), fn.last_n(a, 5), fn.first_n(a, 2), fn.sorted_values(a), fn.value_counts_map(a)).first()
     assert list(got) == [None, 3, [3, 1, 3], [3, 1], [1, 3, 3], [(3, 2), (1, 1)]]
+
+
+def test_value_counts_of_odd_arrays(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([([2.0, None, nan, 2.0, None, nan, 1.0],), ([],), (None,), ([None],), ([float(i % 7) for i in range(5000)],)], "a array<double>")
+    got = [r.v for r in df.select(fn.value_counts_map(F.col("a")).alias("v")).collect()]
+    assert [(None if x.value is None else str(x.value), x["count"]) for x in got[0]] == [("2.0", 2), (None, 2), ("nan", 2), ("1.0", 1)]
+    assert got[1] == [] and got[2] is None and [tuple(x) for x in got[3]] == [(None, 1)]
+    assert [tuple(x) for x in got[4]] == [(float(i), 715 if i < 2 else 714) for i in range(7)]
