@@ -164,6 +164,18 @@ def conv_guard_report(t):
     return conv.null_growth(src, {"few": conv.INTEGER, "day": conv.DATETIME, "flag": conv.BOOLEAN})
 
 
+@query("WITH s AS (SELECT count(*) AS rows, count(*) FILTER (o_orderkey % 3 = 0) AS third, count(*) FILTER (o_orderkey % 20 = 0) AS rare, "
+       "count(*) FILTER (o_orderkey % 4 = 0) AS often FROM orders) "
+       "SELECT 'few' AS \"column\", 'Number (Integer64)' AS target, rows, CAST(0 AS BIGINT) AS nulls_before, CAST(0 AS BIGINT) AS nulls_after, FALSE AS flagged FROM s "
+       "UNION ALL SELECT 'day', 'Datetime', rows, third, rows, FALSE FROM s UNION ALL SELECT 'rare', 'Boolean', rows, 0, rare, rare > 0.1 * rows FROM s "
+       "UNION ALL SELECT 'often', 'Boolean', rows, 0, often, often > 0.1 * rows FROM s")
+def conv_guard_single(t):
+    """Each column by the guard for one column: more than a tenth of the rows lost; dates are exempt, numbers never become null."""
+    word = lambda n: F.when(_key() % n == 0, "maybe").otherwise("yes")
+    src = t.orders.select(F.when(_key() % 8 == 0, "x").otherwise("7").alias("few"), F.when(_key() % 3 != 0, "soon").alias("day"), word(20).alias("rare"), word(4).alias("often"))
+    return conv.null_growth(src, {"few": conv.INTEGER, "day": conv.DATETIME, "rare": conv.BOOLEAN, "often": conv.BOOLEAN}, conv.SINGLE_GUARD)
+
+
 @query("SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS num, strftime(o_orderdate, '%Y-%m-%d') AS day, "
        "CASE WHEN o_orderkey % 2 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS broken FROM orders")
 def conv_batch_skip(t):

@@ -109,3 +109,23 @@ def fn_aggregates(t):
     return t.orders.groupBy("o_orderpriority").agg(
         F.round(fn.quantile_disc("o_totalprice", 0.9), 4).alias("nearest"), F.round(F.percentile("o_totalprice", 0.9), 4).alias("linear"),
         F.round(F.stddev_samp("o_totalprice"), 4).alias("std"), F.count_distinct("o_custkey").alias("customers"))
+
+
+@query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents), "
+       "n AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL) "
+       "SELECT doc_id, CAST(count(*) AS INTEGER) AS words, max(n) AS most, CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (n = 1) AS once, "
+       "string_agg(word || '=' || n, ' ' ORDER BY word) FILTER (n > 20) AS frequent FROM n GROUP BY doc_id")
+def fn_list_counts(t):
+    """Value counts within the array of each text's words."""
+    src = t.documents.select("doc_id", fn.value_counts_map(fn.split_literal("text", " ")).alias("v")).where("v is not null")
+    often = F.array_sort(F.transform(F.filter("v", lambda x: x["count"] > 20), lambda x: F.struct(x["value"], x["count"])))
+    total = F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x["count"])
+    return src.select("doc_id", F.size("v").alias("words"), F.array_max(F.transform("v", lambda x: x["count"])).alias("most"), total.alias("total"),
+                      F.size(F.filter("v", lambda x: x["count"] == 1)).cast("bigint").alias("once"),
+                      F.when(F.size(often) > 0, F.array_join(F.transform(often, lambda x: F.concat(x["value"], F.lit("="), x["count"].cast("string"))), " ")).alias("frequent"))
+
+
+@query("SELECT event_id, CAST(ts AS TIMESTAMP) AS stamp FROM events")
+def fn_zone_dropped(t):
+    """Wall-clock time without a zone."""
+    return t.events.select("event_id", F.col("ts").cast("timestamp_ntz").alias("stamp"))
