@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.numeric import INTEGRAL_TYPES, lenient_double
 from ..functions.parse import datetime_from_text
-from ..plans.layout import ROW_ID, quoted
+from ..plans.layout import ROW_ID, columns_apart, quoted
 from .convert import (BOOLEAN, CATEGORY, CATEGORY_METADATA, DATETIME, FLOAT, INTEGER, TARGETS, TEXT,
                       convert_columns)
 from .profile import distinct_count
@@ -21,17 +22,45 @@ MAX_FAILED_SHARE = 0.05
 MAX_CATEGORIES = 50
 MAX_CATEGORY_SHARE = 0.1
 
+_FACTS = ("filled", "not_date", "not_bool", "not_int", "not_number", "fractional")
+#: Columns parsed by one aggregate, which bounds its generated code.
+_COLUMNS_AT_ONCE = 2
 
-def _evidence(cells: DataFrame, words: Sequence[str]) -> DataFrame:
-    """Counts per text column; every rule is decided from these. Each cell is parsed once, before they are taken."""
-    v = F.col("v")
-    parsed = cells.where(v.isNotNull()).select(
-        "column", lenient_double(v, T.StringType()).alias("number"), datetime_from_text(v, serials=False).isNull().alias("undated"),
-        F.lower(v).isin(list(words)).alias("flag"), F.when(v.rlike(r"^\s*[+-]?\d{1,19}\s*$"), v.try_cast("bigint")).isNull().alias("broken"))
-    return parsed.groupBy("column").agg(
-        F.count("*").alias("filled"), F.count_if("undated").alias("not_date"), F.count_if(~F.col("flag")).alias("not_bool"),
-        F.count_if("broken").alias("not_int"), F.count_if(F.col("number").isNull()).alias("not_number"),
-        F.count_if(F.col("number") % 1 != 0).alias("fractional"))
+
+def _parsed(v: Column, words: Sequence[str]) -> dict[str, Column]:
+    return {"number": lenient_double(v, T.StringType()), "undated": datetime_from_text(v, serials=False).isNull(),
+            "flag": F.lower(v).isin(list(words)), "broken": F.when(v.rlike(r"^\s*[+-]?\d{1,19}\s*$"), v.try_cast("bigint")).isNull()}
+
+
+def _counted(filled: Column, number: Column, undated: Column, flag: Column, broken: Column) -> dict[str, Column]:
+    return {"filled": F.count_if(filled), "not_date": F.count_if(filled & undated), "not_bool": F.count_if(filled & ~flag),
+            "not_int": F.count_if(filled & broken), "not_number": F.count_if(filled & number.isNull()),
+            "fractional": F.count_if(filled & (number % 1 != 0))}
+
+
+def _evidence(df: DataFrame, columns: Sequence[str], words: Sequence[str]) -> dict[str, Mapping[str, int]]:
+    """Counts per text column; every rule is decided from these. Each cell is parsed once, before they are taken.
+
+    Where columns can be read apart, a few at a time share an aggregate, which leaves one row of counts per task; the branches run in one job and
+    each column is read once. Other tables are read once: their cells become rows.
+    """
+    if columns_apart(df):
+        branches = []
+        for some in (columns[i:i + _COLUMNS_AT_ONCE] for i in range(0, len(columns), _COLUMNS_AT_ONCE)):
+            narrow = df.select(*[e.alias(f"{k}{i}") for i, c in enumerate(some)
+                                 for k, e in {"filled": F.col(quoted(c)).isNotNull(), **_parsed(F.col(quoted(c)), words)}.items()])
+            totals = narrow.agg(*[e.alias(f"{k}{i}") for i in range(len(some))
+                                  for k, e in _counted(*[F.col(f"{k}{i}") for k in ("filled", "number", "undated", "flag", "broken")]).items()])
+            branches.append(totals.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{k}{i}").alias(k) for k in _FACTS])
+                                                              for i, c in enumerate(some)])).alias("c")).select("c.*"))
+        facts = reduce(DataFrame.unionAll, branches)
+    else:
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).alias("v")) for c in columns]))
+        parsed = df.select(cells.alias("c")).select("c.column", "c.v").where("v is not null").select("column", *[
+            e.alias(k) for k, e in _parsed(F.col("v"), words).items()])
+        facts = parsed.groupBy("column").agg(*[e.alias(k) for k, e in _counted(
+            F.lit(True), *[F.col(k) for k in ("number", "undated", "flag", "broken")]).items()])
+    return {r["column"]: r for r in facts.collect() if r["filled"]}
 
 
 def _suggest(e, distinct: int | None) -> str | None:
@@ -67,8 +96,7 @@ def _typed_class(field: T.StructField) -> str | None:
 def suggest_types(df: DataFrame, columns: Sequence[str] | None = None, wide_booleans: bool = False) -> DataFrame:
     """Suggested type per column: rows ``(column, current_type, suggestion)``.
 
-    The text columns become ``(column, value)`` cells and one aggregate keyed by column name gathers all evidence, so
-    the generated code stays the same size however wide the table; distinct values are counted only
+    Evidence is counted in one job, with generated code of a bounded size however wide the table; distinct values are counted only
     for the columns no earlier rule settles. What reaches the driver is one row per column.
     """
     fields = [f for f in df.schema.fields if f.name != ROW_ID and (columns is None or f.name in columns)]
@@ -81,9 +109,7 @@ def suggest_types(df: DataFrame, columns: Sequence[str] | None = None, wide_bool
         found.update({c: TEXT for i, c in enumerate(typed) if not filled[f"_t{i}"]})
     evidence = {}
     if text:
-        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).alias("v")) for c in text]))
-        facts = _evidence(df.select(cells.alias("c")).select("c.column", "c.v"), words)
-        evidence = {r["column"]: r for r in facts.collect()}
+        evidence = _evidence(df, text, words)
         found.update({c: TEXT for c in text if c not in evidence})
     found.update({c: _suggest(e, None) for c, e in evidence.items()})
     unsettled = [c for c in text if found[c] is None]

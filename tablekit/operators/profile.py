@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.numeric import NUMERIC_TYPES, lenient_double
-from ..plans.layout import ROW_ID, quoted
-from ..plans.running import exact_quantiles
+from ..functions.numeric import INTEGRAL_TYPES, NUMERIC_TYPES, lenient_double
+from ..plans.layout import ROW_ID, columns_apart, quoted
+from ..plans.running import column_quantiles
 from ..plans.sizing import groups_fit
 
 
@@ -30,18 +31,28 @@ def category_domain(df: DataFrame, column: str) -> DataFrame:
 def distinct_count(df: DataFrame, columns: Sequence[str], approx: bool = False, with_null: bool = True) -> DataFrame:
     """Distinct values per column, null counted as one unless ``with_null`` is off: rows ``(column, n_unique)``.
 
-    The exact form turns cells into ``(column, value)`` pairs and collapses copies on the map side, so
-    one scan and one shuffle serve all columns; text of a value is its identity.
+    Where the columns can be read apart (a scan of Parquet or ORC), each is counted by itself: its copies collapse on the map side and only its
+    distinct values are moved. Any other table is read once: its cells become ``(column, value)`` pairs. The text of a value is its identity.
     """
     if approx:
         found = df.agg(*[(F.approx_count_distinct(F.col(quoted(c)), 0.01)
                           + (F.max(F.col(quoted(c)).isNull().cast("int")) if with_null else 0)).cast("bigint").alias(c)
                          for c in columns])
         return found.unpivot([], [F.col(quoted(c)) for c in columns], "column", "n_unique")
+    count = (F.count("*") if with_null else F.count("value")).alias("n_unique")
+    if columns and columns_apart(df):
+        return reduce(DataFrame.unionAll, [df.select(_identity(df, c).alias("value")).distinct().agg(count).select(F.lit(c).alias("column"), "n_unique")
+                                           for c in columns])
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).cast("string").alias("value"))
                                 for c in columns]))
     pairs = df.select(cells.alias("c")).select("c.column", "c.value").distinct()
-    return pairs.groupBy("column").agg((F.count("*") if with_null else F.count("value")).alias("n_unique"))
+    return pairs.groupBy("column").agg(count)
+
+
+def _identity(df: DataFrame, column: str) -> Column:
+    """The value itself where equal values have equal texts and the other way round, else its text."""
+    kind, col = df.schema[column].dataType, F.col(quoted(column))
+    return col if isinstance(kind, (*INTEGRAL_TYPES, T.DecimalType, T.BooleanType, T.DateType)) else col.cast("string")
 
 
 def fill_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -64,7 +75,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], approx: bool = False)
 
     Moments of all columns come from one pass in generated code; percentiles, which have none, are kept
     out of it. They are exact by default: tables within the rows of a task use the built-in,
-    others the range-partitioned search keyed by column name.
+    others are searched by `column_quantiles`, which moves no rows.
     """
     number = {c: lenient_double(F.col(quoted(c)), df.schema[c].dataType) for c in columns}
     moments = {"count": F.count, "sum": F.sum, "mean": F.avg, "std": F.stddev_samp, "variance": F.var_samp, "min": F.min, "max": F.max,
@@ -75,16 +86,22 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], approx: bool = False)
         F.struct(F.lit(c).alias("column"), F.lit(i).alias("_i"), *[F.col(f"_{name}{i}").alias(name) for name in moments])
         for i, c in enumerate(columns)])).alias("s")).select("s.*")
     fractions = list(_QUARTILES.values())
-    if approx or groups_fit(df, []):
-        quartiles = (lambda v: F.percentile_approx(v, fractions, 10_000)) if approx else \
-            (lambda v: F.percentile(v, F.array(*map(F.lit, fractions))))
-        found = df.agg(F.array(*[quartiles(v) for v in number.values()]).alias("q")).scalar()
-        mine = F.get(found, F.col("_i"))
-        return rows.withColumns({n: mine[i] for i, n in enumerate(_QUARTILES)}).drop("_i")
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), v.alias("v")) for c, v in number.items()]))
-    long = df.select(cells.alias("c")).select(F.col("c.column").alias("_name"), "c.v").where(F.col("v").isNotNull())
-    quarts = exact_quantiles(long, ["_name"], "v", _QUARTILES)
-    return rows.join(quarts, F.col("column") == F.col("_name"), "left").drop("_name", "_i")
+    if approx:
+        fractions = list(_QUARTILES.values())
+        found = df.agg(F.array(*[F.percentile_approx(v, fractions, 10_000) for v in number.values()]).alias("q")).scalar()
+    else:
+        found = _quartiles(df, number)
+    mine = F.get(found, F.col("_i"))
+    return rows.withColumns({n: mine[i] for i, n in enumerate(_QUARTILES)}).drop("_i")
+
+
+def _quartiles(df: DataFrame, number: Mapping[str, Column]) -> Column:
+    """An array with the exact quartiles of each column, as an array. Tables within the rows of a task use the built-in."""
+    if groups_fit(df, []):
+        fractions = F.array(*map(F.lit, _QUARTILES.values()))
+        return df.agg(F.array(*[F.percentile(v, fractions) for v in number.values()]).alias("q")).scalar()
+    found = column_quantiles(df, number, _QUARTILES)
+    return F.array(*[F.array(*[F.lit(found[c][n]).cast("double") for n in _QUARTILES]) for c in number])
 
 
 def datetime_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -120,14 +137,9 @@ def describe_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
             base += [F.avg(col).alias(f"_avg{i}"), F.stddev_samp(col).alias(f"_sd{i}")]
     totals = df.agg(*base)
     if numeric:
-        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(quoted(c)).cast("double").alias("v"))
-                                    for c in numeric]))
-        long = df.select(cells.alias("x")).select("x.c", "x.v").where(F.col("v").isNotNull())
-        quarts = exact_quantiles(long, ["c"], "v", _QUARTILES)
-        flat = quarts.groupBy().agg(*[F.max(F.when(F.col("c") == c, F.col(q))).alias(f"_{q}{columns.index(c)}")
-                                      for c in numeric for q in _QUARTILES])
-        found = flat.select(F.struct(*flat.columns)).scalar()
-        totals = totals.withColumn("_q", found).select("*", "_q.*").drop("_q")
+        quartiles = _quartiles(df, {c: F.col(quoted(c)).cast("double") for c in numeric})
+        totals = totals.withColumn("_q", quartiles).select("*", *[F.col("_q")[k][j].alias(f"_{q}{columns.index(c)}")
+                                                                  for k, c in enumerate(numeric) for j, q in enumerate(_QUARTILES)]).drop("_q")
     known = set(totals.columns)
 
     def cell(prefix: str, i: int) -> Column:

@@ -92,6 +92,16 @@ def _plain_scan(df: DataFrame) -> tuple[bool, bool]:
     return node.nodeName() == "LogicalRelation" and bool(df.inputFiles()), filtered
 
 
+def columns_apart(df: DataFrame) -> bool:
+    """Whether each column can be read on its own at the price of that column: a plain scan of a columnar format."""
+    if not _plain_scan(df)[0]:
+        return False
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    return node.relation().fileFormat().toString().lower() in ("parquet", "orc")
+
+
 def placed_in_files(df: DataFrame) -> DataFrame | None:
     """The rows of a plain scan of files with the `PLACE` columns; None where the table is something else.
 

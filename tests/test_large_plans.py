@@ -1,15 +1,17 @@
 """The skew-safe plans give the same rows as the plain ones, on data where one key holds a third of the rows."""
 
+import numpy as np
 import pytest
 from conftest import LARGE, rows
 from pyspark.sql import functions as F
 
-from tablekit.operators import charts, occurrence as occ, profile, windows as win
+from tablekit.operators import aggregate, charts, infer, occurrence as occ, profile, windows as win
 from tablekit.operators.dedup import drop_duplicate_rows
 from tablekit.operators.filters import Condition as C, apply_filter
 from tablekit.operators.joins import join_tables
 from tablekit.operators.reshape import list_rows, pivot_table
 from tablekit.operators.sample import sample_rows
+from tablekit.plans import layout, running
 from tablekit.plans.layout import with_row_id
 from tablekit.plans.running import exact_quantiles, running_sum
 from tablekit.plans.skew import equi_join
@@ -292,3 +294,46 @@ def test_joined_tables_agree(spark):
     for how in ("inner", "left", "outer", "semi", "anti"):
         plain, large = both(spark, lambda: join_tables(left, right, "k", how=how))
         assert plain == large
+
+
+def test_column_quantiles_narrow_to_the_exact_ranks(spark, monkeypatch):
+    monkeypatch.setattr(running, "_NARROWING", 10)
+    values = [((i * 7919) % 1009) ** 3 / 7.0 for i in range(1000)] + [5.0] * 400 + [-1e300, 1e300, float("nan"), None]
+    df = spark.createDataFrame([(v, i % 3 if i % 5 else None, None) for i, v in enumerate(values)], "v double, small int, nothing double")
+    points = {"least": 0.0, "low": 0.25, "mid": 0.5, "high": 0.999, "most": 1.0}
+    got = running.column_quantiles(df, {c: F.col(c) for c in df.columns}, points, few=3)
+    clean = {"v": [v for v in values if v is not None and v == v], "small": [i % 3 for i in range(len(values)) if i % 5]}
+    for c, want in clean.items():
+        for name, share in points.items():
+            assert got[c][name] == pytest.approx(float(np.quantile(np.array(want, float), share)), rel=1e-12), (c, name)
+    assert got["nothing"] == dict.fromkeys(points)
+    assert running.column_quantiles(df.limit(0), {"v": F.col("v")}, points)["v"] == dict.fromkeys(points)
+
+
+def test_profiles_of_files_and_of_computed_tables_agree(spark, tmp_path):
+    df = skewed(spark).select("id", "k", F.col("v").cast("string").alias("v"), F.when(F.col("id") % 2 == 0, F.col("s")).alias("s"),
+                              F.lit(None).cast("string").alias("none"), (F.col("id") % 7).cast("double").alias("d"))
+    df.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    assert layout.columns_apart(stored) and not layout.columns_apart(df.distinct())
+    for null in (True, False):
+        assert rows(profile.distinct_count(stored, df.columns, with_null=null)) == rows(profile.distinct_count(df.distinct(), df.columns, with_null=null))
+    assert rows(infer.suggest_types(stored)) == rows(infer.suggest_types(df.distinct()))
+    plan = profile.distinct_count(stored, df.columns)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan
+
+
+def test_carried_cells_are_fetched_late(spark):
+    df = skewed(spark)
+    late = lambda **kw: aggregate.group_summary(df, ["k"], carry=["s"], **kw)
+    plan = late(func="sum", value="v", order_by="id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    first = {}
+    for r in sorted(df.collect(), key=lambda r: r["id"]):
+        first.setdefault(r["k"], r["s"])
+    for make in (lambda: late(func="sum", value="v", order_by="id"), lambda: late(func="median", value="v", order_by=["id", "v"]), lambda: late(func="count", order_by="id")):
+        for got in both(spark, make):
+            assert {r[0]: r[2] for r in got} == first and len(got) == len(first)
+    tied = df.withColumn("o", F.lit(1))  # rows that share the first key
+    assert {r["k"]: r["s"] for r in aggregate.group_summary(tied, ["k"], carry=["s"], order_by=["o", "id"]).collect()} == first
+    assert aggregate.group_summary(df.limit(0), ["k"], carry=["s"], order_by="id").count() == 0
