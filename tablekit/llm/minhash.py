@@ -26,6 +26,8 @@ _SIGMAS = 6.0
 #: blocks of about so many documents and so many characters of text.
 SMALL_BUCKET, BLOCK_DOCS, BLOCK_CHARS = 32, 512, 16 << 20
 _COLUMNS = 1 << 13
+#: A shingle held by more than this share of a family of documents is common there and stands behind all others.
+COMMON_SHARE = 1 / 64
 EDGES_PER_TASK = 250_000
 _FACTORS = np.random.default_rng(97).integers(1, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -168,15 +170,78 @@ def _block_links(ids: np.ndarray, components: np.ndarray, side: np.ndarray, text
     return [(int(ids[left[i]]), int(ids[right[j]])) for i, j in zip(*np.nonzero(link)) if ids[left[i]] != ids[right[j]]]
 
 
-def _links_in_blocks(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) for all links between members (bucket, rep, component) of large buckets. Documents that large buckets chain
-    together are a family; it is cut into blocks by hash, and each pair of blocks is one group, so a document is sent once
-    per block of its family."""
+def _families(docs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents that buckets chain together are a family: rows (rep, component, family, text), and (family, members, n) with the blocks
+    that its texts take."""
     least = members.groupBy("bucket").agg(F.min("rep").alias("least"))
     family = written(connected_components(members.join(least, "bucket").select(F.col("rep").alias("a"), F.col("least").alias("b"))), "families")
-    named = written(members.groupBy("rep").agg(F.first("component").alias("component")).join(family.withColumnRenamed("node", "rep").withColumnRenamed("component", "family"), "rep"), "named")
+    named = written(members.groupBy("rep").agg(F.min("component").alias("component")).join(family.withColumnRenamed("node", "rep").withColumnRenamed("component", "family"), "rep"), "named")
     texts = _texts_of(docs, named.select("rep")).join(named, "rep")
-    totals = written(texts.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).alias("n")), "family-sizes")
+    totals = texts.groupBy("family").agg(F.count("*").alias("members"), F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).alias("n"))
+    return texts, written(totals, "family-sizes")
+
+
+def _common_shingles(texts: DataFrame, totals: DataFrame, size: int) -> DataFrame:
+    """(family, shingle, held): the shingles that more than COMMON_SHARE of a family hold, at most its inverse times a mean set."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            family = batch.column(0).to_numpy()
+            for block in blocks(batch.column(1), 1 << 20):
+                values, first = shingle_sets(block, size)
+                of = np.repeat(family[block.first:block.last], np.diff(first))
+                order = np.lexsort((values, of))
+                values, of = values[order], of[order]
+                begin = np.flatnonzero(np.concatenate([[True], (values[1:] != values[:-1]) | (of[1:] != of[:-1])])) if len(values) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_pydict({"family": pa.array(of[begin], pa.int64()), "shingle": pa.array(values[begin].view(np.int64)),
+                                                  "held": pa.array(np.diff(np.append(begin, len(values))), pa.int64())})
+
+    counted = texts.select("family", "text").mapInArrow(count, "family long, shingle long, held long")
+    held = counted.groupBy("family", "shingle").agg(F.sum("held").alias("held")).where(F.col("held") > SMALL_BUCKET)
+    return held.join(totals, "family").where(F.col("held") > COMMON_SHARE * F.col("members")).select("family", "shingle", "held")
+
+
+def _rare_groups(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """(bucket, rep, component, n): documents of large buckets grouped by each of their least common shingles, where a group has more than one
+    component. Any two that are to be linked share a group. A text is shuffled once, however large its family."""
+    texts, totals = _families(docs, members)
+    common = written(_common_shingles(texts, totals, size), "common")
+    dealt = texts.join(totals, "family").select("family", F.pmod(F.xxhash64("rep"), F.col("n")).alias("i"), "rep", "component", "text")
+    everywhere = common.join(totals, "family").select("family", F.explode(F.expr("sequence(0L, n - 1)")).alias("i"), "shingle", "held")
+
+    def choose(key: tuple[pa.Scalar, ...], rows: pa.Table, known: pa.Table) -> pa.Table:
+        common, held = known.column("shingle").to_numpy().view(np.uint64), known.column("held").to_numpy()
+        common, held = common[(order := np.argsort(common))], held[order]
+        chosen, source, done = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        for block in blocks(rows.column("text").combine_chunks(), 1 << 20) if rows.num_rows else ():
+            values, first = shingle_sets(block, size)
+            at = np.searchsorted(common, values)
+            at[at == len(common)] = 0
+            rank = np.where(common[at] == values, held[at], 0) if len(common) else np.zeros(len(values), np.int64)
+            for k, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                take = (y - x) - -(-percent * (y - x) // 100) + 1
+                chosen.append(values[x:y][np.lexsort((values[x:y], rank[x:y]))[:take]])
+                source.append(np.full(len(chosen[-1]), done + k))
+            done += len(first) - 1
+        at = np.concatenate(source)
+        return pa.table({"family": pa.array(np.full(len(at), key[0].as_py()), pa.int64()), "shingle": pa.array(np.concatenate(chosen).view(np.int64)),
+                         "rep": rows.column("rep").take(pa.array(at)), "component": rows.column("component").take(pa.array(at))})
+
+    keys = ["family", "i"]
+    rare = dealt.groupBy(*keys).cogroup(everywhere.groupBy(*keys)).applyInArrow(choose, "family long, shingle long, rep long, component long")
+    rare = written(rare.select(F.xxhash64("family", "shingle").alias("bucket"), "rep", "component"), "rare")
+    return written(_open(rare), "open-rare")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The members (bucket, rep, component) of buckets with more than one component, and their number n."""
+    still = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y").select("bucket", "n")
+    return members.join(still, "bucket").select("bucket", "rep", "component", "n")
+
+
+def _links_in_blocks(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b) for all links between members (bucket, rep, component) of large groups. A family is cut into blocks by hash, and each pair of
+    blocks is one group, so a document is sent once per block of its family."""
+    texts, totals = _families(docs, members)
     dealt = texts.join(totals, "family").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("n"))).withColumn("other", F.explode(F.expr("sequence(0L, n - 1)")))
     dealt = dealt.select("rep", "component", "text", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
 
@@ -252,12 +317,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     labels = written(_pointers(_starred(sure, links.count())), "labels")
 
     here = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    still = here.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x < y").select("bucket", "n")
-    here = written(here.join(still, "bucket"), "open")
-    small = here.where(F.col("n") <= SMALL_BUCKET).select("bucket", "rep", "component")
+    here = written(_open(here), "open")
+    small = here.where(F.col("n") <= SMALL_BUCKET)
+    large = here.where(F.col("n") > SMALL_BUCKET)
+    crowded = None
+    if not large.isEmpty():
+        rare = _rare_groups(docs, large, size, percent)
+        small, crowded = small.unionByName(rare.where(F.col("n") <= SMALL_BUCKET)), rare.where(F.col("n") > SMALL_BUCKET)
+    small = small.select("bucket", "rep", "component")
     other = small.select("bucket", F.col("rep").alias("b"), F.col("component").alias("its"))
     rest = small.withColumnRenamed("rep", "a").join(other, "bucket").where("a < b and component != its").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    found = confirmed(written(rest, "pairs")).unionByName(_links_in_blocks(docs, here.where(F.col("n") > SMALL_BUCKET), size, percent))
+    found = confirmed(written(rest, "pairs"))
+    if crowded is not None and not crowded.isEmpty():
+        found = found.unionByName(_links_in_blocks(docs, crowded, size, percent))
     found = written(found, "confirmed")
     labels = written(connected_components(links.unionByName(found)), "labels")
 

@@ -318,6 +318,48 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == expected
 
 
+def _template_family(rng, n):
+    """n documents of one notice of 70 words and 50 own words each (similarity about 0.4), every 25th with a near copy, whose links the notice's buckets hide."""
+    notice = " ".join(f"n{i}" for i in range(70))
+    rows = [(i, f"{notice} " + " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(50))) for i in range(n)]
+    copies = [(n + i, " ".join([*text.split()[:-3], "x", "y", f"z{i}"])) for i, text in rows[::25]]
+    return rows + copies, {n + i: i for i, _ in rows[::25]}
+
+
+def test_families_of_one_template_cost_in_proportion(spark, monkeypatch):
+    moved, real = {}, minhash.written
+
+    def counted(df, name):
+        out = real(df, name)
+        if name in ("rare", "pairs", "likely", "ends"):
+            moved[-1][name] = moved[-1].get(name, 0) + out.count()
+        return out
+
+    moved = [{}]
+    monkeypatch.setattr(minhash, "written", counted)
+    monkeypatch.setattr(minhash, "_links_in_blocks", lambda *_: pytest.fail("a family was compared in blocks"))
+    for n in (400, 1600):
+        rows, copies = _template_family(random.Random(n), n)
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+        assert got == {i: copies.get(i, i) for i, _ in rows}  # every link found, none made
+        moved.append({})
+    small, large = moved[:2]
+    assert large["rare"] > 1000  # the notice's buckets were large and open
+    assert all(large[k] <= 5 * max(small.get(k, 0), 400) for k in large), moved
+
+
+def test_crowded_rare_groups_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(minhash, "COMMON_SHARE", 0.5)
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 7)
+    rng = random.Random(11)
+    words = [f"v{i}" for i in range(30)]
+    rows = [(i, " ".join([*words[:rng.randrange(18, 30)], *(rng.choice(words) for _ in range(rng.randrange(0, 5)))])) for i in range(120)]
+    rows += [(500, None), (501, ""), (502, "one"), (503, "one")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == _components(rows, 2)
+
+
 def test_components_of_a_long_path(spark):
     n = 70
     order = list(range(n))
