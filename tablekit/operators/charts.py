@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.numeric import lenient_double
-from ..plans.layout import quoted, sorted_by
+from ..plans.layout import durable, quoted, sorted_by
 from ..plans.running import exact_quantiles, running_sum
-from ..plans.skew import equi_join
+from ..plans.skew import join_groups
 from .aggregate import group_summary
 from .columns import display_column, marker_size
 from .convert import category_codes
@@ -228,7 +228,8 @@ def _grouped_values(df: DataFrame, y: str, keys: Sequence[str]) -> DataFrame:
 def _fences(narrow: DataFrame, keys: Sequence[str]) -> DataFrame:
     quarts = exact_quantiles(narrow, keys, "_y", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    return quarts.withColumns({"lower_fence": F.col("q1") - reach, "upper_fence": F.col("q3") + reach})
+    fenced = quarts.withColumns({"lower_fence": F.col("q1") - reach, "upper_fence": F.col("q3") + reach})
+    return durable(fenced) if keys else fenced
 
 
 def _with_fences(df: DataFrame, fenced: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -239,7 +240,7 @@ def _with_fences(df: DataFrame, fenced: DataFrame, keys: Sequence[str]) -> DataF
         return df.withColumns({s: one[s] for s in stats})
     names = [f"_b{i}" for i in range(len(keys))]
     side = fenced.select(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names)], *stats)
-    return equi_join(df, side, keys, names, "inner", null_safe=True, unique_right=True).drop(*names)
+    return join_groups(df, side, keys, names).drop(*names)
 
 
 def violin_table(df: DataFrame, y: str, x: str | None = None, color: str | None = None,
@@ -328,8 +329,9 @@ def _kde(long: DataFrame, keys: list[str], points: int) -> DataFrame:
                                      (F.stddev_samp("v") * F.pow(F.count("*"), F.lit(-0.2))).alias("band"))
     told = ("lo", "hi", "n", "band")
     if keys:
+        stats = durable(stats)
         side = stats.select(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names)], *told)
-        rows = equi_join(long, side, keys, names, "inner", null_safe=True, unique_right=True).drop(*names)
+        rows = join_groups(long, side, keys, names).drop(*names)
     else:
         one = stats.select(F.struct(*told)).scalar()
         rows = long.withColumns({s: one[s] for s in told})

@@ -48,6 +48,17 @@ def equi_join(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_o
     return _salted_join(left, right, left_on, right_on, how, null_safe, unique_right)
 
 
+def join_groups(left: DataFrame, groups: DataFrame, left_on: Sequence[str], right_on: Sequence[str]) -> DataFrame:
+    """Rows with the row of their group, null keys included; `groups` has one row per group and, as it is counted first, should be `durable`.
+
+    Up to a hundredth of the rows of a task as groups are sent to all tasks, and the rows stay where they are. Dealt by their key, the rows of a few
+    large groups would meet in as few tasks and be sorted there. More groups are joined by `equi_join`.
+    """
+    if groups.count() <= rows_per_task(left.sparkSession) // 100:
+        return left.join(F.broadcast(groups), _matches(list(zip(left_on, right_on, strict=True)), True))
+    return equi_join(left, groups, left_on, right_on, "inner", null_safe=True, unique_right=True)
+
+
 def _heavy(df: DataFrame, keys: Sequence[str], width: int, salts: str, names: Sequence[str]) -> DataFrame:
     counted = df.groupBy(*[F.col(quoted(k)) for k in keys]).agg(F.count("*").alias("_n")).where(F.col("_n") > width)
     return counted.select(*[F.col(quoted(k)).alias(n) for k, n in zip(keys, names)],

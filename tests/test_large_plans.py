@@ -1,5 +1,7 @@
 """The skew-safe plans give the same rows as the plain ones, on data where one key holds a third of the rows."""
 
+import math
+
 import numpy as np
 import pytest
 from conftest import LARGE, rows
@@ -279,6 +281,26 @@ def test_density_curves_are_sums_over_all_values(spark):
     assert all(got[k, p][1] is None for k in ("one", "same") for p in range(200))
 
 
+def test_statistics_of_few_groups_do_not_move_the_rows(spark):
+    """Two groups of any size are not sorted in two tasks, even where Spark would broadcast nothing by itself."""
+    df = spark.range(0, 3000, 1, 4).select((F.col("id") % 40).cast("double").alias("a"), (F.col("id") % 7).alias("b"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"))
+
+    def curves():
+        return [charts.distribution_kde(df, ["a", "b"], 20), charts.kde_curve(df, "a", ["k"], 20), charts.box_table(df, "a", "k"), charts.box_outliers(df, "a", "k")]
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [c._jdf.queryExecution().executedPlan().toString() for c in curves()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
+    df = df.where("id < 150").coalesce(2)
+    for make in (lambda: charts.kde_curve(df, "a", ["k"], 20), lambda: charts.box_outliers(df.withColumn("a", F.col("a") * F.col("a") * F.col("a")), "a", "k")):
+        few, many = both(spark, make)
+        assert few and len(few) == len(many) and all(x == y or isinstance(x, float) and math.isclose(x, y, rel_tol=1e-9) for a, b in zip(few, many) for x, y in zip(a, b))
+
+
 def test_histogram_of_many_bins(spark):
     df = skewed(spark)
     out = charts.histogram_table(df, "id", 100_000, color="s")
