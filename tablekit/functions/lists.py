@@ -35,22 +35,23 @@ def distinct_values(col: Column) -> Column:
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once, however often ``use`` mentions it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    """``use(value)`` with the value worked out once, however often ``use`` mentions it.
+
+    It is the start of a fold over nothing: unlike the elements that ``transform`` makes, that is not copied.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda so_far, _: so_far, use)
 
 
 def value_counts_map(col: Column) -> Column:
     """Array of ``{value, count}`` over the distinct elements of an array, in order of first appearance.
 
-    Equal elements stand together after a sort with their places, so that long arrays take n log n steps.
+    Equal elements stand together after a sort with their places, so that long arrays take n log n steps. The sort is `sort_array`, as the one of
+    `array_sort` works out an expression for every comparison; runs are numbers until the last step, so that values are not copied on the way.
     """
-    def starts(s: Column) -> Column:
-        placed = F.transform(s, lambda x, i: F.struct(x.alias("x"), i.alias("at")))
-        return F.filter(placed, lambda e: (e.at == 0) | ~F.get(s, e.at - 1).value.eqNullSafe(e.x.value))
-
-    def runs(s: Column) -> Column:
-        return _bound(starts(s), lambda r: F.transform(r, lambda e, k: F.struct(
-            e.x.i.alias("i"), e.x.value.alias("value"), (F.coalesce(F.get(r, k + 1).at, F.size(s)) - e.at).cast("bigint").alias("count"))))
+    def counts(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, at: at), lambda at: (at == 0) | ~F.get(s, at - 1).value.eqNullSafe(F.get(s, at).value))
+        runs = _bound(starts, lambda r: F.transform(r, lambda at, k: F.struct(
+            F.get(s, at).i.alias("i"), at.alias("at"), (F.coalesce(F.get(r, k + 1), F.size(s)) - at).cast("bigint").alias("count"))))
+        return F.transform(F.sort_array(runs), lambda e: F.struct(F.get(s, e["at"]).value.alias("value"), e["count"].alias("count")))
 
-    ordered = F.array_sort(F.transform(col, lambda v, i: F.struct(v.alias("value"), i.alias("i"))))
-    return F.transform(F.array_sort(_bound(ordered, runs)), lambda e: F.struct(e.value.alias("value"), e["count"].alias("count")))
+    return _bound(F.sort_array(F.transform(col, lambda v, i: F.struct(v.alias("value"), i.alias("i")))), counts)

@@ -293,3 +293,17 @@ def test_value_counts_of_odd_arrays(spark):
     assert [(None if x.value is None else str(x.value), x["count"]) for x in got[0]] == [("2.0", 2), (None, 2), ("nan", 2), ("1.0", 1)]
     assert got[1] == [] and got[2] is None and [tuple(x) for x in got[3]] == [(None, 1)]
     assert [tuple(x) for x in got[4]] == [(float(i), 715 if i < 2 else 714) for i in range(7)]
+
+
+def test_value_counts_are_worked_out_once(spark, tmp_path):
+    """No test of the counts is pushed below them, where it would count again; no comparison of the sorts is an expression of its own."""
+    from tablekit.queries import QUERIES
+
+    words = ["b"] * 21 + ["a", "a", "", "\u00e9"] + ["c"] * 25 + ["a"]
+    spark.createDataFrame([(1, " ".join(words)), (2, None), (3, ""), (4, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["fn_list_counts"](spark, str(tmp_path))
+    assert rows(out) == [(1, 5, 25, 51, 2, "b=21 c=25"), (3, 1, 1, 1, 1, None), (4, 1, 1, 1, 1, None)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    counted = spark.createDataFrame([(["y", "x", None, "y"],)], "a array<string>").select(fn.value_counts_map(F.col("a")).alias("v"))
+    assert "array_sort" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(x) for x in counted.first().v] == [("y", 2), ("x", 1), (None, 1)]
